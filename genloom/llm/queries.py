@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, mixing, secrets, sharding, topk, url_filter, warc
+from . import decontam, html_extract, mixing, ngram_join, quality, secrets, sharding, topk, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -43,7 +47,15 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
+def op9_phrase_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kd_shards, op2_url_verdicts, op3_secret_scan, op4_warc_index, op5_exact_topk, op7_main_text, op8_source_mix)
+    f.__name__: f for f in (op1_kd_shards, op2_url_verdicts, op3_secret_scan, op4_warc_index, op5_exact_topk, op6_quality, op7_main_text, op8_source_mix, op9_phrase_contamination, op10_near_duplicates)
 }
-ORACLES: dict[str, str] = {"op4_warc_index": warc.SQL, "op5_exact_topk": topk.SQL, "op8_source_mix": mixing.SQL}
+ORACLES: dict[str, str] = {"op4_warc_index": warc.SQL, "op5_exact_topk": topk.SQL, "op8_source_mix": mixing.SQL, "op9_phrase_contamination": decontam.SQL}
