@@ -15,13 +15,13 @@ def cog_stats(members: DataFrame, keys: list[str], score: str, lone_std: float |
 
 
 def cluster_rows(members: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each cluster from its members (cluster_id, start, end, is_core, svm_hit, cog): core and outer spans,
+    """One row for each cluster from its members (cluster_id, strand, start, end, is_core, svm_hit, cog): core and outer spans,
     counts and score statistics. The end is that of the last member by start."""
     core = F.col("is_core")
     last = lambda w: F.max(F.when(w, F.struct("start", "end")))["end"]
     n = F.count(F.when(core, F.col("cog")))
     return members.groupBy(*keys).agg(
-        F.min(F.when(core, F.col("start"))).alias("start"), last(core).alias("end"), F.min("start").alias("extra_start"), last(F.lit(True)).alias("extra_end"), F.count_if(core).alias("n_core"),
+        F.min(F.when(core, F.col("strand"))).alias("strand"), F.min(F.when(core, F.col("start"))).alias("start"), last(core).alias("end"), F.min("start").alias("extra_start"), last(F.lit(True)).alias("extra_end"), F.count_if(core).alias("n_core"),
         F.count_if(core & F.col("svm_hit")).alias("n_precursors"), F.avg(F.when(core, F.col("cog"))).alias("cog_avg"), F.when(n > 1, F.stddev_pop(F.when(core, F.col("cog")))).when(n == 1, F.lit(0.05)).alias("cog_std"),
     )
 
