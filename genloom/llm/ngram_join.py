@@ -46,7 +46,7 @@ def runs_for(recall: float) -> int:
 
 def _chosen(tokens: np.ndarray, salts: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """(path, token) index pairs: the tokens that each path, named by its salt, chooses."""
-    return np.nonzero(mix64(tokens[None, :] ^ salts[:, None]) <= limit)
+    return np.nonzero((tokens[None, :] ^ salts[:, None]) * np.uint64(0x9E3779B97F4A7C15) <= limit)  # tokens and salts are hashes
 
 
 def chosen_paths(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> np.ndarray:
@@ -85,7 +85,7 @@ def _name(tokens: np.ndarray) -> int:
 
 def _describe(runs: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             names, sizes, sketches, paths = [], [], [], []
             for tokens in shingle_sets(batch.column(1), WIDTH):
                 some = len(tokens) > 0
@@ -98,13 +98,24 @@ def _describe(runs: int) -> Callable:
     return run
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [np.frombuffer(p.as_buffer(), np.int64).reshape(-1, DEPTH) for p in batch.column(3)]
-        if found:
-            keys, times = np.concatenate(found), np.array([len(f) for f in found])
-            take = pa.array(np.repeat(np.arange(len(found)), times))
-            yield pa.record_batch([*(pa.array(np.ascontiguousarray(keys[:, i])) for i in range(DEPTH)), *(batch.column(i).take(take) for i in range(3))], names=["k1", "k2", "k3", "node", "n", "sketch"])
+def _unpack(depth: int) -> Callable:
+    """Each set's distinct buckets at a depth, with the bucket above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                found = []
+                for packed in part.column(3):
+                    keys = np.frombuffer(packed.as_buffer(), np.int64).reshape(-1, DEPTH)
+                    keys = keys[keys[:, depth - 1] != 0]
+                    found.append(keys[np.unique(keys[:, depth - 1], return_index=True)[1]])
+                keys = np.concatenate(found)
+                take = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                above = keys[:, depth - 2] if depth > 1 else np.zeros(len(keys), np.int64)
+                yield pa.record_batch([pa.array(np.ascontiguousarray(above)), pa.array(np.ascontiguousarray(keys[:, depth - 1])), *(part.column(i).take(take) for i in range(3))], names=["above", "key", "node", "n", "sketch"])
+
+    return run
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -169,40 +180,47 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
-def _mark_large(rows: DataFrame, key: str, flag: str) -> DataFrame:
-    """Adds `flag`: whether the row's bucket has more than BUCKET rows. Large buckets are few and are not brought together."""
-    large = materialize(rows.where(F.col(key) != 0).groupBy(key).count().where(F.col("count") > BUCKET).select(F.col(key).alias("_large")), "join-large")
-    n = large.count()
+def _large_buckets(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(large, how many): keys with more than BUCKET rows. Their rows are not brought together."""
+    large = materialize(rows.groupBy("key").count().where(F.col("count") > BUCKET).select(F.col("key").alias("large")), "join-large")
+    return large, large.count()
+
+
+def _by_large(rows: DataFrame, column: str, large: DataFrame, n: int, how: str) -> DataFrame:
+    """Semi or anti join with the large buckets: sent to all tasks if they are few, else spread by a salt."""
     if n <= MOST_BROADCAST:
-        marked = rows.join(F.broadcast(large), F.col(key) == F.col("_large"), "left")
-    else:
-        large = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        marked = rows.join(large, (F.col(key) == F.col("_large")) & (F.pmod(F.xxhash64("node"), F.lit(64)) == F.col("_salt")), "left").drop("_salt")
-    return marked.withColumn(flag, F.col("_large").isNotNull()).drop("_large")
+        return rows.join(F.broadcast(large), F.col(column) == F.col("large"), how)
+    spread = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return rows.join(spread, (F.col(column) == F.col("large")) & (F.pmod(F.xxhash64("node"), F.lit(64)) == F.col("_salt")), how)
 
 
 def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """(a, b): forests of nodes that may be alike. nodes: node, n, sketch, paths."""
-    rows = nodes.select("node", "n", "sketch", "paths").mapInArrow(_unpack, "k1 long, k2 long, k3 long, node long, n int, sketch binary")
-    rows = _mark_large(rows, "k1", "large1")
-    first = rows.where("not large1").select(F.col("k1").alias("key"), "node", "n", "sketch").distinct()
-    rows = materialize(rows.where("large1 and k2 <> 0").drop("large1"), "join-level2")
-    rows = _mark_large(rows, "k2", "large2")
-    second = rows.where("not large2").select(F.col("k2").alias("key"), "node", "n", "sketch").distinct()
-    rows = materialize(rows.where("large2 and k3 <> 0").drop("large2"), "join-level3")
-    rows = _mark_large(rows, "k3", "large3")
-    third = rows.where("not large3").select(F.col("k3").alias("key"), "node", "n", "sketch")
-    # sets that agree on every token of a whole path, many of them: tied to the first, to be verified
-    rest = materialize(rows.where("large3").select("k3", "node"), "join-rest")
-    first_of = materialize(rest.groupBy("k3").agg(F.min("node").alias("b")), "join-rest-first")
-    star = rest.join(broadcast_if(first_of, first_of.count(), MOST_BROADCAST), "k3").select(F.col("node").alias("a"), "b").where("a <> b")
-    buckets = first.unionByName(second).unionByName(third).repartition(shuffle_partitions(nodes.sparkSession), "key").sortWithinPartitions("key")
-    return buckets.mapInArrow(_bucket_edges, "a long, b long").unionByName(star).distinct()
+    """(a, b): forests of nodes that may be alike. nodes: node, n, sketch, paths.
+
+    A bucket of the first depth that is too large is left to the next depth, whose rows are unpacked then."""
+    buckets, star, above = None, None, None
+    for depth in range(1, DEPTH + 1):
+        rows = nodes.select("node", "n", "sketch", "paths").mapInArrow(_unpack(depth), "above long, key long, node long, n int, sketch binary")
+        if above is not None:
+            rows = materialize(_by_large(rows, "above", *above, "left_semi"), "join-level")
+        large, n = _large_buckets(rows)
+        small = (_by_large(rows, "key", large, n, "left_anti") if n else rows).drop("above")
+        buckets = small if buckets is None else buckets.unionByName(small)
+        if not n:
+            break
+        above = (large, n)
+        if depth == DEPTH:  # sets that agree on every token of a whole path, many of them: tied to the first, to be verified
+            rest = materialize(_by_large(rows, "key", large, n, "left_semi").select("key", "node"), "join-rest")
+            first = materialize(rest.groupBy("key").agg(F.min("node").alias("b")), "join-rest-first")
+            star = rest.join(broadcast_if(first, first.count(), MOST_BROADCAST), "key").select(F.col("node").alias("a"), "b").where("a <> b")
+    dealt = buckets.repartition(shuffle_partitions(nodes.sparkSession), "key").sortWithinPartitions("key")
+    edges = dealt.mapInArrow(_bucket_edges, "a long, b long")
+    return (edges if star is None else edges.unionByName(star)).distinct()
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [s for s in shingle_sets(batch.column(0), WIDTH)]
+    for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+        sets = list(shingle_sets(batch.column(0), WIDTH))
         some = [s for s in sets if len(s)]
         yield pa.record_batch([pa.array([_name(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary())], names=["node", "tokens"])
 
@@ -223,7 +241,7 @@ def _overlaps(sets: list[np.ndarray], others: list[np.ndarray] | None) -> np.nda
     total = np.zeros((len(sets), len(others) if others is not None else len(sets)), np.float32)
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
-    width = max(1, 8_000_000 // len(every))
+    width = max(1, 2_000_000 // len(every))
     for a in range(0, int(shared.sum()), width):
         lo, hi = np.searchsorted(place, [a, a + width])
         table = np.zeros((len(every), width), np.float32)
@@ -241,7 +259,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in groups_of(batches, ["part", "i", "j"]):
         node, copies, block = (group[c].to_numpy() for c in ("node", "copies", "block"))
         i, j = int(group["i"][0].as_py()), int(group["j"][0].as_py())
-        order = np.lexsort((node, block != i))
+        once = np.unique(node, return_index=True)[1]  # a doc_id that repeats brings its set more than once
+        order = once[np.lexsort((node[once], block[once] != i))]
         node, copies, block = node[order], copies[order], block[order]
         raw = group["tokens"].to_pylist()
         sets = [np.frombuffer(raw[k], np.uint64) for k in order]
@@ -279,8 +298,8 @@ def near_duplicates(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame
     # whole sets of the members, read again from one document of each
     readers = materialize(members.select(F.col("first_doc").alias("_doc")).distinct(), "join-readers")
     texts = docs.select("doc_id", "text").join(broadcast_if(readers, readers.count(), MOST_BROADCAST), F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi").select("text")
-    sets = texts.mapInArrow(_with_sets, "node long, tokens binary").dropDuplicates(["node"])
-    placed = sets.join(members.drop("first_doc"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sets = texts.mapInArrow(_with_sets, "node long, tokens binary")
+    placed = sets.join(broadcast_if(members.drop("first_doc"), members.count(), MOST_BROADCAST), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     pairs = placed.withColumn("ij", F.explode(others)).select("part", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "block", "node", "copies", "tokens")
     pairs = pairs.repartition(shuffle_partitions(docs.sparkSession), "part", "i", "j").sortWithinPartitions("part", "i", "j")

@@ -11,7 +11,7 @@ from .common import ship_by_value
 
 ship_by_value(__name__)
 
-PIECE = 1 << 21
+PIECE = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
