@@ -58,4 +58,4 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_kd_shards, op2_url_verdicts, op3_secret_scan, op4_warc_index, op5_exact_topk, op6_quality, op7_main_text, op8_source_mix, op9_phrase_contamination, op10_near_duplicates)
 }
-ORACLES: dict[str, str] = {"op4_warc_index": warc.SQL, "op5_exact_topk": topk.SQL, "op8_source_mix": mixing.SQL, "op9_phrase_contamination": decontam.SQL}
+ORACLES: dict[str, str] = {"op2_url_verdicts": url_filter.sql(), "op3_secret_scan": secrets.sql(), "op4_warc_index": warc.SQL, "op5_exact_topk": topk.SQL, "op8_source_mix": mixing.SQL, "op9_phrase_contamination": decontam.SQL}

@@ -144,3 +144,43 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return scan(docs).select("doc_id", *map(count, BASE), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def sql() -> str:
+    """DuckDB's form of secret_digest."""
+    quote = lambda p: p.replace("'", "''")
+    kinds = [(k, *v) for k, v in BASE.items()] + [(ADDED, CANDIDATE, 0, 20)]
+    found = " UNION ALL ".join(
+        f"SELECT r, '{k}' AS kind, {i} AS rank, string_split_regex(t, '{quote(p)}') AS g, regexp_extract_all(t, '{quote(p)}', 0) AS f, regexp_extract_all(t, '{quote(p)}', {group}) AS k, {least} AS least FROM d" for i, (k, p, group, least) in enumerate(kinds)
+    )
+    encoding = " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{e}'" if p else f"ELSE '{e}'" for e, (p, _) in ENCODINGS.items())
+    symbols = " ".join(f"WHEN '{e}' THEN '{a}'" for e, (_, a) in ENCODINGS.items())
+    tail = f"(1 - exp(-1.4 * x)) * exp(-x * x / 2) / ({1.135 * math.sqrt(2 * math.pi)!r}::DOUBLE * x)"
+    text = "COALESCE(string_agg(kind || ':' || st || ':' || en, ',' ORDER BY st, rank), '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, COALESCE(text, '') AS t FROM documents),
+x AS ({found}),
+p AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM x WHERE len(f) > 0),
+s AS (SELECT r, kind, rank, (list_sum(list_transform(g[1:i], lambda y: length(y))) + COALESCE(list_sum(list_transform(f[1:i - 1], lambda y: length(y))), 0))::BIGINT AS st, length(f[i]) AS n, f[i] AS s FROM p WHERE length(k[i]) >= least),
+a AS (SELECT r, kind, rank, st, st + n AS en, s FROM s),
+c AS (SELECT r, st, en, s FROM a WHERE kind = '{ADDED}' AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM a b WHERE b.r = a.r AND b.kind <> '{ADDED}' AND b.st < a.en AND a.st < b.en)),
+e AS (SELECT *, CASE {encoding} END AS encoding FROM c),
+y AS (SELECT *, CASE encoding {symbols} END AS symbols, regexp_replace(CASE WHEN encoding IN ('hex', 'base36') THEN lower(s) ELSE translate(s, '-_', '+/') END, '=+$', '') AS t FROM e),
+v AS (SELECT *, list_transform(range(1, length(t) + 1), lambda i: instr(symbols, substr(t, i::INT, 1)) - 1) AS v, length(t)::DOUBLE AS n, length(symbols)::DOUBLE AS k FROM y),
+q AS (SELECT *, k / n * list_sum(list_transform(list_distinct(v), lambda a: len(list_filter(v, lambda b: a = b)) * len(list_filter(v, lambda b: a = b))))::DOUBLE - n AS chi2,
+  len(list_filter(v, lambda a: 2 * a + 1 > k))::DOUBLE AS ups,
+  1 + list_sum(list_transform(range(2, len(v) + 1), lambda i: CASE WHEN (2 * v[i] + 1 > k) <> (2 * v[i - 1] + 1 > k) THEN 1 ELSE 0 END))::DOUBLE AS runs,
+  list_sum(v)::DOUBLE AS s1, list_sum(list_transform(v, lambda a: a * a))::DOUBLE AS s2, (list_sum(list_transform(range(2, len(v) + 1), lambda i: v[i] * v[i - 1])) + v[1] * v[len(v)])::DOUBLE AS lagged, n * greatest(k * {WORD_MATCH}::DOUBLE - 1, 0.5::DOUBLE) AS excess FROM v),
+w AS (SELECT *, 1 + 2 * ups * (n - ups) / n AS mean, n * s2 - s1 * s1 AS spread FROM q),
+z AS (SELECT *, (runs - mean) / sqrt(greatest((mean - 1) * (mean - 2) / (n - 1), 1e-9)) AS z_runs, (CASE WHEN spread > 0 THEN (n * lagged - s1 * s1) / greatest(spread, 1e-9) ELSE 1 END + 1 / (n - 1)) * sqrt(n) AS z_serial,
+  (chi2 - (k - 1 + excess)) / sqrt(2 * (k - 1) + 4 * excess) AS z FROM w),
+h AS (SELECT *, greatest(abs(z), 1e-9) AS x FROM z),
+b AS (SELECT r, st, en, encoding, CASE WHEN n < 24 THEN 20 WHEN n < 32 THEN 24 WHEN n < 48 THEN 32 WHEN n < 64 THEN 48 ELSE 64 END AS class,
+  greatest(ceil(log10(greatest(CASE WHEN abs(z_runs) <= {TEST_ALPHA_Z} AND abs(z_serial) <= {TEST_ALPHA_Z} THEN least(CASE WHEN z < 0 THEN {tail} ELSE 1 - {tail} END, 1) ELSE 1 END, 1e-300)) * {BINS}), -{300 * BINS})::INT AS bin FROM h),
+u AS (SELECT encoding, class, bin, sum(c) OVER (PARTITION BY encoding, class ORDER BY bin) AS upto, sum(c) OVER (PARTITION BY encoding, class) AS m FROM (SELECT encoding, class, bin, count(*) AS c FROM b GROUP BY ALL)),
+cut AS (SELECT encoding, class, max(bin) AS cut FROM u WHERE pow(10, bin / {BINS}.0::DOUBLE) <= upto / m * {FALSE_DISCOVERY} GROUP BY ALL),
+o AS (SELECT r, kind, rank, st, en FROM a WHERE kind <> '{ADDED}' UNION ALL SELECT r, '{ADDED}', {len(BASE)}, st, en FROM b JOIN cut USING (encoding, class) WHERE bin <= cut),
+g AS (SELECT r, {text} AS spans FROM o GROUP BY r),
+f AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {text} AS base FROM a WHERE kind <> '{ADDED}' GROUP BY r)
+SELECT doc_id, COALESCE(n_assign, 0)::BIGINT AS n_assign, COALESCE(n_access, 0)::BIGINT AS n_access, COALESCE(n_hex, 0)::BIGINT AS n_hex, sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans
+FROM d LEFT JOIN f USING (r) LEFT JOIN g USING (r)"""

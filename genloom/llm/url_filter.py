@@ -85,3 +85,34 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 1.0, least: float =
     joined = judged.join(broadcast_if(blocked, blocked.count(), MOST_BROADCAST_HOSTS), F.col("host") == F.col("bad_host"), "left")
     by_method = F.when(F.col("bad_host").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return joined.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"))
+
+
+def _judged_sql(rules) -> str:
+    host = f"translate(COALESCE(regexp_extract(url, '{HOST}', 1), ''), '{UPPER}', '{LOWER}')"
+    cases = {"rule": "", "by_rule": ""}
+    for verdict, rule in sorted(rules, key=lambda r: -len(r[1])):
+        top, _, rest = rule.partition("/")
+        fits = f"(host = '{top}' OR ends_with(host, '.{top}')) AND starts_with(path, '/{rest}')"
+        cases["rule"] += f" WHEN {fits} THEN '{rule}'"
+        cases["by_rule"] += f" WHEN {fits} THEN '{verdict}'"
+    return f"""h AS (SELECT page_id, html, {host} AS host, COALESCE(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+u AS (SELECT *, CASE{cases["rule"]} END AS rule, CASE{cases["by_rule"]} END AS by_rule FROM h)"""
+
+
+def sql(rules=RULES, damping: float = 0.85, rounds: int = 10, threshold: float = 1.0, least: float = 1e-9) -> str:
+    """DuckDB's form: each round of propagation is a table of its own."""
+    link = LINK.replace("'", "''")
+    parts = [
+        _judged_sql(rules),
+        f"l AS (SELECT DISTINCT page_id, host AS src, translate(regexp_extract(x, '{HOST}', 1), '{UPPER}', '{LOWER}') AS dst FROM (SELECT page_id, host, unnest(regexp_extract_all(COALESCE(html, ''), '{link}', 1)) AS x FROM u))",
+        "e AS (SELECT src, dst, count(*) AS links FROM l WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL)",
+        "w AS (SELECT src, dst, links / sum(links) OVER (PARTITION BY src) AS forth, links / sum(links) OVER (PARTITION BY dst) AS back FROM e)",
+        "s AS (SELECT host, avg(CASE WHEN by_rule = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS good, avg(CASE WHEN by_rule = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS bad FROM u WHERE host <> '' GROUP BY 1)",
+        "s0 AS MATERIALIZED (SELECT host, good / COALESCE(NULLIF((SELECT sum(good) FROM s), 0), 1) AS good, bad / COALESCE(NULLIF((SELECT sum(bad) FROM s), 0), 1) AS bad FROM s)",
+        "p0 AS MATERIALIZED (SELECT host, good AS t, bad AS d FROM s0)",
+    ]
+    for i in range(1, rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT host, sum(t) * {damping} AS t, sum(d) * {damping} AS d FROM (SELECT dst AS host, t * forth AS t, 0 AS d FROM w JOIN p{i - 1} ON src = host UNION ALL SELECT src, 0, d * back FROM w JOIN p{i - 1} ON dst = host) GROUP BY 1)")
+        parts.append(f"p{i} AS MATERIALIZED (SELECT host, COALESCE(a.t, 0) + {1 - damping} * COALESCE(good, 0) AS t, COALESCE(a.d, 0) + {1 - damping} * COALESCE(bad, 0) AS d FROM a{i} a FULL JOIN s0 USING (host))")
+    parts.append(f"b AS (SELECT host AS bad_host FROM a{rounds} WHERE d > {threshold} * t AND d >= {least})")
+    return "WITH " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, COALESCE(by_rule, CASE WHEN bad_host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN b ON host = bad_host"
