@@ -28,7 +28,7 @@ from .common import materialize, scratch_path, ship_by_value
 ship_by_value(__name__)
 
 B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-EPOCH = "2024-01-01T00:00:00Z"
+EPOCH = "2024-01-01 00:00:00"
 RANGE_ROWS = 50_000
 RECORDS_PER_FILE = 4_000
 CAPTURE = "page_id long, url string, url_key string, captured string, record_type string, refers_to long, payload_bytes long, payload_digest string, run string, seq long"
@@ -72,7 +72,8 @@ def write_archives(pages: DataFrame, path: str, most_broadcast: int = 1_000_000)
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     revisit = F.coalesce(F.col("first_id") != F.col("page_id"), F.lit(False))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    when = F.concat(F.regexp_replace(F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH).cast("timestamp")) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd HH:mm:ss"), " ", "T"), F.lit("Z"))
+    clock = F.expr(f"cast(timestamp_ntz'{EPOCH}' + make_dt_interval(0, 0, 0, pmod(coalesce(page_id, 0), 1000000000)) as string)")
+    when = F.concat(F.regexp_replace(clock, " ", "T"), F.lit("Z"))  # pages have no time of their own: one second for each id
     head = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
