@@ -53,20 +53,20 @@ def chosen_paths(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> np.ndarra
     """Rows of bucket names along each path of a set, one column for each depth; 0 where a path has ended."""
     limit = np.uint64(min(2**64 - 1, int(2**64 * THRESHOLD[1] / (THRESHOLD[0] * len(tokens)))))
     salts = mix64(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    rows = np.zeros((runs, 0), np.uint64)
-    used = np.zeros((runs, 0), np.int64)
+    rows, used = np.zeros((runs, depth), np.uint64), np.zeros((runs, depth), np.int64)
     ended: list[np.ndarray] = []
-    for _ in range(depth):
+    for d in range(depth):
         p, t = _chosen(tokens, salts, limit)
-        fresh = ~(used[p] == t[:, None]).any(axis=1)
-        p, t = p[fresh], t[fresh]
-        dead = np.setdiff1d(np.arange(len(salts)), p)
-        ended.append(rows[dead])
+        if d:
+            fresh = (used[p, :d] != t[:, None]).all(axis=1)
+            p, t = p[fresh], t[fresh]
+            alive = np.zeros(len(salts), bool)
+            alive[p] = True
+            ended.append(rows[~alive])
         salts = mix64(salts[p] * np.uint64(5) + tokens[t]) | np.uint64(1)
-        rows, used = np.column_stack((rows[p], salts)), np.column_stack((used[p], t))
-    ended.append(rows)
-    wide = [np.pad(r, ((0, 0), (0, depth - r.shape[1]))) for r in ended if r.shape[1]]
-    return np.concatenate(wide) if wide else np.zeros((0, depth), np.uint64)
+        rows, used = rows[p], used[p]
+        rows[:, d], used[:, d] = salts, t
+    return np.concatenate([*ended, rows])
 
 
 def _sketch(tokens: np.ndarray) -> np.ndarray:

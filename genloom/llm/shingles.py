@@ -32,7 +32,19 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return np.where(upper, byte + 32, byte).astype(np.uint64), word
 
 
+_held: dict[str, tuple] = {}
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse; those for a whole piece are kept."""
+    if n > PIECE:
+        return _power_tables(n)
+    if "powers" not in _held:
+        _held["powers"] = _power_tables(PIECE)
+    return _held["powers"]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         inverse = pow(int(BASE), -1, 1 << 64)
         up, down = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, b, np.uint64))), dtype=np.uint64) for b in (BASE, np.uint64(inverse)))
