@@ -135,7 +135,7 @@ SELECT s_nationkey, n, cutoff, count(*) AS n_kept FROM r JOIN c USING (s_nationk
 def occurrence_frequency(spark, sf_dir):
     """Of each class of parts (brand and size) the share of nations that ordered one; 1/25 where none did."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("class_id"))
-    lines = part_nations(spark, sf_dir).where(F.col("l_partkey") % 7 != 3)  # classes without orders exist, too
+    lines = part_nations(spark, sf_dir)
     classes = parts.join(lines, parts.p_partkey == lines.l_partkey).select("class_id", F.col("class_id").alias("gene"), F.col("n_nationkey").alias("genome")).distinct()
     covered = table(spark, sf_dir, "nation").select(F.lit(1).alias("group_no"), F.col("n_nationkey").alias("genome"))
     found = orthology.occurrence(classes, covered)
@@ -144,7 +144,7 @@ def occurrence_frequency(spark, sf_dir):
 
 
 OCCURRENCE_FREQUENCY = f"""WITH {PART_NATIONS}, p AS (SELECT p_partkey, p_brand || '/' || p_size AS class_id FROM part)
-SELECT class_id, round(greatest(count(DISTINCT n), 1) / 25.0::DOUBLE, 6) AS cog FROM p LEFT JOIN pn ON p_partkey = l_partkey AND l_partkey % 7 <> 3 GROUP BY 1"""
+SELECT class_id, round(greatest(count(DISTINCT n), 1) / 25.0::DOUBLE, 6) AS cog FROM p LEFT JOIN pn ON p_partkey = l_partkey GROUP BY 1"""
 
 
 def multi_label_category(spark, sf_dir):
@@ -220,13 +220,13 @@ SELECT l_orderkey, n_seeds, base, round(base * n_seeds::DOUBLE / CASE WHEN cog I
 
 
 def upsert_dim(spark, sf_dir):
-    """Parts, with new prices for a tenth of them."""
+    """Parts, with new names and prices for those of the PROMO type."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    new = parts.where("p_partkey % 10 = 0").select("p_partkey", F.upper("p_name").alias("p_name"), (F.col("p_retailprice") + 1).alias("p_retailprice"))
+    new = table(spark, sf_dir, "part").where("p_type = 'PROMO'").select("p_partkey", F.upper("p_name").alias("p_name"), (F.col("p_retailprice") + 1).alias("p_retailprice"))
     return tags.upsert(parts, new, "p_partkey")
 
 
-UPSERT_DIM = "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_partkey % 10 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS p_retailprice FROM part"
+UPSERT_DIM = "SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_type = 'PROMO' THEN p_retailprice + 1 ELSE p_retailprice END AS p_retailprice FROM part"
 
 
 def union_reference(spark, sf_dir):
@@ -299,7 +299,7 @@ def set_cover(spark, sf_dir):
     from ..operators.sequential import set_cover as cover
 
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    rows = part_nations(spark, sf_dir).join(nations, "n_nationkey").where("l_partkey < 200").distinct()
+    rows = part_nations(spark, sf_dir).join(nations, "n_nationkey").distinct()
     return cover(rows, "n_regionkey", "l_partkey", "n_nationkey")
 
 

@@ -52,7 +52,7 @@ def read_assemblies(spark: SparkSession, path: str) -> DataFrame:
 def read_categories(spark: SparkSession, path: str) -> DataFrame:
     """Category files: the first active line names the category, the others are `id<tab or space>description`; # switches
     a line off."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#")).alias("x")).where(F.size("x") > 0)
+    lines = spark.read.text(path, wholetext=True).select(F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#")).alias("x")).where(F.size("x") > 0)
     rows = lines.select(F.col("x")[0].alias("category"), F.explode(F.slice("x", 2, 1 << 30)).alias("line"))
     f = F.split("line", r"[\t ]+", 2)
     return rows.select("category", f[0].alias("domain_id"), F.coalesce(F.get(f, F.lit(1)), F.lit("")).alias("descr"))
