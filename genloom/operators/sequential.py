@@ -1,17 +1,21 @@
 """Operators whose steps depend on those before: each small group is walked in order inside a task.
 
 Groups are bounded by what they are (islands around a seed, hits of one gene); rows arrive through Spark's shuffle by
-their key.
+their key. The set cover, whose groups may be of any size, takes its turns as joins.
 """
 
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .scratch import store
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -132,20 +136,17 @@ def legacy_walk(df: DataFrame, keys: list[str], start: str, end: str, row_id: st
 
 
 def set_cover(df: DataFrame, key: str, group: str, member: str) -> DataFrame:
-    """(key, group): for each key, groups chosen one by one that add most uncovered members (a tie goes to the larger
-    group, then the smaller name) until nothing is added."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = {g: set(m) for g, m in pdf.groupby(group)[member]}
-        covered: set = set()
-        chosen = []
-        while sets:
-            best = min(sets, key=lambda g: (-len(sets[g] - covered), -len(sets[g]), g))
-            if not sets[best] - covered:
-                break
-            covered |= sets.pop(best)
-            chosen.append(best)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(chosen), group: chosen, "turn": range(1, len(chosen) + 1)})
-
-    return df.select(key, group, member).groupBy(key).applyInPandas(choose, f"`{key}` {kinds[key]}, `{group}` {kinds[group]}, turn int")
+    """(key, group, turn): for each key, groups chosen one by one that add most uncovered members (a tie goes to the larger
+    group, then the smaller name) until nothing is added. All keys take their turn at once, as joins and aggregates, so a
+    key of any size is spread; rows with a null take no part."""
+    rows = store(df.select(key, group, member).dropna().distinct())
+    sizes = store(rows.groupBy(key, group).agg(F.count(F.lit(1)).alias("_size")))
+    left, chosen, turn = rows, [], 0
+    while not chosen or not chosen[-1].isEmpty():
+        turn += 1
+        gains = left.groupBy(key, group).agg(F.count(F.lit(1)).alias("_gain")).join(sizes, [key, group])
+        best = F.min(F.struct((-F.col("_gain")).alias("gain"), (-F.col("_size")).alias("size"), F.col(group).alias("name")))
+        chosen.append(store(gains.groupBy(key).agg(best.alias("_best")).select(key, F.col("_best.name").alias(group), F.lit(turn).alias("turn"))))
+        covered = rows.join(chosen[-1], [key, group]).select(key, member)
+        left = store(left.join(covered, [key, member], "left_anti"))
+    return reduce(DataFrame.unionByName, chosen)

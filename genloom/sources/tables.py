@@ -88,14 +88,12 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def find_input(spark: SparkSession, folder: str, extension: str, word: str | None = None, without: str | None = None) -> str:
-    """The one file in a folder with an extension, a word in its name, and not another; more or none is an error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").load(folder).select("path")
-    name = F.regexp_extract("path", r"[^/]*$", 0)
-    if word:
-        files = files.where(name.contains(word))
-    if without:
-        files = files.where(~name.contains(without))
-    found = [r["path"] for r in files.limit(2).collect()]
+    """The one file in a folder (of any store that Spark reads) with an extension, a word in its name, and not another;
+    more or none is an error. Empty files count, too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = {f.getPath().getName(): f.getPath().toString() for f in listed if f.isFile()}
+    found = [full for name, full in names.items() if name.endswith(extension) and (word or "") in name and not (without and without in name)]
     if len(found) != 1:
         raise FileNotFoundError(f"{'no' if not found else 'more than one'} file *{extension} in {folder}")
     return found[0]

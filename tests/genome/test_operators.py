@@ -173,6 +173,14 @@ def test_markov_clusters(spark):
     assert graph.mcl(m) == [[0, 1, 2]]
 
 
+def test_large_components_are_clustered_by_joins(spark):
+    rng = np.random.default_rng(4)
+    e = [(f"n{a:02d}", f"n{b:02d}", float(rng.uniform(0.2, 1))) for a in range(24) for b in range(a + 1, 24) if rng.random() < (0.8 if a // 6 == b // 6 else 0.04)]
+    edges = spark.createDataFrame(e, "src string, dst string, weight double")
+    assert rows(graph.markov_clusters(edges, most_dense=3), "node", "group_id") == rows(graph.markov_clusters(edges), "node", "group_id")
+    assert rows(graph.markov_clusters(edges, min_size=6, most_dense=3), "node", "group_id") == rows(graph.markov_clusters(edges, min_size=6), "node", "group_id")
+
+
 def test_lifted_and_combined_edges(spark):
     e = spark.createDataFrame([("g1", "h1", 90.0), ("g2", "h1", 70.0), ("g1", "g2", 99.0)], "a string, b string, weight double")
     of = spark.createDataFrame([("g1", "G"), ("g2", "G"), ("h1", "H")], "n string, c string")
@@ -201,6 +209,9 @@ def test_island_fusion_rules():
 def test_set_cover(spark):
     df = spark.createDataFrame([("k", g, m) for g, ms in {"g1": "abc", "g2": "cd", "g3": "d", "g4": "ab"}.items() for m in ms], "key string, grp string, member string")
     assert rows(sequential.set_cover(df, "key", "grp", "member"), "turn", "grp") == [(1, "g1"), (2, "g2")]
+    assert sequential.set_cover(df.where("key = 'none'"), "key", "grp", "member").collect() == []
+    nulls = df.unionByName(spark.createDataFrame([(None, "g1", "a"), ("k", None, "z"), ("j", "g9", "a")], df.schema))
+    assert rows(sequential.set_cover(nulls, "key", "grp", "member"), "key", "turn", "grp") == [("j", 1, "g9"), ("k", 1, "g1"), ("k", 2, "g2")]
 
 
 def test_subgroups():
