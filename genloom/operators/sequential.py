@@ -22,17 +22,37 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LONE_STD, SCORE_GAP, MOST_OUTLIERS = 0.05, 0.1, 2
 
 
-def _spread(scores: list[float], lone: float) -> float:
-    return float(np.std(scores)) if len(scores) > 1 else lone
+class _Scores:
+    """Count, mean and squared deviations of scores; two are joined without their rows."""
 
+    __slots__ = ("n", "mean", "squares")
 
-def fuse(islands: list[list[float]], seed: int, gap: float = SCORE_GAP, lone: float = LONE_STD, most_outliers: int = MOST_OUTLIERS) -> list[int]:
-    """Islands accepted around island `seed`; each island is the list of its rows' scores, in order of place.
+    def __init__(self, scores) -> None:
+        self.n = len(scores)
+        self.mean = float(np.mean(scores)) if self.n else 0.0
+        self.squares = float(((np.asarray(scores, float) - self.mean) ** 2).sum()) if self.n else 0.0
+
+    def spread(self, lone: float) -> float:
+        return (self.squares / self.n) ** 0.5 if self.n > 1 else lone
+
+    def joined(self, other: _Scores) -> _Scores:
+        out = _Scores(())
+        out.n = self.n + other.n
+        apart = other.mean - self.mean
+        out.mean = self.mean + apart * other.n / max(out.n, 1)
+        out.squares = self.squares + other.squares + apart**2 * self.n * other.n / max(out.n, 1)
+        return out
+
+
+def fuse(islands: list, seed: int, gap: float = SCORE_GAP, lone: float = LONE_STD, most_outliers: int = MOST_OUTLIERS) -> list[int]:
+    """Islands accepted around island `seed`; each island is the list of its rows' scores (or their _Scores), in order of
+    place.
 
     Sides take turns. The island next to a side's edge is accepted if its mean is within the gap of the accepted mean, less
     both spreads. One that isn't becomes the side's edge while few outlier rows have been absorbed; it is taken in (its
     scores are not) once an island beyond it is accepted. Two failures in a row end the walk."""
-    accepted, scores = {seed}, list(islands[seed])
+    stats = lambda i: islands[i] if isinstance(islands[i], _Scores) else _Scores(islands[i])
+    accepted, scores = {seed}, stats(seed)
     edge, pending = {-1: seed, 1: seed}, {-1: None, 1: None}
     absorbed, failures, side = 0, 0, -1
     while failures < 2:
@@ -40,18 +60,16 @@ def fuse(islands: list[list[float]], seed: int, gap: float = SCORE_GAP, lone: fl
         if not 0 <= at < len(islands):
             failures, side = failures + 1, -side
             continue
-        own = islands[at]
-        if own:
-            near = True
-            if scores:
-                near = abs(np.mean(scores) - np.mean(own)) - _spread(scores, lone) - _spread(own, lone) < gap
+        own = stats(at)
+        if own.n:
+            near = not scores.n or abs(scores.mean - own.mean) - scores.spread(lone) - own.spread(lone) < gap
             if near:
                 if pending[side] is not None:
                     accepted.add(pending[side])
-                    absorbed += len(islands[pending[side]])
+                    absorbed += stats(pending[side]).n
                     pending[side] = None
                 accepted.add(at)
-                scores += own
+                scores = scores.joined(own)
                 edge[side], failures = at, 0
             elif absorbed < most_outliers:
                 pending[side] = edge[side] = at
@@ -69,11 +87,16 @@ def island_fusion(df: DataFrame, keys: list[str], island: str, score: str, seed:
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.sort(pdf[island].unique())
-        members = [pdf.loc[pdf[island] == i, score].dropna().tolist() for i in names]
+        pdf = pdf.sort_values(island, kind="stable")
+        names, starts = np.unique(pdf[island].to_numpy(), return_index=True)
+        members = [_Scores(x[~np.isnan(x)]) for x in np.split(pdf[score].to_numpy(float), starts[1:])]
         seeds = np.flatnonzero(np.isin(names, pdf.loc[pdf[seed], island].unique()))
-        rows = [(*pdf[keys].iloc[0], names[s], names[i]) for s in seeds for i in fuse(members, int(s), gap)]
-        return pd.DataFrame(rows, columns=[*keys, "seed_island", island])
+        found = [(s, np.array(fuse(members, int(s), gap))) for s in seeds]
+        n = sum(len(f) for _, f in found)
+        out = {k: [pdf[k].iloc[0]] * n for k in keys}
+        out["seed_island"] = np.concatenate([np.repeat(names[s], len(f)) for s, f in found]) if found else []
+        out[island] = np.concatenate([names[f] for _, f in found]) if found else []
+        return pd.DataFrame(out)
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"seed_island {kinds[island]}", f"`{island}` {kinds[island]}"])
     return df.select(*keys, island, score, seed).groupBy(*keys).applyInPandas(walk, schema)
