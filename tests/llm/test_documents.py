@@ -166,6 +166,20 @@ def test_secret_base_matches_equal_python(spark):
     assert secrets.secret_digest(frame(spark, [])).collect() == []
 
 
+def test_bare_keys_of_every_encoding_and_length_are_found(spark):
+    rng = random.Random(4)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    alphabets = {"HEX": "0123456789ABCDEF", "hex": "0123456789abcdef", "base32": base62[:26] + "234567", "base36": base62[26:], "base62": base62, "base64": base62 + "+/"}
+    planted = [(e, n) for e in alphabets for n in (20, 22, 24, 32, 40, 48, 64) for _ in range(20)]
+    word = lambda: rng.choice("account service database connection manager handler request response token value index image content river station".split())
+    written = [lambda: "_".join(word() for _ in range(4)) + "2", lambda: "".join(word().title() for _ in range(4)) + "1", lambda: "/lib/" + "/".join(word() for _ in range(3)) + "/v2", lambda: "BUILD_" + "_".join(word() for _ in range(3)).upper() + "_64"]
+    texts = ["a " + "".join(rng.choice(alphabets[e]) for _ in range(n)) + " b" for e, n in planted] + [rng.choice(written)() for _ in range(400)]
+    got = {r.doc_id: r.spans for r in secrets.secret_digest(frame(spark, texts)).collect()}
+    found = Counter(p for i, p in enumerate(planted) if re.search(r"\b(random|hex):", got[i]))
+    assert {p: found[p] for p in set(planted) if found[p] < 17} == {}
+    assert sum(got[i] != "" for i in range(len(planted), len(texts))) <= 8
+
+
 def test_shards_are_near_equal_and_slots_gapless(spark, texts):
     many = (texts + texts[:20]) * 5 + ["same"] * 700
     rows = sharding.shard_documents(frame(spark, many, sources=[None if i % 7 == 0 else f"s{i % 5}" for i in range(len(many))]), 24).collect()
