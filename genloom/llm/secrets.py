@@ -1,7 +1,7 @@
 """Secret scans: three patterns, and a battery of randomness tests with length-aware false-discovery control.
 
-Runs of key-like characters are candidates. A candidate's encoding (hex, base32, base36, base62, base64) is inferred
-from its characters. Two tests ask whether it may be written (words, names, numbers): its chi-squared distance from a
+Runs of key-like characters are candidates. A candidate's encoding (decimal, one or two cases of letters, hex, base32, base36,
+base62, base64) is inferred from its characters. Two tests ask whether it may be written (words, names, numbers): its chi-squared distance from a
 uniform alphabet against what written strings of that encoding give at that length (a lower-tail p-value: small means
 too even), and the chance of its characters and of its changes between letters and digits in writing against their
 chance at random (a likelihood ratio, which by Markov's inequality is a p-value). p is twice the smaller. The
@@ -42,7 +42,15 @@ ENCODINGS = {
 FALSE_DISCOVERY, TEST_ALPHA_Z, BINS = 0.01, 3.29, 20
 #: Chance that two characters of written strings of an encoding agree. Written hex is digits (0.1) and letters of a to f
 #: (0.26), some half of each.
-WRITTEN_MATCH = {"hex": 0.09}
+WRITTEN_MATCH = {"hex": 0.09, "decimal": 0.13}
+#: Encodings without both a digit and a letter, tried before ENCODINGS, of which sql() knows no more. Written numbers (dates,
+#: round ones) repeat digits a bit more often than by chance.
+PLAIN = {
+    "decimal": ("^[0-9]+$", "0123456789"),
+    "alpha": ("^[a-z]+$|^[A-Z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    "letters": ("^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+}
+FOLDED = ("alpha", "hex", "base36")
 #: Writing as a chain of classes (lower, upper, digit, sign), then a character of the class. Letters: shares in written
 #: European languages, rare ones raised to 0.5 %. Each row of chances sums to 1.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-")
@@ -110,12 +118,12 @@ def test_battery(candidates: DataFrame) -> DataFrame:
     """Adds encoding, n, chi2, z_runs, z_serial and p to rows with `s`, the candidate's characters."""
     encoding = F.when(F.lit(False), None)
     symbols = F.when(F.lit(False), None)
-    for name, (pattern, alphabet) in ENCODINGS.items():
+    for name, (pattern, alphabet) in (PLAIN | ENCODINGS).items():
         encoding = encoding.when(F.col("s").rlike(pattern), name) if pattern else encoding.otherwise(name)
     rows = candidates.withColumn("encoding", encoding)
-    for name, (_, alphabet) in ENCODINGS.items():
+    for name, (_, alphabet) in (PLAIN | ENCODINGS).items():
         symbols = symbols.when(F.col("encoding") == name, F.lit(alphabet))
-    folded = F.when(F.col("encoding").isin("hex", "base36"), F.lower("s")).otherwise(F.translate("s", "-_", "+/"))
+    folded = F.when(F.col("encoding").isin(*FOLDED), F.lower("s")).otherwise(F.translate("s", "-_", "+/"))
     rows = rows.withColumn("symbols", symbols).withColumn("t", F.regexp_replace(folded, "=+$", ""))
     rows = rows.withColumn("v", F.expr("transform(filter(split(t, ''), c -> c <> ''), c -> instr(symbols, c) - 1)"))
     rows = rows.withColumn("n", F.size("v").cast("double")).withColumn("k", F.length("symbols").cast("double"))
@@ -137,6 +145,7 @@ def test_battery(candidates: DataFrame) -> DataFrame:
         match = F.when(F.col("encoding") == name, chance).otherwise(match)
     excess = n * F.greatest(F.col("k") * match - 1, F.lit(0.0))
     ratio = F.exp(F.least(written_log_chance(F.regexp_replace("s", "=+$", "")) + n * F.log("k"), F.lit(0.0)))
+    ratio = F.when(F.col("encoding") == "decimal", 1.0).otherwise(ratio)  # digits of written numbers are even enough
     z = (F.col("chi2") - (F.col("k") - 1 + excess)) / F.sqrt(2 * (F.col("k") - 1) + 4 * excess)
     df = F.col("k") - 1
     uneven = (F.pow(F.col("chi2") / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))  # Wilson and Hilferty
@@ -165,8 +174,7 @@ def scan(docs: DataFrame) -> DataFrame:
     slim = slim.select("doc_id", "row", F.concat(*[pattern_spans(F.col("text"), k, *v) for k, v in BASE.items()]).alias("base"), pattern_spans(F.col("text"), ADDED, CANDIDATE, 0, 20).alias("more"), "text")
     # only spans and the candidates' own characters are kept
     slim = slim.withColumn("more", F.transform(F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.substring(F.col("text"), m["start"] + 1, m["end"] - m["start"]).alias("s"))))
-    mixed = lambda m: m["s"].rlike("[0-9]") & m["s"].rlike("[A-Za-z]")
-    slim = materialize(slim.withColumn("more", F.filter("more", mixed)).drop("text"), "secret-spans")
+    slim = materialize(slim.drop("text"), "secret-spans")
     candidates = slim.where(F.size("more") > 0).select("row", F.explode("more").alias("m")).select("row", "m.start", "m.end", "m.s")
     found = discoveries(test_battery(candidates)).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(ADDED).alias("kind"), "end")).alias("added"))
     none = F.array().cast("array<struct<start:int,kind:string,end:int>>")

@@ -180,6 +180,19 @@ def test_bare_keys_of_every_encoding_and_length_are_found(spark):
     assert sum(got[i] != "" for i in range(len(planted), len(texts))) <= 8
 
 
+def test_keys_of_letters_alone_are_tested(spark):
+    rng = random.Random(8)
+    low, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    planted = [(a, n) for a in (low, upper, low + upper) for n in (32, 40, 64) for _ in range(20)]
+    word = lambda: rng.choice("account service database connection manager handler request response token value index image content river station".split())
+    written = [lambda: "".join(word() for _ in range(4)), lambda: "".join(word().title() for _ in range(4)), lambda: "/" + "/".join(word() for _ in range(4)), lambda: "BUILD_" + "_".join(word() for _ in range(3)).upper(), lambda: "-" * 40, lambda: "1234567890" * 3, lambda: "2024" + "0" * 20, lambda: "x" * 30, lambda: str(rng.randrange(10**24, 10**25))]
+    texts = ["a " + "".join(rng.choice(a) for _ in range(n)) + " b" for a, n in planted] + [written[i % len(written)]() for i in range(400)]
+    got = {r.doc_id: r.spans for r in secrets.secret_digest(frame(spark, texts)).collect()}
+    found = Counter(p for i, p in enumerate(planted) if "random:" in got[i])
+    assert {p: found[p] for p in set(planted) if found[p] < 14} == {}
+    assert sum("random:" in got[i] for i in range(len(planted), len(texts))) <= 8
+
+
 def test_shards_are_near_equal_and_slots_gapless(spark, texts):
     many = (texts + texts[:20]) * 5 + ["same"] * 700
     rows = sharding.shard_documents(frame(spark, many, sources=[None if i % 7 == 0 else f"s{i % 5}" for i in range(len(many))]), 24).collect()
