@@ -3,7 +3,8 @@
 Hosts are nodes, and links in pages are edges between hosts. Trust is a personalised PageRank from hosts with pages
 that allow rules fit; distrust is the same on reversed edges, from hosts with pages that block rules fit (who links
 to blocked hosts is distrusted). A host whose arriving distrust exceeds its arriving trust by the threshold is
-blocked. Seeds are weighed by the share of the host's pages that the rules decide, and a host's own seed doesn't
+blocked; only the two are compared, so verdicts don't depend on how many hosts or links the table has. Links may leave
+out the scheme (`//host/...`). Seeds are weighed by the share of the host's pages that the rules decide, and a host's own seed doesn't
 count against its other pages: only what arrives over links does. Everything is DataFrame operations; one row per
 pair of hosts is shuffled, whatever the number of links.
 
@@ -22,6 +23,9 @@ from .common import broadcast_if, materialize
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s<>]+)"""
 HOST = r"://([^/?#]*)"
+#: Links with or without a scheme, and their host. LINK and HOST are sql()'s.
+ANY_LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s<>]+)"""
+LINK_HOST = r"^[^/]*//([^/?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MOST_BROADCAST_HOSTS = 100_000
 
@@ -30,6 +34,10 @@ def host_of(url: Column) -> Column:
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1), UPPER, LOWER)
 
 
+def linked_host(link: Column) -> Column:
+    return F.translate(F.regexp_extract(link, LINK_HOST, 1), UPPER, LOWER)
+
+
 def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"://[^/?#]*([^?#]*)", 1)
 
@@ -46,7 +54,7 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, links): links between different hosts, counted once for each page and target host."""
-    targets = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)), host_of))
+    targets = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(ANY_LINK), F.lit(1)), linked_host))
     pairs = pages.select(host_of(F.col("url")).alias("src"), F.explode(targets).alias("dst"))
     return pairs.where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
@@ -69,8 +77,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return arrived.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, threshold: float = 1.0, least: float = 1e-9) -> DataFrame:
-    """page_id, host, path, rule, verdict. A host is blocked if distrust > threshold x trust, and at least `least`."""
+def judge(pages: DataFrame, rules=RULES, threshold: float = 1.0) -> DataFrame:
+    """page_id, host, path, rule, verdict. A host is blocked if distrust > threshold x trust."""
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = judged.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("by_rule"))
     edges = materialize(host_edges(pages), "url-links")
@@ -81,7 +89,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 1.0, least: float =
     total = hosts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     seeds = hosts.select("host", *[(F.col(c) / F.lit(total[c] or 1.0)).alias(c) for c in ("good", "bad")])
     scores = propagate(edges, seeds)
-    blocked = materialize(scores.where((F.col("distrust") > threshold * F.col("trust")) & (F.col("distrust") >= least)).select(F.col("host").alias("bad_host")), "url-blocked")
+    blocked = materialize(scores.where(F.col("distrust") > threshold * F.col("trust")).select(F.col("host").alias("bad_host")), "url-blocked")
     joined = judged.join(broadcast_if(blocked, blocked.count(), MOST_BROADCAST_HOSTS), F.col("host") == F.col("bad_host"), "left")
     by_method = F.when(F.col("bad_host").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return joined.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"))
@@ -100,7 +108,8 @@ u AS (SELECT *, CASE{cases["rule"]} END AS rule, CASE{cases["by_rule"]} END AS b
 
 
 def sql(rules=RULES, damping: float = 0.85, rounds: int = 10, threshold: float = 1.0, least: float = 1e-9) -> str:
-    """DuckDB's form: each round of propagation is a table of its own."""
+    """DuckDB's form as first built: each round of propagation is a table of its own. Unlike judge(), it has a least
+    distrust and takes only links with a scheme."""
     link = LINK.replace("'", "''")
     parts = [
         _judged_sql(rules),

@@ -184,3 +184,25 @@ def test_url_verdicts_equal_brute_force(spark):
     assert [g[:4] for g in got] == [w[:4] for w in want]
     assert got == want and {"block"} == {v for _, h, _, r, v in got if h == "farm.biz" and r is None} and {"allow"} == {v for _, h, _, r, v in got if h == "e.io" and r is None}
     assert url_filter.judge(pages(spark, [])).collect() == []
+
+
+def test_url_verdicts_do_not_depend_on_the_size_of_the_graph(spark):
+    fan = 300
+
+    def graph(copy):
+        host = lambda level, i: f"h{level}-{i}.c{copy}.io"
+        to = lambda level: host(level, 0) if level else f"bad.c{copy}.net"
+        return [(f"http://{host(level, i)}/", f"<a href='http://{to(level - 1)}/'>") for level in (1, 2, 3) for i in range(fan)] + [(f"http://{to(0)}/", ""), (f"http://alone.c{copy}.io/", "")]
+
+    def verdicts(copies):
+        rows = [(i, u, h) for i, (u, h) in enumerate(r for c in range(copies) for r in graph(c))]
+        return [r.verdict for r in sorted(url_filter.judge(pages(spark, rows)).collect(), key=lambda r: r.page_id)]
+
+    once = verdicts(1)
+    assert once == ["block"] * (3 * fan + 1) + ["allow"]
+    assert verdicts(6) == once * 6
+
+
+def test_links_without_a_scheme_are_edges(spark):
+    rows = [(1, "http://a.net/", ""), (2, "http://farm.biz/", "<a href='//A.net/x'>"), (3, "http://img.biz/", '<img src=//a.net?y>'), (4, "http://own.biz/", "<a href='/a//a.net/'><a href='x//a.net'>")]
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages(spark, rows)).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
