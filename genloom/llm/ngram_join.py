@@ -4,7 +4,8 @@ Documents are sets of five-word shingles; equal sets are one node. In each run,
 1 / (threshold x size), by a hash that all sets share, and so on along the path: sets that are alike choose alike, so
 the tokens chosen so far name a bucket. A bucket that is small enough is compared by brute force; a larger one is split
 by the next chosen token, row by row, without ever being brought together. Runs are repeated until a pair at the
-threshold is missed with less than the chance that the target recall leaves. Brute force in buckets uses sketches and
+threshold, even one whose buckets are all large but those of the deepest level, is missed with less than the chance
+that the target recall leaves. Brute force in buckets uses sketches and
 keeps a forest; groups so connected are then verified on their whole sets: all pairs of a group, in blocks of bounded
 size, so that links that no run brought together count too, and counts are exact without pairs ever being written.
 
@@ -37,11 +38,29 @@ SKETCH, SKETCH_LEAST = 32, 0.45
 BUCKET = 1024
 BLOCK = 1000
 MOST_BROADCAST = 1_000_000
+SIZES = 1000  # from this size on, runs are as many as for the size below
 
 
-def runs_for(recall: float) -> int:
-    """Runs until a pair at the threshold shares a chosen token in some run: each misses it with a chance of at most 1/e."""
-    return math.ceil(-math.log(1 - recall)) + 1
+def missed(n: int, depth: int = DEPTH) -> float:
+    """The chance that a run has no path of `depth` that a pair at the threshold shares, the larger set having n tokens.
+
+    Each shared token is chosen by both with a chance of 1 / (threshold x n), and a path uses a token once."""
+    num, den = THRESHOLD
+    shared, chance, miss = -(-num * n // den), min(1.0, den / (num * n)), 0.0
+    for used in reversed(range(depth)):
+        miss = (1 - chance + chance * miss) ** max(0, shared - used)
+    return miss
+
+
+def runs_for(recall: float) -> np.ndarray:
+    """Runs of a set, by its size (the last for all larger ones), until a pair is missed with a chance of 1 - recall at most.
+
+    A pair may have to be told apart at the deepest level, as its buckets above are large. Both sets of a pair take part
+    in as many runs as the larger one needs. Sets that are alike but not equal have a larger one of five tokens at least."""
+    num, den = THRESHOLD
+    least = num // (den - num) + 1
+    need = [0 if n < least else math.ceil(math.log(1 - recall) / math.log(missed(n))) for n in range(SIZES * den // num + 2)]
+    return np.array([max(1, *need[n : n * den // num + 1]) if n else 1 for n in range(SIZES)])
 
 
 def _chosen(tokens: np.ndarray, salts: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +102,7 @@ def _name(tokens: np.ndarray) -> int:
     return int(total.astype(np.int64)[0])
 
 
-def _describe(runs: int) -> Callable:
+def _describe(runs: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             names, sizes, sketches, paths = [], [], [], []
@@ -92,7 +111,7 @@ def _describe(runs: int) -> Callable:
                 names.append(_name(tokens) if some else None)
                 sizes.append(len(tokens))
                 sketches.append(_sketch(tokens).tobytes() if some else None)
-                paths.append(chosen_paths(tokens, runs).tobytes() if some else None)
+                paths.append(chosen_paths(tokens, int(runs[min(len(tokens), len(runs) - 1)])).tobytes() if some else None)
             yield pa.record_batch([batch.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(paths, pa.binary())], names=["doc_id", "node", "n", "sketch", "paths"])
 
     return run

@@ -91,6 +91,17 @@ def test_large_buckets_and_groups_are_split(spark, texts, monkeypatch):
     assert got == brute_classes(more)
 
 
+def test_isolated_pairs_are_found_at_the_deepest_level(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET", 1)  # the bucket of any pair is large
+    rng = random.Random(11)
+    texts = []
+    for n in [9] * 400 + [14] * 200:  # 4 of 5 and 8 of 10 shingles are shared
+        w = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        texts += [" ".join(w), " ".join(w[: n - (n - 4) // 5])]
+    got = {r.doc_id: r.class_id for r in ngram_join.near_duplicates(frame(spark, texts)).collect()}
+    assert [i for i in range(0, len(texts), 2) if got[i + 1] != i] == []
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert ngram_join.near_duplicates(frame(spark, [])).collect() == []
 
