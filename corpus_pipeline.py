@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns rows with the columns of `documents`, but for the last, which
 returns where each row goes: doc_id, size, text_crc32, law, shard, slot, grown_shard. A stage's result is written as
-Parquet and read again as the next one's docs. doc_id names a document: rows that repeat one are copies of it.
+Parquet and read again as the next one's docs. Near duplicates and contaminated documents are dropped by row, so rows
+with a null doc_id, or one that repeats, are judged by their own text.
 """
 
 from __future__ import annotations
@@ -20,10 +21,20 @@ SHARDS = 24
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` without the rows whose doc_id is in `ids`; their texts are only shuffled if `ids` is too large to send."""
-    ids = materialize(ids.select(F.col("doc_id").alias("_dropped")).distinct(), "pipeline-dropped")
-    return docs.join(broadcast_if(ids, ids.count(), MOST_BROADCAST), F.col("doc_id") == F.col("_dropped"), "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a number for each row in `_row`, stored, so that it stays."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-numbered")
+
+
+def _by_row(numbered: DataFrame) -> DataFrame:
+    """`numbered` with the row's number as its doc_id."""
+    return numbered.withColumn("doc_id", F.col("_row")).drop("_row")
+
+
+def _without(numbered: DataFrame, rows: DataFrame) -> DataFrame:
+    """`numbered` without the rows numbered in `rows`; their texts are only shuffled if `rows` is too large to send."""
+    rows = materialize(rows.select(F.col("doc_id").alias("_dropped")), "pipeline-dropped")
+    return numbered.join(broadcast_if(rows, rows.count(), MOST_BROADCAST), F.col("_row") == F.col("_dropped"), "left_anti").drop("_row")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,18 +44,25 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class of near duplicates."""
+    """The row with the smallest doc_id (nulls last) of each class of near duplicates."""
     with stage_scratch(spark):
-        found = materialize(ngram_join.near_duplicates(docs).select("doc_id", "class_id"), "pipeline-classes")
-        kept = _without(docs, found.where("doc_id <> class_id"))
-        repeated = found.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1")
-        return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+        numbered = _numbered(docs)
+        found = materialize(ngram_join.near_duplicates(_by_row(numbered)).select("doc_id", "class_id"), "pipeline-classes")
+        several = found.where("doc_id <> class_id").select("class_id").distinct().select(F.col("class_id").alias("_class"))
+        several = materialize(several, "pipeline-several")
+        several = broadcast_if(several, several.count(), MOST_BROADCAST)
+        members = found.join(several, F.col("class_id") == F.col("_class"), "left_semi").withColumnRenamed("doc_id", "row")
+        members = materialize(members.join(numbered.select("_row", "doc_id"), F.col("row") == F.col("_row")).select("class_id", "row", "doc_id"), "pipeline-members")
+        first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+        kept = members.groupBy("class_id").agg(F.min(first)["row"].alias("_kept"))
+        return _without(numbered, members.join(kept.select("_kept"), F.col("row") == F.col("_kept"), "left_anti").select(F.col("row").alias("doc_id")))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too little of the benchmark to count as contaminated."""
     with stage_scratch(spark):
-        return _without(docs, decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+        numbered = _numbered(docs)
+        return _without(numbered, decontam.contamination(_by_row(numbered), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,19 @@ def test_pipeline(spark, tmp_path):
     assert clean <= set(seen["decontamination"]) and not {i for i in seen["decontamination"] if 400 <= i < 405}
     assert sorted(seen["mixing"]) == sorted(seen["sharding"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["sharding"])
+
+
+def test_null_and_repeated_ids_are_judged_by_their_own_text(spark, tmp_path):
+    rng = random.Random(3)
+    passage = words(rng, 40)
+    text = [words(rng, 60) for _ in range(6)]
+    held = passage + " " + words(rng, 10)
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (7, text[2]), (7, text[3]), (7, text[2]), (8, text[4]), (None, text[4]), (3, text[3]), (9, held), (None, held + " more"), (9, text[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.keep_one_of_each(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id or 0, r.text) for r in got.collect()))
+    assert kept == sorted([(0, text[0]), (0, text[1]), (7, text[2]), (3, text[3]), (8, text[4]), (9, held), (9, text[5])])
+    clean = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.keep_uncontaminated(spark, docs, str(tmp_path)).collect())
+    assert clean == sorted((i or 0, t) for i, t in rows if passage not in t)
