@@ -111,6 +111,51 @@ def test_main_text_without_named_regions():
     assert text.count("Paragraph") == 5 and "Tiny." in text and "Link" not in text and "side" not in text
 
 
+def by_hand(html):
+    """The text of the article element, by patterns of the test pages' own markup."""
+    import html as markup
+    import re
+
+    inside = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    lines = [markup.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?[bi]>", "", x))) for x in re.split(r"</?(?:h1|p)>", inside)]
+    return "\n".join(x for x in (re.sub(r"\s+", " ", line).strip() for line in lines) if x)
+
+
+def test_main_text_of_all_test_pages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r.page_id: by_hand(r.html) for r in rows.collect()}
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(rows).collect()}
+    assert got == want
+
+
+LINKS = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(30))
+PARAGRAPHS = "".join(f"<p>Paragraph {i} has many words in it, so that its ratio of text to tags is high enough to count.</p>" for i in range(5))
+SOUPS = {
+    "article": f"<body><div><ul>{LINKS}</ul></div><article><h1>Title</h1>{PARAGRAPHS}<p>Tiny.</p></article><div><ul>{LINKS}</ul></div></body>",
+    "divs": f"<body><div class=x1><ul>{LINKS}</ul></div><div class=x2><div><h2>Title</h2></div><div>{PARAGRAPHS}<p>Tiny.</p></div><div>{PARAGRAPHS}</div><div><p>See <a>one</a></p><p><a>two</a></p></div></div><div><ul>{LINKS}</ul></div></body>",
+    "table": f"<table><tr><td><ul>{LINKS}</ul><td><h3>Title</h3>{PARAGRAPHS}<td><ul>{LINKS}</ul></table>",
+}
+
+
+@pytest.mark.parametrize("name", SOUPS)
+def test_clusters_choose_the_region(name):
+    page = html_extract.parsed(SOUPS[name])
+    text = html_extract.main_text(SOUPS[name])
+    assert "Title" in text and text.count("Paragraph") == (10 if name == "divs" else 5) and "Link" not in text and "See" not in text
+    assert ("Tiny." in text) == (name != "table")
+    off = "\n".join(html_extract.content_lines(page, np.ones(len(page.lines), bool)))
+    assert off != text and "Link" in off
+
+
+@pytest.mark.parametrize("piece", ["<div>a ", "<p><b>a ", "<div class=ad>a ", "<article>a", "</div>a<b>", "<table><tr><td>a", "<li>a<ul>", "&amp", "<", "<!-", "<b <"])
+def test_main_text_takes_time_in_proportion(piece):
+    import time
+
+    began = time.time()
+    html_extract.main_text(piece * 100_000)
+    assert time.time() - began < 20
+
+
 def test_main_text_rows(spark):
     long = "<p>" + "long text " * 100_000 + "</p>"
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words"), (4, "u", "<p>cut <b>of"), (5, "u", long), (5, "u", ARTICLE), (6, "u", "<nav>only</nav>")]
