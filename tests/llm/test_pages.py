@@ -52,17 +52,18 @@ def test_loser_tree(k):
 
 
 def brute_top(rows, k):
-    v = {i: [int(np.floor(64 * float(np.float32(x)))) for x in e] for i, e in rows if e is not None and all(x is not None and np.isfinite(x) for x in e)}
+    v = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in e]) for i, e in rows if e is not None and all(x is not None and np.isfinite(x) for x in e)]
     out = []
-    for q in v:
-        if q % 20 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q))[:k]
-            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
-    return sorted(out)
+    for a, (q, x) in enumerate(v):
+        if q is not None and q % 20 == 0:
+            best = sorted((-sum(s * t for s, t in zip(x, y)), c is None, c or 0) for b, (c, y) in enumerate(v) if a != b and len(x) == len(y))[:k]
+            out += [(q, r + 1, None if none else c, -s) for r, (s, none, c) in enumerate(best)]
+    return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("shape", ["random", "clustered", "tied"])
-def test_top_k_equals_brute_force(spark, shape):
+@pytest.mark.parametrize("block", [None, 40])
+@pytest.mark.parametrize("shape", ["random", "clustered", "tied", "large"])
+def test_top_k_equals_brute_force(spark, shape, block):
     rng = np.random.default_rng(3)
     n, dims = 300, 8
     x = rng.normal(0, 0.2, (n, dims))
@@ -70,23 +71,40 @@ def test_top_k_equals_brute_force(spark, shape):
         x[:, 0] += np.where(np.arange(n) % 10 == 0, 4, 0)
     if shape == "tied":
         x[40:240] = x[40]
+    if shape == "large":
+        x *= 2.0**24
     rows = [(i, [float(a) for a in x[i]]) for i in range(n)]
-    rows += [(300, None), (301, [None] * dims), (302, [float("nan")] * dims), (303, [float("inf")] * dims), (320, [0.0] * dims)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 20, block=128, query_block=7).collect())
+    rows += [(300, None), (301, [None] * dims), (302, [float("nan")] * dims), (303, [float("inf")] * dims), (320, [0.0] * dims), (340, [1.0, 2.0]), (360, []), (None, rows[5][1]), (None, rows[6][1])]
+    rows += [rows[20], rows[20], (20, rows[7][1]), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).withColumn("row", F.lit("clash"))
+    got = sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 20, block).collect()), key=str)
     assert got == brute_top(rows, 20)
     assert topk.top_k(df.where("vec_id < 0"), F.col("vec_id") % 20 == 0).collect() == []
 
 
-def test_sorted_reading_stops_early_on_steep_lists():
+@pytest.mark.parametrize("shape,most_read,most_resolved", [("steep", 0.3, 0.05), ("uniform", 0.95, 0.125)])
+def test_few_vectors_are_resolved(shape, most_read, most_resolved):
     rng = np.random.default_rng(0)
-    c = np.round(rng.pareto(1.0, (4000, 3)) * 10).astype(np.int64)
-    q = np.array([[3, 2, 1], [1, 1, 1]])
+    n, dims, k = 4000, 3 if shape == "steep" else 64, 20
+    c = np.round(rng.pareto(1.0, (n, dims)) * 10).astype(np.int64) if shape == "steep" else np.floor(rng.normal(0, 8, (n, dims))).astype(np.int64)
+    q = c[:100]
+    first, second = topk.Block(np.arange(n // 2), np.arange(n // 2), c[: n // 2]), topk.Block(np.arange(n // 2, n), np.arange(n // 2, n), c[n // 2 :])
+    i, _, score = topk.nra(first, q, np.arange(100), np.full(100, topk.NO_FLOOR), k)
+    floor = np.array([score[i == a].min() for a in range(100)])
     stats: dict = {}
-    ids, vectors, scores = topk.nra_block(q, np.array([-1, -2]), c, np.arange(4000), 5, stats)
-    assert sum(stats.values()) > 0
-    for row, i in ((0, -1), (1, -2)):
-        assert sorted(scores[ids == i], reverse=True) == sorted((c @ q[row]).tolist(), reverse=True)[:5]
+    i2, _, score2 = topk.nra(second, q, np.arange(100), floor, k, stats)
+    every = q @ c.T
+    every[np.arange(100), np.arange(100)] = -(10**9)
+    for a in range(100):
+        assert sorted([*score[i == a], *score2[i2 == a]], reverse=True)[:k] == sorted(every[a].tolist(), reverse=True)[:k]
+    assert stats["read"] <= most_read * 100 * n / 2 and stats.get("resolved", 0) <= most_resolved * 100 * n / 2
+
+
+def test_blocks_that_cannot_qualify_get_no_queries(spark):
+    rows = [(i, [10.0, 0.0] if i < 40 else [0.1, 0.0]) for i in range(400)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ends = topk.block_bounds(topk.integer_vectors(v).withColumn("dims", F.size("v")).withColumn("block", (F.col("vec_id") / 40).cast("int")))
+    assert {r.block: [tuple(e)[1:] for e in r.ends] for r in ends.collect()} == {0: [(640, 640), (0, 0)], **{b: [(6, 6), (0, 0)] for b in range(1, 10)}}
 
 
 ARTICLE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no";</script><style>p{}</style></head><body>
