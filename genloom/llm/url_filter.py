@@ -1,16 +1,16 @@
 """URL verdicts by rules, and by link-graph propagation where no rule fits.
 
-Hosts are nodes, and links in pages are edges between hosts. Trust is a personalised PageRank from hosts with pages
-that allow rules fit; distrust is the same on reversed edges, from hosts with pages that block rules fit (who links
-to blocked hosts is distrusted). A host whose arriving distrust exceeds its arriving trust by the threshold is
-blocked; only the two are compared, so verdicts don't depend on how many hosts or links the table has. Links may leave
-out the scheme (`//host/...`). Seeds are weighed by the share of the host's pages that the rules decide, and a host's own seed doesn't
-count against its other pages: only what arrives over links does. Everything is DataFrame operations; one row per
-pair of hosts is shuffled, whatever the number of links.
-
-Defined results: a null url, or one without `://`, has an empty host and path, and no rule fits; pages that repeat
-are judged one by one; a host without links is allowed; an empty table gives an empty result; other columns are
-ignored.
+Hosts are nodes, and links in pages are edges between hosts. Trust is a personalised PageRank from trusted hosts, and distrust
+is the same on reversed edges from blocked hosts: who links to a blocked host is distrusted. Seeds are hosts with pages that
+the rules decide, weighed by the share of such pages; a seed keeps the part of its score that PageRank's jumps return to it.
+Each host has its own threshold, its trust: it is blocked if its distrust is larger. Only the two are compared, so verdicts
+don't depend on how many hosts or links the table has. Links may leave out the scheme (`//host/...`). Everything is DataFrame
+operations; one row per pair of hosts is shuffled, whatever the number of links.
+
+Defined results: a null url, or one without `://`, has an empty host and path, no rule fits, and it is allowed; pages that
+repeat are judged one by one, and count as often; a host without distrust is allowed, one with equal trust and distrust too;
+a seed without links is judged by its own pages' rules: one with blocked pages and no allowed ones is blocked as a whole; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from .common import broadcast_if, materialize
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s<>]+)"""
-HOST = r"://([^/?#]*)"
-#: Links with or without a scheme, and their host. LINK and HOST are sql()'s.
-ANY_LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s<>]+)"""
+#: Links with or without a scheme, and their host.
+LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s<>]+)"""
 LINK_HOST = r"^[^/]*//([^/?#]*)"
+HOST = r"://([^/?#]*)"
+EVEN = 1 + 1e-9  # sums that are equal but for the order of adding
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MOST_BROADCAST_HOSTS = 100_000
+CUT = 5  # rounds between stored scores
 
 
 def host_of(url: Column) -> Column:
@@ -54,27 +55,28 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, links): links between different hosts, counted once for each page and target host."""
-    targets = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(ANY_LINK), F.lit(1)), linked_host))
+    targets = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)), linked_host))
     pairs = pages.select(host_of(F.col("url")).alias("src"), F.explode(targets).alias("dst"))
     return pairs.where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(host, trust, distrust) that arrive over links. edges: src, dst, links; seeds: host, good, bad (each sums to 1)."""
+    """(host, trust, distrust). edges: src, dst, links; seeds: host, good, bad (each sums to 1)."""
     out = edges.groupBy("src").agg(F.sum("links").alias("out_links"))
     into = edges.groupBy("dst").agg(F.sum("links").alias("in_links"))
-    weighed = materialize(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("links") / F.col("out_links")).alias("forth"), (F.col("links") / F.col("in_links")).alias("back")), "url-edges")
-    seeds = materialize(seeds, "url-seeds")
-    score = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    arrived = None
-    for _ in range(rounds):
-        sent = weighed.join(score, weighed.src == score.host).select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
-        returned = weighed.join(score, weighed.dst == score.host).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
-        arrived = materialize(sent.unionByName(returned).groupBy("host").agg((F.sum("t") * damping).alias("t"), (F.sum("d") * damping).alias("d")), "url-arrived")
-        both = arrived.join(seeds, "host", "full")
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-        score = materialize(both.select("host", (zero("t") + (1 - damping) * zero("good")).alias("trust"), (zero("d") + (1 - damping) * zero("bad")).alias("distrust")), "url-score")
-    return arrived.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
+    weighed = materialize(edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("links") / F.col("out_links") * damping).alias("forth"), (F.col("links") / F.col("in_links") * damping).alias("back")), "url-edges")
+    # a round is one join of the scores with both directions
+    sent = weighed.select(F.col("src").alias("sender"), F.col("dst").alias("to"), "forth", F.lit(0.0).alias("back"))
+    ways = sent.unionByName(weighed.select(F.col("dst").alias("sender"), F.col("src").alias("to"), F.lit(0.0).alias("forth"), "back"))
+    seeds = materialize(seeds.where("good > 0 or bad > 0").select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")), "url-seeds")
+    jumps = seeds.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
+    score = seeds
+    for i in range(rounds):
+        arrived = score.join(ways, F.col("host") == F.col("sender")).select(F.col("to").alias("host"), (F.col("trust") * F.col("forth")).alias("trust"), (F.col("distrust") * F.col("back")).alias("distrust"))
+        score = arrived.unionByName(jumps).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        if i % CUT == CUT - 1 or i == rounds - 1:
+            score = materialize(score, "url-score")
+    return score
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = 1.0) -> DataFrame:
@@ -82,14 +84,12 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = 1.0) -> DataFrame:
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = judged.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("by_rule"))
     edges = materialize(host_edges(pages), "url-links")
-    if edges.isEmpty():
-        return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"))
     share = lambda v: F.avg(F.coalesce((F.col("by_rule") == v).cast("double"), F.lit(0.0)))
     hosts = materialize(judged.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad")), "url-hosts")
     total = hosts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     seeds = hosts.select("host", *[(F.col(c) / F.lit(total[c] or 1.0)).alias(c) for c in ("good", "bad")])
     scores = propagate(edges, seeds)
-    blocked = materialize(scores.where(F.col("distrust") > threshold * F.col("trust")).select(F.col("host").alias("bad_host")), "url-blocked")
+    blocked = materialize(scores.where(F.col("distrust") > F.col("trust") * (threshold * EVEN)).select(F.col("host").alias("bad_host")), "url-blocked")
     joined = judged.join(broadcast_if(blocked, blocked.count(), MOST_BROADCAST_HOSTS), F.col("host") == F.col("bad_host"), "left")
     by_method = F.when(F.col("bad_host").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return joined.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"))
@@ -107,21 +107,21 @@ def _judged_sql(rules) -> str:
 u AS (SELECT *, CASE{cases["rule"]} END AS rule, CASE{cases["by_rule"]} END AS by_rule FROM h)"""
 
 
-def sql(rules=RULES, damping: float = 0.85, rounds: int = 10, threshold: float = 1.0, least: float = 1e-9) -> str:
-    """DuckDB's form as first built: each round of propagation is a table of its own. Unlike judge(), it has a least
-    distrust and takes only links with a scheme."""
+def sql(rules=RULES, damping: float = 0.85, rounds: int = 10, threshold: float = 1.0) -> str:
+    """judge() in DuckDB: each round of propagation is a table of its own."""
     link = LINK.replace("'", "''")
     parts = [
         _judged_sql(rules),
-        f"l AS (SELECT DISTINCT page_id, host AS src, translate(regexp_extract(x, '{HOST}', 1), '{UPPER}', '{LOWER}') AS dst FROM (SELECT page_id, host, unnest(regexp_extract_all(COALESCE(html, ''), '{link}', 1)) AS x FROM u))",
+        f"l AS (SELECT DISTINCT r, host AS src, translate(regexp_extract(x, '{LINK_HOST}', 1), '{UPPER}', '{LOWER}') AS dst FROM (SELECT row_number() OVER () AS r, host, regexp_extract_all(COALESCE(html, ''), '{link}', 1) AS found FROM u), unnest(found) AS t(x))",
         "e AS (SELECT src, dst, count(*) AS links FROM l WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL)",
         "w AS (SELECT src, dst, links / sum(links) OVER (PARTITION BY src) AS forth, links / sum(links) OVER (PARTITION BY dst) AS back FROM e)",
         "s AS (SELECT host, avg(CASE WHEN by_rule = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS good, avg(CASE WHEN by_rule = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS bad FROM u WHERE host <> '' GROUP BY 1)",
-        "s0 AS MATERIALIZED (SELECT host, good / COALESCE(NULLIF((SELECT sum(good) FROM s), 0), 1) AS good, bad / COALESCE(NULLIF((SELECT sum(bad) FROM s), 0), 1) AS bad FROM s)",
-        "p0 AS MATERIALIZED (SELECT host, good AS t, bad AS d FROM s0)",
+        "p0 AS MATERIALIZED (SELECT host, good / COALESCE(NULLIF((SELECT sum(good) FROM s), 0), 1) AS t, bad / COALESCE(NULLIF((SELECT sum(bad) FROM s), 0), 1) AS d FROM s)",
     ]
     for i in range(1, rounds + 1):
-        parts.append(f"a{i} AS MATERIALIZED (SELECT host, sum(t) * {damping} AS t, sum(d) * {damping} AS d FROM (SELECT dst AS host, t * forth AS t, 0 AS d FROM w JOIN p{i - 1} ON src = host UNION ALL SELECT src, 0, d * back FROM w JOIN p{i - 1} ON dst = host) GROUP BY 1)")
-        parts.append(f"p{i} AS MATERIALIZED (SELECT host, COALESCE(a.t, 0) + {1 - damping} * COALESCE(good, 0) AS t, COALESCE(a.d, 0) + {1 - damping} * COALESCE(bad, 0) AS d FROM a{i} a FULL JOIN s0 USING (host))")
-    parts.append(f"b AS (SELECT host AS bad_host FROM a{rounds} WHERE d > {threshold} * t AND d >= {least})")
+        parts.append(
+            f"p{i} AS MATERIALIZED (SELECT host, sum(t) AS t, sum(d) AS d FROM (SELECT dst AS host, t * forth * {damping} AS t, 0 AS d FROM w JOIN p{i - 1} ON src = host UNION ALL SELECT src, 0, d * back * {damping} FROM w JOIN p{i - 1} ON dst = host "
+            f"UNION ALL SELECT host, t * {1 - damping}, d * {1 - damping} FROM p0) GROUP BY 1)"
+        )
+    parts.append(f"b AS (SELECT host AS bad_host FROM p{rounds} WHERE d > {threshold * EVEN!r}::DOUBLE * t)")
     return "WITH " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, COALESCE(by_rule, CASE WHEN bad_host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN b ON host = bad_host"

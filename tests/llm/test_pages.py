@@ -203,7 +203,7 @@ def brute_verdicts(rows, damping=0.85, rounds=10):
     edges, pages_of, good, bad = {}, {}, {}, {}
     for _, u, html in rows:
         h, _, _, v = judged(u)
-        for t in {host(x) for x in re.findall(r"""(?i)(?:href|src)\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s<>]+)""", html or "")}:
+        for t in {host(x) for x in re.findall(r"""(?i)(?:href|src)\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s<>]+)""", html or "")} | {x.lower() for x in re.findall(r"""href='//([^/']+)""", html or "")}:
             if h and t and t != h:
                 edges[h, t] = edges.get((h, t), 0) + 1
         if h:
@@ -218,16 +218,15 @@ def brute_verdicts(rows, damping=0.85, rounds=10):
     for (a, b), n in edges.items():
         out[a] = out.get(a, 0) + n
         into[b] = into.get(b, 0) + n
-    t, d, at, ad = dict(good), dict(bad), {}, {}
-    for _ in range(rounds if edges else 0):
-        at, ad = {}, {}
+    t, d = dict(good), dict(bad)
+    for _ in range(rounds):
+        hosts = set(good) | {h for e in edges for h in e}
+        now = {h: (1 - damping) * good.get(h, 0) for h in hosts}, {h: (1 - damping) * bad.get(h, 0) for h in hosts}
         for (a, b), n in edges.items():
-            at[b] = at.get(b, 0) + damping * t.get(a, 0) * n / out[a]
-            ad[a] = ad.get(a, 0) + damping * d.get(b, 0) * n / into[b]
-        hosts = set(pages_of) | set(at) | set(ad)
-        t = {h: at.get(h, 0) + (1 - damping) * good.get(h, 0) for h in hosts}
-        d = {h: ad.get(h, 0) + (1 - damping) * bad.get(h, 0) for h in hosts}
-    blocked = {h for h in set(at) | set(ad) if ad.get(h, 0) > at.get(h, 0) and ad.get(h, 0) >= 1e-9}
+            now[0][b] += damping * t.get(a, 0) * n / out[a]
+            now[1][a] += damping * d.get(b, 0) * n / into[b]
+        t, d = now
+    blocked = {h for h in d if d[h] > t[h] * (1 + 1e-9)}
     return sorted((i, *(j := judged(u))[:3], j[3] or ("block" if j[0] in blocked else "allow")) for i, u, _ in rows) if all(i is not None for i, _, _ in rows) else None
 
 
@@ -240,13 +239,28 @@ def test_url_verdicts_equal_brute_force(spark):
     for i in range(120):
         h = rng.choice(hosts)
         path = rng.choice(["/en/1", "/de/2", "/fr/3", "", "/en", "/x?q=/en/", "/de/#f"])
-        rows.append((i, f"http://{rng.choice(['', 'WWW.'])}{h}{path}" if i % 9 else f"http://{h}{path}", "".join(link(t) for t in target.get(h, [])) + "<a href='/own'>"))
+        rows.append((i, f"http://{rng.choice(['', 'WWW.'])}{h}{path}" if i % 9 else f"http://{h}{path}", "".join(link(t) for t in target.get(h, [])) + "<a href='/own'>" + ("<a href='//c.io/x'>" if h == "e.io" else "")))
     rows += [(200, None, None), (201, "no scheme/en/", ""), (202, "http://net/", ""), (203, "http://magnet/", ""), (204, "x://example.net/en/a://b", "")]
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages(spark, rows)).collect())
     want = brute_verdicts(rows)
     assert [g[:4] for g in got] == [w[:4] for w in want]
     assert got == want and {"block"} == {v for _, h, _, r, v in got if h == "farm.biz" and r is None} and {"allow"} == {v for _, h, _, r, v in got if h == "e.io" and r is None}
     assert url_filter.judge(pages(spark, [])).collect() == []
+    assert got == in_duckdb(rows)
+
+
+def in_duckdb(rows):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    return sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({url_filter.sql()})").fetchall())
+
+
+def test_seeds_without_links_are_judged_by_their_own_rules(spark):
+    rows = [(1, "http://example.com/de/", None), (2, "http://example.com/en/", ""), (3, "http://a.org/fr/", ""), (4, "http://a.org/en/", ""), (5, "http://other.io/", ""), (6, "http://both.example.com/", ""), (7, None, None)]
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages(spark, rows)).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}
 
 
 def test_url_verdicts_do_not_depend_on_the_size_of_the_graph(spark):
