@@ -7,10 +7,11 @@ The k-th lower bound is what a vector must reach. A query stops when no unseen v
 can; only those get their final scores. (With max(c, frontier) in place of c, the upper bounds of all queries and vectors are
 matrix products.)
 
-Each query first meets one block. The k-th score found there is its floor everywhere else: it is compared with the bound that
-each block's extreme components give before the query is sent there, and it stops the reading of the lists early. Vectors are
-shuffled once for each pass, queries once for each block that may still beat their floor; a task holds one block and reads its
-queries in batches.
+Each query first meets one block, then GROWTH times as many blocks as it has met, and so on. Its k-th score so far is its floor
+in the next pass: it is compared with the bound that each block's extreme components give before the query is sent there, and
+it stops the reading of the lists early. So a pass finds about GROWTH x k vectors for a query, however many blocks there are.
+Vectors are shuffled once for each pass, queries once for each block that may still beat their floor; a task holds one block
+and reads its queries in batches.
 
 Defined results: a vector takes part if it isn't null and all components are finite; vectors of other lengths are not
 compared; scores are exact while they stay below 2^62; each row is a candidate of all other rows' queries, so rows that repeat are queries of their own and candidates of
@@ -37,6 +38,7 @@ DEPTHS = (0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875)
 #: Share of a block that may be left to resolve when reading stops, rows that are looked at to choose the depth, and queries at once.
 RESOLVE, PROBE, BATCH = 0.125, 64, 256
 LEAST_BLOCK, MOST_BLOCK = 2048, 16_384
+GROWTH = 8
 MOST_BROADCAST_BLOCKS = 20_000  # of some 1 KB for 64 dimensions
 
 
@@ -196,21 +198,27 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, block: int | None = No
     blocks = max(1, -(-n // block))
     v = v.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     queries = v.where(F.col("vec_id").isNotNull() & is_query)
-    first = materialize(_meet(queries.withColumn("floor", F.lit(NO_FLOOR)), v, k), "topk-first")
-    found = first
+    order = W.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = ranked(_meet(queries.withColumn("floor", F.lit(NO_FLOOR)), v, k))
     if blocks > 1:
-        floors = first.groupBy("row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(NO_FLOOR).alias("floor"))
-        waiting = queries.withColumnRenamed("block", "_own").join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(NO_FLOOR)))
         ends = materialize(block_bounds(v), "topk-bounds")
-        if ends.count() <= MOST_BROADCAST_BLOCKS:
+        few = ends.count() <= MOST_BROADCAST_BLOCKS
+    met = 1
+    while met < blocks:
+        best = materialize(best, "topk-best")
+        floors = best.groupBy("row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(NO_FLOOR).alias("floor"))
+        waiting = queries.withColumnRenamed("block", "_own").join(floors, "row", "left").withColumn("floor", F.coalesce("floor", F.lit(NO_FLOOR)))
+        next_met = min(blocks, met * (1 + GROWTH))
+        turn = F.pmod(F.col("block") - F.col("_own"), F.lit(blocks)).between(met, next_met - 1)
+        if few:
             product = F.zip_with("v", "ends", lambda a, e: a.cast("double") * F.when(a > 0, e["hi"]).otherwise(e["lo"]))
             bound = F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
-            waiting = waiting.join(F.broadcast(ends), "dims").where((F.col("block") != F.col("_own")) & (bound + F.abs(bound) * 1e-9 >= F.col("floor"))).drop("ends")
+            waiting = waiting.join(F.broadcast(ends), "dims").where(turn & (bound + F.abs(bound) * 1e-9 >= F.col("floor"))).drop("ends")
         else:
-            waiting = waiting.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where(F.col("block") != F.col("_own"))
-        found = found.unionByName(_meet(waiting, v, k))
-    order = W.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            waiting = waiting.withColumn("block", F.explode(F.transform(F.sequence(F.lit(met), F.lit(next_met - 1)), lambda x: F.pmod(F.col("_own") + x, F.lit(blocks)).cast("int"))))
+        best = ranked(best.drop("rank").unionByName(_meet(waiting, v, k)))
+        met = next_met
     return best.select("query_id", "rank", "vec_id", "score")
 
 
