@@ -9,7 +9,8 @@ anchor tables have the size of the test set and are broadcast after a check of i
 where they were read.
 
 Defined results: null and wordless texts have no words and are not contaminated; an item without words occurs nowhere;
-an item shorter than a window is one window; items that share an item_id count once; rows that repeat are judged one
+an item shorter than a window is one window; items that share an item_id count once; an item with a null
+item_id hits words, but isn't counted or named; rows that repeat are judged one
 by one; empty tables give empty or clean results; other columns are ignored.
 """
 
@@ -110,9 +111,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     index = PositionalIndex(docs, items)
     found = materialize(index.occurrences(window), "phrase-found")
     hits = found.select("row", "pos").distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
-    named = found.join(broadcast_if(index.items, index.n_places, MOST_BROADCAST), "item").select("row", F.col("item_id").cast("string").alias("id")).distinct()
+    named = found.join(broadcast_if(index.items, index.n_places, MOST_BROADCAST), "item").where("item_id is not null").select("row", F.col("item_id").cast("string").alias("id")).distinct()
     named = named.groupBy("row").agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
-    rows = index.rows().join(hits.join(named, "row"), "row", "left")
+    rows = index.rows().join(hits.join(named, "row", "left"), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return rows.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),

@@ -5,9 +5,9 @@ language, lengths and layout. Both start from labelled rows. In each round every
 each view's confident documents become training rows of the other, if the view's confidence holds on rows kept aside.
 The views are calibrated on the rows kept aside, combined by a logistic model of their log-odds, and score everything.
 
-Features of all documents are computed once, in Spark, and stored; each round reads them. The driver only gets rows to
-train on: at most about `max_rows` labelled ones and `max_pseudo` pseudo-labelled ones for each view and class, chosen
-by a hash of the doc_id at a rate that their counts give.
+Features of all documents are computed once, in Spark, and stored (beside the documents, where those are to be filtered); each
+round reads them. The driver only gets rows to train on: at most about twice `max_rows` labelled ones and `max_pseudo`
+pseudo-labelled ones for each view and class, chosen by hashes of ids and row numbers at rates that their counts give.
 
 Defined results: a null or empty text has empty features and a score like any; null metadata are a value of their own;
 a doc_id labelled more than once has its mean label, rounded; without labels of both classes every document scores 1
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import materialize, ship_by_value
 from .shingles import PIECE, mix64, text_buffers, word_hashes
@@ -85,15 +86,12 @@ def metadata_features(source: pa.Array, lang: pa.Array, n_chars: pa.Array, text:
     return out
 
 
-def _columns(docs: DataFrame) -> DataFrame:
-    """doc_id, text, source, lang, n_chars; a column that is missing is null."""
-    kinds = {"doc_id": "long", "text": "string", "source": "string", "lang": "string", "n_chars": "long"}
-    return docs.select([(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+NEEDED = {"doc_id": "long", "text": "string", "source": "string", "lang": "string", "n_chars": "long"}
 
 
-def _features(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    text, source, lang, n_chars = (batch.column(i) for i in range(1, 5))
-    return content_features(text), metadata_features(source, lang, n_chars, text)
+def _columns(docs: DataFrame) -> list:
+    """The columns of NEEDED; one that is missing is null."""
+    return [(F.col(c) if c in docs.columns else F.lit(None)).cast(t) for c, t in NEEDED.items()]
 
 
 def _small(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -102,15 +100,42 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _small(batches):
-        packed = [pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()) for x in _features(batch)]
-        yield pa.record_batch([batch.column(0), *packed], names=["doc_id", "content", "metadata"])
+def _extract(at: list[int], names: list[str]) -> Callable:
+    """Adds packed features to each row; `at`: places of the columns of NEEDED. Columns named in `names` are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            text, source, lang, n_chars = (batch.column(i) for i in at[1:])
+            features = content_features(text), metadata_features(source, lang, n_chars, text)
+            packed = [pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()) for x in features]
+            yield pa.record_batch([*(batch.column(n) for n in names), *packed], names=[*names, "content", "metadata"])
+
+    return run
 
 
 def feature_table(docs: DataFrame) -> DataFrame:
-    """doc_id, content, metadata (packed half floats) of every document, stored."""
-    return materialize(_columns(docs).mapInArrow(_extract, "doc_id long, content binary, metadata binary"), "quality-features")
+    """doc_id, row (a number for each row), content, metadata (packed half floats) of every document, stored."""
+    rows = docs.select(*[c.alias(n) for c, n in zip(_columns(docs), NEEDED, strict=True)], F.monotonically_increasing_id().alias("row"))
+    return materialize(rows.mapInArrow(_extract(list(range(5)), ["doc_id", "row"]), "doc_id long, row long, content binary, metadata binary"), "quality-features")
+
+
+def document_table(docs: DataFrame) -> DataFrame:
+    """feature_table with all columns of the documents, under the names c0, c1, ...; a text goes to Python once."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.select([F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    kinds = [f.dataType for f in own.schema]
+    rows, at = own, []
+    for c, kind in NEEDED.items():
+        held = names[docs.columns.index(c)] if c in docs.columns else None
+        if held is None or kinds[names.index(held)].simpleString() not in (kind, "bigint" if kind == "long" else kind):
+            rows = rows.withColumn(f"n_{c}", (F.col(held) if held else F.lit(None)).cast(kind))
+            held = f"n_{c}"
+        at.append(held)
+    rows = rows.withColumn("doc_id", F.col(at[0])).withColumn("row", F.monotonically_increasing_id())
+    keep = [*names, "doc_id", "row"]
+    schema = StructType([*own.schema.fields, *[f for f in rows.schema.fields if f.name in ("doc_id", "row")], StructField("content", BinaryType()), StructField("metadata", BinaryType())])
+    places = [rows.columns.index(c) for c in at]
+    return materialize(rows.mapInArrow(_extract(places, keep), schema), "quality-documents")
 
 
 def _unpacked(column, width: int) -> np.ndarray:
@@ -180,7 +205,7 @@ def _confident(model: CoTrained, rates: dict[tuple[str, int], float] | None, sal
         counts: dict[tuple[str, int], int] = {}
         for batch in batches:
             content, metadata = _unpacked(batch.column(1).to_pylist(), CONTENT), _unpacked(batch.column(2).to_pylist(), META)
-            rank = _rank(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), salt)
+            rank = _rank(batch.column(0).to_numpy(), salt)
             for view, odds in zip(("content", "metadata"), model.views(content, metadata), strict=True):
                 for label, sure in ((1, odds >= edge), (0, odds <= -edge)):
                     if rates is None:
@@ -209,11 +234,14 @@ def co_train(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_r
         return None
     rate = min(1.0, max_rows / total)
     some = known.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1_000_000)) < int(rate * 1_000_000))
-    rows = features.join(F.broadcast(some), "doc_id").select("doc_id", "y", "content", "metadata").collect()  # about max_rows at most
+    labelled = features.join(F.broadcast(some), "doc_id")  # about max_rows ids, but any number of rows may share one
+    share = max_rows / max(1, labelled.count())
+    labelled = labelled if share >= 0.5 else labelled.where(F.pmod(F.xxhash64(F.lit(2), "row"), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
+    rows = labelled.select("doc_id", "row", "y", "content", "metadata").collect()  # about 2 x max_rows at most
     y = np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:
         return None
-    rows = [rows[i] for i in np.argsort([r["doc_id"] for r in rows], kind="stable")]
+    rows.sort(key=lambda r: (r["doc_id"], r["row"]))
     y = np.array([r["y"] for r in rows], float)
     content, metadata = _unpacked([bytes(r["content"]) for r in rows], CONTENT), _unpacked([bytes(r["metadata"]) for r in rows], META)
     aside = _rank(np.array([r["doc_id"] for r in rows]), 7) < 0.3
@@ -221,7 +249,7 @@ def co_train(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_r
         aside = np.zeros(len(y), bool)  # too few rows to keep any aside
     fit, held = ~aside, aside if aside.any() else np.ones(len(y), bool)
     extra = {"content": (np.empty((0, CONTENT)), np.empty(0)), "metadata": (np.empty((0, META)), np.empty(0))}
-    model = None
+    model, slim = None, features.select("row", "content", "metadata")
     for turn in range(rounds + 1):
         views = {}
         for view, x in (("content", content), ("metadata", metadata)):
@@ -241,9 +269,9 @@ def co_train(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_r
         if not any(trusted.values()):
             break
         schema = "view string, label long, n long, other binary"
-        counts = {(r["view"], r["label"]): r["n"] for r in features.mapInArrow(_confident(model, None, turn), schema).groupBy("view", "label").agg(F.sum("n").alias("n")).collect()}
+        counts = {(r["view"], r["label"]): r["n"] for r in slim.mapInArrow(_confident(model, None, turn), schema).groupBy("view", "label").agg(F.sum("n").alias("n")).collect()}
         rates = {k: min(1.0, max_pseudo / counts[k]) if trusted[k] and counts.get(k) else 0.0 for k in trusted}
-        chosen = features.mapInArrow(_confident(model, rates, turn), schema).collect()  # about 4 x max_pseudo rows at most
+        chosen = slim.mapInArrow(_confident(model, rates, turn), schema).collect()  # about 4 x max_pseudo rows at most
         for view, other, width in (("content", "metadata", META), ("metadata", "content", CONTENT)):
             mine = sorted(((bytes(r["other"]), r["label"]) for r in chosen if r["view"] == view))
             if mine:
@@ -251,18 +279,6 @@ def co_train(features: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_r
     return model
 
 
-def _keep(model: CoTrained, keep: float, at: list[int]) -> Callable:
-    """Rows (all columns) that score at least `keep`; `at`: places of doc_id, text, source, lang, n_chars."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
-            view = pa.record_batch([batch.column(i) if i >= 0 else pa.nulls(batch.num_rows, pa.string() if k < 4 else pa.int64()) for k, i in enumerate(at)], names=list("abcde"))
-            score = model.score(*(x.astype(np.float16).astype(np.float64) for x in _features(view)))[2]
-            yield batch.filter(pa.array(score >= keep))
-
-    return run
-
-
 def quality_scores(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """doc_id, p_content, p_metadata, score, keep for every document."""
     features = feature_table(docs)
@@ -270,7 +286,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> Da
     if model is None:
         one = F.lit(1.0)
         return features.select("doc_id", one.alias("p_content"), one.alias("p_metadata"), one.alias("score"), F.lit(True).alias("keep"))
-    scored = features.mapInArrow(_score_model(model), "doc_id long, p_content double, p_metadata double, score double")
+    scored = features.select("doc_id", "content", "metadata").mapInArrow(_score_model(model), "doc_id long, p_content double, p_metadata double, score double")
     return scored.withColumn("keep", F.col("score") >= keep)
 
 
@@ -283,10 +299,23 @@ def _score_model(model: CoTrained) -> Callable:
     return run
 
 
+def _kept(model: CoTrained, keep: float, n: int) -> Callable:
+    """The first n columns of the rows that score at least `keep`; the last two are the features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            score = model.score(_unpacked(batch.column(n).to_pylist(), CONTENT), _unpacked(batch.column(n + 1).to_pylist(), META))[2]
+            yield batch.select(list(range(n))).filter(pa.array(score >= keep))
+
+    return run
+
+
 def keep_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """The rows of `docs`, with all their columns, that the classifier doesn't reject."""
-    model = co_train(feature_table(docs), labels)
-    if model is None:
-        return docs
-    at = [docs.columns.index(c) if c in docs.columns else -1 for c in ("doc_id", "text", "source", "lang", "n_chars")]
-    return docs.mapInArrow(_keep(model, keep, at), docs.schema)
+    table = document_table(docs)
+    model = co_train(table.select("doc_id", "row", "content", "metadata"), labels)
+    n = len(docs.columns)
+    own = table.select([f"c{i}" for i in range(n)])
+    if model is not None:
+        own = table.select([f"c{i}" for i in range(n)] + ["content", "metadata"]).mapInArrow(_kept(model, keep, n), own.schema)
+    return own.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -28,7 +28,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.capture_index(_table(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture_pos")
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

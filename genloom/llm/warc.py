@@ -1,15 +1,17 @@
 """WARC archives with a globally ordered capture index, built by an external merge of sorted runs.
 
-Writing: one record per page, as a Spark text sink whose line end closes each record (records end in two CRLF);
-pages with equal payloads are written once, the others as revisits of the smallest page_id. Reading: each archive
-is parsed by Content-Length and yields its captures sorted by (URL key, time, id): a run. Merging: the runs'
-captures are dealt to key ranges (splitters on the whole sort key, so a URL with many captures spans ranges), and
-each range merges its segment of every run with a loser tree. Ranges follow each other in key order, so
-(merge_range, merge_pos) is a global order.
-
-Defined results: a null html is an empty payload; a null url gives an empty URL key; a null page_id is written as
-`null` and read back as null; rows that repeat are all written; an empty table gives an empty result; other
-columns are ignored.
+Writing: one record per page, as a Spark text sink whose line end closes each record (records end in two CRLF); pages with
+equal payloads are written once, the others as revisits of the smallest page_id. Archives are bounded by bytes: pages are
+written in classes of payload size, with fewer records to a file the larger they may be. Reading: each archive is parsed by
+Content-Length and yields its captures sorted by (URL key, time, id): a run. Merging: the runs' captures are dealt to key
+ranges (splitters on the whole sort key, so a URL with many captures spans ranges), and each range merges its segment of
+every run with a loser tree. Ranges follow each other in key order, so (merge_range, merge_pos) is a global order, and
+capture_pos numbers it without gaps.
+
+Defined results: a null html is an empty payload; a null url gives an empty URL key; a null page_id is written as `null`, read
+back as null, and sorts last, so it is only a response if no page with the payload has an id; of rows that share the smallest
+page_id and the payload one is the response and the others revisit it; rows that repeat are all written; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch_path, ship_by_value
@@ -30,7 +33,9 @@ ship_by_value(__name__)
 B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 EPOCH = "2024-01-01 00:00:00"
 RANGE_ROWS = 50_000
-RECORDS_PER_FILE = 4_000
+#: Bytes of a payload up to which a class of archives goes, with so many records to a file: 64 MB, or one record.
+FILE_BYTES = 1 << 26
+CLASSES = (1 << 14, 1 << 18, 1 << 22, None)
 CAPTURE = "page_id long, url string, url_key string, captured string, record_type string, refers_to long, payload_bytes long, payload_digest string, run string, seq long"
 
 
@@ -52,25 +57,38 @@ def url_key(url: Column) -> Column:
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """(payload_digest, response_id) of every payload that more than one page has; copies collapse before the shuffle."""
-    slim = pages.select("page_id", base32_sha1(F.coalesce(F.col("html"), F.lit(""))).alias("d"))
-    return slim.groupBy("d").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    """(d, first_id, n, firsts) of every payload: its digest, the smallest page_id, and how many pages have it and that id;
+    copies collapse before the shuffle."""
+    slim = pages.select("page_id", base32_sha1(F.coalesce(F.col("html"), F.lit(""))).alias("d")).groupBy("d", "page_id").agg(F.count(F.lit(1)).alias("c"))
+    return slim.groupBy("d").agg(F.min("page_id").alias("first_id"), F.sum("c").alias("n"), F.min_by("c", F.struct(F.col("page_id").isNull(), "page_id")).alias("firsts"))
 
 
 def write_archives(pages: DataFrame, path: str, most_broadcast: int = 1_000_000) -> None:
     """Write `pages` (page_id, url, html) as WARC/1.1 files under `path`. A page whose payload another page with a
     smaller id has too is a revisit: a record without payload, that names the response, the digest and the size."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("digest"))
-    shared = materialize(plan_records(pages), "warc-shared")
+    shared = materialize(plan_records(pages).where("n > 1"), "warc-shared")
+    repeated = shared.where("firsts > 1")
+    number = F.monotonically_increasing_id()
+    if not repeated.isEmpty():  # ids repeat: number the rows, so that one of them can be named the response
+        pages = materialize(pages.select("page_id", "url", "html", number.alias("number")), "warc-numbered")
+        number = F.col("number")
+        alike = pages.select(base32_sha1(payload).alias("d"), "page_id", "number").join(repeated.select("d", F.col("first_id").alias("f")), "d").where(F.col("page_id").eqNullSafe(F.col("f")))
+        shared = materialize(shared.join(alike.groupBy("d").agg(F.min("number").alias("first_number")), "d", "left"), "warc-shared")
+    else:
+        shared = shared.withColumn("first_number", F.lit(None).cast("long"))
+    shared = shared.select("d", "first_id", "first_number", F.lit(True).alias("common"))
+    rows = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("digest"), number.alias("number"))
+    sizes = {r["c"] for r in pages.select(_size_class(F.octet_length(payload)).alias("c")).distinct().collect()}
     if shared.count() <= most_broadcast:
         rows = rows.join(F.broadcast(shared), rows.digest == shared.d, "left")
     else:  # only ids and digests are shuffled by digest, with a salt, as one payload may be very frequent
         salts = F.explode(F.sequence(F.lit(0), F.lit(15)))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int"))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "number"), F.lit(16)).cast("int"))
         rows = rows.join(shared.withColumn("s", salts), (rows.digest == shared.d) & (F.col("salt") == F.col("s")), "left")
+    is_first = F.when(F.col("first_number").isNotNull(), F.col("first_number") == F.col("number")).otherwise(F.col("page_id").eqNullSafe(F.col("first_id")))
+    revisit = F.coalesce(F.col("common") & ~is_first, F.lit(False))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
-    revisit = F.coalesce(F.col("first_id") != F.col("page_id"), F.lit(False))
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     clock = F.expr(f"cast(timestamp_ntz'{EPOCH}' + make_dt_interval(0, 0, 0, pmod(coalesce(page_id, 0), 1000000000)) as string)")
     when = F.concat(F.regexp_replace(clock, " ", "T"), F.lit("Z"))  # pages have no time of their own: one second for each id
@@ -86,7 +104,17 @@ def write_archives(pages: DataFrame, path: str, most_broadcast: int = 1_000_000)
         F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string")),
     ]
     record = F.concat(F.concat_ws("\r\n", *head), F.lit("\r\n\r\n"), body, F.lit("\r\n\r"))
-    rows.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    for c in sorted(sizes or {0}):  # most tables have one class; the others are filtered by size as they are read
+        most = CLASSES[c]
+        some = rows.where(_size_class(F.octet_length("payload")) == c).select(record.alias("value"))
+        some.write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", max(1, FILE_BYTES // most) if most else 1).text(path)
+
+
+def _size_class(size: Column) -> Column:
+    found = F.lit(len(CLASSES) - 1)
+    for i, most in reversed(list(enumerate(CLASSES[:-1]))):
+        found = F.when(size <= most, i).otherwise(found)
+    return found
 
 
 def parse_archive(data: bytes) -> Iterator[dict]:
@@ -203,20 +231,27 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
 
 def capture_index(pages: DataFrame) -> DataFrame:
-    """Write `pages` to archives, read them back, and return the merged capture index."""
+    """Write `pages` to archives, read them back, and return the merged capture index, in which `capture_pos` is a capture's
+    place in the global order by (URL key, time, id), from 0."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write_archives(pages, path)
-    return merge_runs(materialize(read_runs(spark, path), "warc-runs"))
+    write_archives(pages.select("page_id", "url", "html"), path)
+    merged = materialize(merge_runs(materialize(read_runs(spark, path), "warc-runs")), "warc-index")
+    before = W.orderBy("merge_range").rowsBetween(W.unboundedPreceding, -1)  # one row for RANGE_ROWS captures
+    starts = merged.groupBy("merge_range").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("merge_range", "start")
+    return merged.join(F.broadcast(starts), "merge_range").withColumn("capture_pos", F.col("start") + F.col("merge_pos")).drop("start")
 
 
 SQL = """
-WITH p AS (SELECT page_id, COALESCE(html, '') AS h, sha1(COALESCE(html, '')) AS x FROM pages),
-f AS (SELECT x AS fx, min(page_id) AS first_id FROM p GROUP BY x)
+WITH p AS (SELECT page_id, url, COALESCE(html, '') AS h, sha1(COALESCE(html, '')) AS x, row_number() OVER () AS r FROM pages),
+b AS (SELECT *, regexp_replace(regexp_replace(COALESCE(url, ''), '#.*$', ''), '^[^:/?#]*://', '') AS bare FROM p),
+k AS (SELECT *, CASE WHEN bare = '' THEN '' ELSE array_to_string(list_reverse(string_split(lower(regexp_extract(bare, '^[^/?]*')), '.')), ',') || ')' || regexp_replace(bare, '^[^/?]*', '') END AS url_key,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds((((COALESCE(page_id, 0) % 1000000000) + 1000000000) % 1000000000)), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM b),
+f AS (SELECT *, first_value(r) OVER w AS first_r, first_value(page_id) OVER w AS first_id, row_number() OVER (ORDER BY url_key, captured, page_id NULLS LAST) - 1 AS capture_pos FROM k WINDOW w AS (PARTITION BY x ORDER BY page_id NULLS LAST, r))
 SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     ((('0x' || substr(x, (i // 4)::INT * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
-  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
-FROM p JOIN f ON x = fx
+  CASE WHEN r = first_r THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN r = first_r THEN NULL ELSE first_id END AS refers_to, url_key, captured, capture_pos
+FROM f
 """

@@ -263,6 +263,75 @@ def test_mixture(spark, texts):
     assert mixing.mixture(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("shape", ["null ids", "one id", "copies", "copies without ids", "wordless"])
+def test_mixture_of_rows_that_share_an_id(spark, shape):
+    rng = random.Random(12)
+    some = [sentence(rng, rng.randint(1, 20)) for _ in range(120)]
+    rows = []
+    for i in range(120):
+        doc_id = {"null ids": None, "one id": 7, "copies": 7, "copies without ids": None, "wordless": i}[shape]
+        text = some[i] if shape in ("null ids", "one id") else "the same ten words in every row of this source" if shape != "wordless" else None if i % 2 else "w"
+        rows.append((doc_id, text, None, "a", 1))
+    rows += [(1000 + i, some[i], None, "b" if i % 3 else None, 1) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    size = lambda t: len((t or "").split())
+    sizes = Counter()
+    for _, text, _, source, _ in rows:
+        sizes[source] += size(text)
+    want = brute_targets(dict(sizes))
+    got = mixing.mixture(docs).collect()
+    taken = {s: sum(r.taken for r in got if r.source_size == sizes[s]) for s in sizes}
+    most = max(size(r[1]) for r in rows)
+    assert len(got) == len(rows) and len(set(sizes.values())) == 3
+    assert all(2 * abs(taken[s] - want[s]) <= most for s in sizes)
+    again = mixing.mixture(docs.repartition(3)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    kept = mixing.mix_documents(docs.selectExpr("*", "1 as times", "2 as doc", "3 as copies", "4 as k0", "5 as `a.b`"))
+    assert kept.columns == [*docs.columns, "times", "doc", "copies", "k0", "a.b"]
+    assert sum(size(r.text) for r in kept.collect()) == sum(taken.values())
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", rows)
+    assert Counter(con.execute(f"SELECT doc_id, size, source_size, round(target, 6), taken FROM ({mixing.SQL})").fetchall()) == Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in got)
+
+
+def test_items_without_an_id_hit_words(spark):
+    items = spark.createDataFrame([(None, "red green blue"), (3, "one two")], "item_id long, text string")
+    got = {r.doc_id: tuple(r)[1:4] for r in decontam.contamination(frame(spark, ["red green blue", "x red green blue one two", None]), items).collect()}
+    assert got == {0: (3, 3, 0), 1: (6, 5, 1), 2: (0, 0, 0)}
+
+
+def test_quality_rows_of_one_labelled_id_are_bounded(spark):
+    rng = random.Random(5)
+    texts = [sentence(rng, 30) if i % 2 else sentence(rng, 30).upper() for i in range(200)]
+    docs = frame(spark, texts)
+    many = docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(3000)).select(docs.columns))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    features = quality.feature_table(many)
+    taken = []
+    fit = quality.Logistic.fit
+    quality.Logistic.fit = lambda self, x, y, weight=None: taken.append(len(x)) or fit(self, x, y, weight)
+    try:
+        assert quality.co_train(features, labels, max_rows=400, max_pseudo=50) is not None
+    finally:
+        quality.Logistic.fit = fit
+    assert max(taken) <= 2 * 400 + 4 * 2 * 50
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    rng = random.Random(8)
+    texts = [sentence(rng, 30) if i % 3 else sentence(rng, 30).upper() + "!!" for i in range(90)] + [None, ""]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, texts).selectExpr("*", "1 as c0", "2 as content", "map('a', 1) as metadata", "3 as `x.y`").drop("lang", "n_chars").withColumn("doc_id", __import__("pyspark").sql.functions.col("doc_id").cast("int"))
+    kept = quality.keep_quality(docs, labels)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    ids = {r.doc_id for r in kept.collect()}
+    assert {i for i in range(90) if i % 3} <= ids and not {i for i in range(90) if i % 3 == 0} & ids
+    assert quality.keep_quality(docs.where("false"), labels).collect() == []
+
+
 def test_quality_on_held_out_labels(spark):
     rng = random.Random(8)
     texts, y = [], []

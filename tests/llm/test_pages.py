@@ -38,6 +38,40 @@ def test_archives_round_trip_in_global_order(spark, monkeypatch):
     assert warc.capture_index(pages(spark, [])).collect() == []
 
 
+def test_archives_of_repeated_and_null_ids(spark):
+    rows = [(1, "u1", "a"), (1, "u2", "a"), (1, "u1", "a"), (2, "u", "a"), (None, "n", "a"), (None, "n", "b"), (None, "n", "b"), (None, "m", "c"), (5, "m", "c"), (6, "x", ""), (7, "x", None)]
+    got = warc.capture_index(pages(spark, rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.payload_digest, []).append((r.page_id, r.record_type, r.refers_to))
+    digest = lambda x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode()
+    order = lambda xs: sorted(xs, key=str)
+    assert {k: order(v) for k, v in by.items()} == {
+        digest("a"): order([(1, "response", None), (1, "revisit", 1), (1, "revisit", 1), (2, "revisit", 1), (None, "revisit", 1)]),
+        digest("b"): order([(None, "response", None), (None, "revisit", None)]),
+        digest("c"): order([(5, "response", None), (None, "revisit", 5)]),
+        digest(""): order([(6, "response", None), (7, "revisit", 6)]),
+    }
+    assert sorted(r.capture_pos for r in got) == list(range(len(rows)))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture_pos"]
+    want = con.execute(f"SELECT {', '.join(columns[:-1])} FROM ({warc.SQL})").fetchall()
+    assert order(want) == order(tuple(r[c] for c in columns[:-1]) for r in got)
+
+
+def test_archives_of_long_pages_are_bounded_by_bytes(spark):
+    rows = [(i, f"http://a.org/{i}", ("x" * (1 << 23) if i == 3 else "y" * 300_000 if i < 100 else "z") + str(i)) for i in range(140)]
+    path = write(spark, pages(spark, rows).coalesce(1))
+    sizes = [r.length for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("length").collect()]
+    assert max(sizes) <= warc.FILE_BYTES + 1_000_000 and len(sizes) >= 1 + 7 + 1
+    got = warc.read_runs(spark, path).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, len(h)) for i, _, h in rows]
+
+
 def write(spark, df):
     path = warc.scratch_path(spark, "warc")
     warc.write_archives(df, path)

@@ -52,3 +52,17 @@ def test_null_and_repeated_ids_are_judged_by_their_own_text(spark, tmp_path):
     assert kept == sorted([(0, text[0]), (0, text[1]), (7, text[2]), (3, text[3]), (8, text[4]), (9, held), (9, text[5])])
     clean = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.keep_uncontaminated(spark, docs, str(tmp_path)).collect())
     assert clean == sorted((i or 0, t) for i, t in rows if passage not in t)
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    names = ["_row", "_row_dropped", "_number", "_kept", "_class", "row", "times", "doc"]
+    docs = spark.createDataFrame([(i, f"some words of row {i} " * 8, "en", "s", 1) for i in range(6)], DOCS)
+    for name in names:
+        docs = docs.selectExpr("*", f"7 as {name}")
+    for table, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    for rows, left in ((docs, 6), (docs.where("false"), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, str(tmp_path))
+            assert out.count() == left
+            assert name == "sharding" or out.columns == docs.columns
