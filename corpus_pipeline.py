@@ -21,20 +21,23 @@ SHARDS = 24
 ORACLE_SQL = None
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with a number for each row in `_row`, stored, so that it stays."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-numbered")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number for each row, stored, so that it stays; and the number's column, unlike any of `docs`."""
+    row = "_row"
+    while any(c.startswith(row) for c in docs.columns):
+        row = "_" + row
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-numbered"), row
 
 
-def _by_row(numbered: DataFrame) -> DataFrame:
+def _by_row(numbered: DataFrame, row: str) -> DataFrame:
     """`numbered` with the row's number as its doc_id."""
-    return numbered.withColumn("doc_id", F.col("_row")).drop("_row")
+    return numbered.select(F.col(row).alias("doc_id"), "text")
 
 
-def _without(numbered: DataFrame, rows: DataFrame) -> DataFrame:
+def _without(numbered: DataFrame, row: str, rows: DataFrame) -> DataFrame:
     """`numbered` without the rows numbered in `rows`; their texts are only shuffled if `rows` is too large to send."""
-    rows = materialize(rows.select(F.col("doc_id").alias("_dropped")), "pipeline-dropped")
-    return numbered.join(broadcast_if(rows, rows.count(), MOST_BROADCAST), F.col("_row") == F.col("_dropped"), "left_anti").drop("_row")
+    rows = materialize(rows.select(F.col("doc_id").alias(f"{row}_dropped")), "pipeline-dropped")
+    return numbered.join(broadcast_if(rows, rows.count(), MOST_BROADCAST), F.col(row) == F.col(f"{row}_dropped"), "left_anti").drop(row)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,23 +49,23 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id (nulls last) of each class of near duplicates."""
     with stage_scratch(spark):
-        numbered = _numbered(docs)
-        found = materialize(ngram_join.near_duplicates(_by_row(numbered)).select("doc_id", "class_id"), "pipeline-classes")
+        numbered, number = _numbered(docs)
+        found = materialize(ngram_join.near_duplicates(_by_row(numbered, number)).select("doc_id", "class_id"), "pipeline-classes")
         several = found.where("doc_id <> class_id").select("class_id").distinct().select(F.col("class_id").alias("_class"))
         several = materialize(several, "pipeline-several")
         several = broadcast_if(several, several.count(), MOST_BROADCAST)
         members = found.join(several, F.col("class_id") == F.col("_class"), "left_semi").withColumnRenamed("doc_id", "row")
-        members = materialize(members.join(numbered.select("_row", "doc_id"), F.col("row") == F.col("_row")).select("class_id", "row", "doc_id"), "pipeline-members")
+        members = materialize(members.join(numbered.select(F.col(number).alias("_number"), "doc_id"), F.col("row") == F.col("_number")).select("class_id", "row", "doc_id"), "pipeline-members")
         first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
         kept = members.groupBy("class_id").agg(F.min(first)["row"].alias("_kept"))
-        return _without(numbered, members.join(kept.select("_kept"), F.col("row") == F.col("_kept"), "left_anti").select(F.col("row").alias("doc_id")))
+        return _without(numbered, number, members.join(kept.select("_kept"), F.col("row") == F.col("_kept"), "left_anti").select(F.col("row").alias("doc_id")))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too little of the benchmark to count as contaminated."""
     with stage_scratch(spark):
-        numbered = _numbered(docs)
-        return _without(numbered, decontam.contamination(_by_row(numbered), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+        numbered, number = _numbered(docs)
+        return _without(numbered, number, decontam.contamination(_by_row(numbered, number), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
