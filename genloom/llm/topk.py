@@ -95,7 +95,9 @@ def nra(block: Block, q: np.ndarray, q_rows: np.ndarray, floor: np.ndarray, k: i
             stats["resolved"] = stats.get("resolved", 0) + len(i)
         for at in range(0, len(i), 1 << 17):
             a, b = queries[i[at : at + (1 << 17)]], j[at : at + (1 << 17)]
-            found.append((a, b, np.einsum("ij,ij->i", q_all[a], c[b]).astype(np.int64)))
+            scores = np.einsum("ij,ij->i", q_all[a], c[b])
+            good = scores >= reach[a]
+            found.append((a[good], b[good], scores[good].astype(np.int64)))
 
     probe = np.arange(0, n, max(1, n // PROBE))
     for depth in DEPTHS:

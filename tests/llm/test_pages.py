@@ -131,6 +131,7 @@ def test_few_vectors_are_resolved(shape, most_read, most_resolved):
     every[np.arange(100), np.arange(100)] = -(10**9)
     for a in range(100):
         assert sorted([*score[i == a], *score2[i2 == a]], reverse=True)[:k] == sorted(every[a].tolist(), reverse=True)[:k]
+    assert (score2 >= floor[i2]).all()
     assert stats["read"] <= most_read * 100 * n / 2 and stats.get("resolved", 0) <= most_resolved * 100 * n / 2
 
 
