@@ -215,9 +215,62 @@ def test_shards_are_near_equal_and_slots_gapless(spark, texts):
         load[r.shard] += r.size
         slots.setdefault(r.shard, []).append(r.slot)
         total += r.size
+    most = max(r.size for r in rows)
+    assert all(abs(load[i] - total / 24) <= 5 * (most / 2 + 1) for i in range(24))
     assert set(load) <= set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def brute_kd(rows, shards):
+    """Loads of the leaves. rows: (coordinates in 0..2^20-1 by dimension, size), coordinates of the last one distinct."""
+    if shards == 1:
+        return [sum(s for _, s in rows)]
+    spread = [max(x[i] for x, _ in rows) - min(x[i] for x, _ in rows) for i in range(len(rows[0][0]))]
+    dim = max(range(len(spread)), key=lambda i: (spread[i], -i))
+    assert len({x[dim] for x, _ in rows}) == len(rows) or dim < len(spread) - 1
+    goal, at, upto = sum(s for _, s in rows) * (shards // 2) / shards, 0, 0
+    rows = sorted(rows, key=lambda r: r[0][dim])
+    while upto + rows[at][1] < goal:
+        upto += rows[at][1]
+        at += 1
+    at += not (goal - upto < upto + rows[at][1] - goal)
+    return brute_kd(rows[:at], shards // 2) + brute_kd(rows[at:], shards - shards // 2)
+
+
+def test_shard_loads_equal_a_brute_force_tree(spark):
+    import math
+
+    rng = random.Random(21)
+    rows = [(i, "x" * rng.randint(0, 400), None, None, n) for i, n in enumerate(rng.sample(range(5, 5000), 700))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("doc_id", "text", "n_chars")
+    lo, hi = (math.log1p(f(r[4] for r in rows)) for f in (min, max))
+    at = [math.floor((math.log1p(r[4]) - lo) / (hi - lo) * ((1 << 20) - 1)) for r in rows]
+    want = brute_kd([((a,), len(r[1]) + 8) for a, r in zip(at, rows, strict=True)], 24)
+    got = Counter()
+    for r in sharding.kd_assign(docs, 24, tolerance=0.0).collect():
+        got[r["shard"]] += r["size"]
+    assert len(set(at)) == len(at) and [got[i] for i in range(24)] == want
+
+
+def test_sources_alike_at_the_start_are_kept_apart(spark):
+    names = [None, "web-crawl-a", "web-crawl-b", "web-crawl-c", "web-crawl-d"]
+    docs = frame(spark, ["some text"] * 1000, sources=[names[i % 5] for i in range(1000)], langs=["en"] * 1000)
+    docs = docs.withColumn("n_chars", __import__("pyspark").sql.functions.lit(9).cast("long"))
+    shard = {r.doc_id: r["shard"] for r in sharding.kd_assign(docs, 5).collect()}
+    pairs = Counter((shard[i], names[i % 5]) for i in range(1000))
+    assert max(Counter(s for s, _ in pairs).values()) <= 2 and sum(n for (s, _), n in pairs.items() if n >= 190) >= 5 * 190
+    order = [max((n, s) for (s, x), n in pairs.items() if x == name)[1] for name in names]
+    assert order == [0, 1, 2, 3, 4]
+
+
+def test_two_thousand_shards(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    many = docs.crossJoin(spark.range(20)).select(docs.columns)
+    loads = Counter()
+    for r in sharding.kd_assign(many, 2000).collect():
+        loads[r["shard"]] += 1
+    assert set(loads) <= set(range(2000)) and sum(loads.values()) == many.count()
+
+
 def test_shards_of_small_equal_and_tied_rows(spark):
     from pyspark.sql import functions as F
 
