@@ -16,6 +16,7 @@ ignored. Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -40,6 +41,7 @@ ENCODINGS = {
     "base64": ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 }
 FALSE_DISCOVERY, TEST_ALPHA_Z, BINS = 0.01, 3.29, 20
+CHUNK = 256  # matches
 #: Chance that two characters of written strings of an encoding agree. Written hex is digits (0.1) and letters of a to f
 #: (0.26), some half of each.
 WRITTEN_MATCH = {"hex": 0.09, "decimal": 0.13}
@@ -58,25 +60,57 @@ LETTERS = (8.2, 1.5, 3.0, 4.3, 13.0, 1.8, 2.2, 4.0, 7.0, 0.5, 0.7, 4.4, 2.6, 7.3
 STEPS = ((0.87, 0.05, 0.04, 0.04), (0.13, 0.79, 0.04, 0.04), (0.10, 0.05, 0.75, 0.10), (0.50, 0.15, 0.20, 0.15))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once, however often lambdas in `use` refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def pattern_spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """array<struct<start, kind, end>> of a pattern's matches, left to right.
+    """array<struct<start, kind, end, s>> of a pattern's matches, left to right; s: the match itself.
 
-    The pieces between matches (a split by the pattern) and the matches alternate, so their lengths give positions."""
+    The pieces between matches (a split by the pattern) and the matches alternate, so their lengths give positions. Lists are
+    appended to by chunks, as an append copies the list."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    lengths = F.arrays_zip(gaps.alias("gap"), F.transform(found, F.length).alias("len"), F.transform(counts, F.length).alias("key"))
-    none = F.array().cast("array<struct<start:int,kind:string,end:int,key:int>>")
+    matches = F.arrays_zip(gaps.alias("gap"), found.alias("s"), F.transform(counts, F.length).alias("key"))
+    length = lambda x: x["gap"] + F.coalesce(F.length(x["s"]), F.lit(0))
+    none = F.array().cast("array<struct<start:int,kind:string,end:int,s:string>>")
 
     def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["len"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["key"].alias("key"))
+        start, end = acc["at"] + x["gap"], acc["at"] + length(x)
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["s"].alias("s"))
         return F.struct(end.alias("at"), F.when(x["key"] >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    spans = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])
-    plain = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,kind:string,end:int>>")).otherwise(plain)
+    def by_chunks(m: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / CHUNK).cast("int")), lambda i: F.slice(m, i * CHUNK + 1, F.lit(CHUNK)))
+
+    def spans(chunks: Column) -> Column:
+        sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + length(x)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(sizes, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
+        return F.flatten(F.zip_with(chunks, starts, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])))
+
+    return F.when(text.rlike(pattern), _let(_let(matches, by_chunks), spans)).otherwise(none)
+
+
+def _count_under(values: Column, most: Column) -> Column:
+    """How many of the sorted `values` are less than `most`, by bisection."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1))).cast("int"))
+    middle = lambda b: F.floor((b["lo"] + b["hi"]) / 2).cast("int")
+
+    def halve(b: Column, _: Column) -> Column:
+        below = (b["lo"] < b["hi"]) & (F.get(values, middle(b)) < most)
+        return F.struct(F.when(below, middle(b) + 1).otherwise(b["lo"]).alias("lo"), F.when(below | (b["lo"] >= b["hi"]), b["hi"]).otherwise(middle(b)).alias("hi"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi")), halve, lambda b: b["lo"])
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of `others`: all that start before a span's end have ended by its start."""
+    ends = F.struct(F.array_sort(F.transform(others, lambda b: b["start"])).alias("starts"), F.array_sort(F.transform(others, lambda b: b["end"])).alias("ends"))
+    apart = _let(ends, lambda b: F.filter(spans, lambda m: _count_under(b["starts"], m["end"]) == _count_under(b["ends"], m["start"] + 1)))
+    return F.when((F.size(others) == 0) | (F.size(spans) == 0), spans).otherwise(apart)
 
 
 def _ranked(spans: Column) -> Column:
@@ -164,6 +198,7 @@ def discoveries(tested: DataFrame, q: float = FALSE_DISCOVERY) -> DataFrame:
     by = W.partitionBy("encoding", "class")
     bins = bins.withColumn("upto", F.sum("c").over(by.orderBy("bin"))).withColumn("m", F.sum("c").over(by))
     cuts = bins.where(F.pow(F.lit(10.0), F.col("bin") / F.lit(float(BINS))) <= F.col("upto") / F.col("m") * q).groupBy("encoding", "class").agg(F.max("bin").alias("cut"))
+    # cuts: at most encodings x classes rows
     return rows.join(F.broadcast(cuts), ["encoding", "class"]).where(F.col("bin") <= F.col("cut"))
 
 
@@ -171,10 +206,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base spans and all spans as arrays of (start, kind, end) for every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("text"))
-    slim = slim.select("doc_id", "row", F.concat(*[pattern_spans(F.col("text"), k, *v) for k, v in BASE.items()]).alias("base"), pattern_spans(F.col("text"), ADDED, CANDIDATE, 0, 20).alias("more"), "text")
+    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    slim = slim.select("doc_id", "row", plain(F.concat(*[pattern_spans(F.col("text"), k, *v) for k, v in BASE.items()])).alias("base"), pattern_spans(F.col("text"), ADDED, CANDIDATE, 0, 20).alias("more"))
     # only spans and the candidates' own characters are kept
-    slim = slim.withColumn("more", F.transform(F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.substring(F.col("text"), m["start"] + 1, m["end"] - m["start"]).alias("s"))))
-    slim = materialize(slim.drop("text"), "secret-spans")
+    slim = slim.withColumn("more", F.transform(_apart(F.col("more"), F.col("base")), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["s"].alias("s"))))
+    slim = materialize(slim, "secret-spans")
     candidates = slim.where(F.size("more") > 0).select("row", F.explode("more").alias("m")).select("row", "m.start", "m.end", "m.s")
     found = discoveries(test_battery(candidates)).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(ADDED).alias("kind"), "end")).alias("added"))
     none = F.array().cast("array<struct<start:int,kind:string,end:int>>")

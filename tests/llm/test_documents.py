@@ -177,6 +177,21 @@ def test_secret_base_matches_equal_python(spark):
     assert secrets.secret_digest(frame(spark, [])).collect() == []
 
 
+def test_texts_with_very_many_matches(spark):
+    import time
+
+    rng = random.Random(6)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    text = " ".join(rng.choice(["token=abcdef12", "f" * 24, key(40), "é word", "secret=" + key(30)]) for _ in range(30_000))
+    began = time.time()
+    got = secrets.secret_digest(frame(spark, [text, "token=abcdef12"])).collect()
+    assert time.time() - began < 60
+    spans = [(m.start(), "assign", m.end()) for m in re.finditer(r"(?:token|secret)=[A-Za-z0-9]+", text)] + [(m.start(), "hex", m.end()) for m in re.finditer(r"[0-9a-f]{24,}", text)]
+    base = ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(spans))
+    assert {r.doc_id: r.base_sha256 for r in got}[0] == hashlib.sha256(base.encode()).hexdigest()
+    assert {r.doc_id: r.spans.count("random") for r in got}[0] > 4_500
+
+
 def test_bare_keys_of_every_encoding_and_length_are_found(spark):
     rng = random.Random(4)
     base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
