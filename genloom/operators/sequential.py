@@ -1,18 +1,20 @@
-"""Operators whose steps depend on those before: each small group is walked in order inside a task.
+"""Operators whose steps depend on those before.
 
-Groups are bounded by what they are (islands around a seed, hits of one gene); rows arrive through Spark's shuffle by
-their key. The set cover, whose groups may be of any size, takes its turns as joins.
+Spark cuts each key into pieces that no step can cross (walks over runs, hits that overlap, one row for each island), so a task
+gets a piece, not a key; only pieces in which an order matters are walked in Python. Seeded walks and set covers are joins.
 """
 
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left, insort
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import store
@@ -83,15 +85,22 @@ def fuse(islands: list, seed: int, gap: float = SCORE_GAP, lone: float = LONE_ST
 
 def island_fusion(df: DataFrame, keys: list[str], island: str, score: str, seed: str, gap: float = SCORE_GAP) -> DataFrame:
     """(keys, seed_island, island): for each seeded island the islands fused with it. df: one row for each member, with its
-    island (a number in order of place), its score (null: none) and whether it is a seed."""
+    island (a number in order of place), its score (null or NaN: none) and whether it is a seed.
+
+    Spark sums each island up first, so a key is one short row for each of its islands."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    x = F.when(~F.isnan(F.col(score).cast("double")), F.col(score).cast("double"))
+    sums = df.groupBy(*keys, island).agg(F.count(x).alias("_n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("_mean"), F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias("_squares"), F.max(F.col(seed)).alias("_seed"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(island, kind="stable")
-        names, starts = np.unique(pdf[island].to_numpy(), return_index=True)
-        members = [_Scores(x[~np.isnan(x)]) for x in np.split(pdf[score].to_numpy(float), starts[1:])]
-        seeds = np.flatnonzero(np.isin(names, pdf.loc[pdf[seed], island].unique()))
-        found = [(s, np.array(fuse(members, int(s), gap))) for s in seeds]
+        names = pdf[island].to_numpy()
+        members = []
+        for n, mean, squares in zip(pdf["_n"], pdf["_mean"], pdf["_squares"], strict=True):
+            one = _Scores(())
+            one.n, one.mean, one.squares = int(n), float(mean), float(squares)
+            members.append(one)
+        found = [(s, np.array(fuse(members, int(s), gap))) for s in np.flatnonzero(pdf["_seed"].fillna(False).to_numpy(bool))]
         n = sum(len(f) for _, f in found)
         out = {k: [pdf[k].iloc[0]] * n for k in keys}
         out["seed_island"] = np.concatenate([np.repeat(names[s], len(f)) for s, f in found]) if found else []
@@ -99,7 +108,7 @@ def island_fusion(df: DataFrame, keys: list[str], island: str, score: str, seed:
         return pd.DataFrame(out)
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"seed_island {kinds[island]}", f"`{island}` {kinds[island]}"])
-    return df.select(*keys, island, score, seed).groupBy(*keys).applyInPandas(walk, schema)
+    return sums.groupBy(*keys).applyInPandas(walk, schema)
 
 
 def _clashes(a: tuple[int, int], b: tuple[int, int]) -> bool:
@@ -112,50 +121,57 @@ def _clashes(a: tuple[int, int], b: tuple[int, int]) -> bool:
 
 
 def greedy_intervals(df: DataFrame, keys: list[str], start: str, end: str, rank: list[str]) -> DataFrame:
-    """The rows that stay when each key's rows are taken by `rank`, best first, unless they clash with one taken before."""
+    """The rows that stay when each key's rows are taken by `rank`, best first, unless they clash with one taken before.
+
+    Rows clash only where they overlap, so each overlapping piece of a key is picked from on its own; a row alone stays."""
+    upto = F.max(end).over(W.partitionBy(*keys).orderBy(start, end).rowsBetween(W.unboundedPreceding, -1))
+    pieces = df.withColumn("_new", F.when(F.col(start) < upto, 0).otherwise(1))
+    pieces = pieces.withColumn("_piece", F.sum("_new").over(W.partitionBy(*keys).orderBy(start, end).rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    pieces = store(pieces.withColumn("_rows", F.count(F.lit(1)).over(W.partitionBy(*keys, "_piece"))))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(rank, kind="stable").reset_index(drop=True)
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # by start; taken rows overlap by little
+        reach = 0  # the longest one taken
         keep = []
-        for i, span in enumerate(zip(pdf[start], pdf[end], strict=True)):
-            if not any(_clashes(span, t) for t in taken):
-                taken.append(span)
+        for i, span in enumerate(zip(pdf[start].tolist(), pdf[end].tolist(), strict=True)):
+            low, high = bisect_left(taken, (span[0] - reach,)), bisect_left(taken, (span[1],))
+            if not any(_clashes(span, t) for t in taken[low:high]):
+                insort(taken, span)
+                reach = max(reach, span[1] - span[0])
                 keep.append(i)
         return pdf.iloc[keep]
 
-    return df.groupBy(*keys).applyInPandas(pick, df.schema)
+    several = pieces.where("_rows > 1").drop("_rows").groupBy(*keys, "_piece").applyInPandas(pick, pieces.drop("_rows").schema)
+    return pieces.where("_rows = 1").drop("_rows", "_piece").unionByName(several.drop("_piece"))
 
 
 def legacy_walk(df: DataFrame, keys: list[str], start: str, end: str, row_id: str, strand: str, seed: str, skip: str, gap: int) -> DataFrame:
     """(keys, seed_id, row_id): runs grown from seeds by walking left, then right from the leftmost row reached. Flagged
-    (`skip`) rows are nobody's neighbour, so a flagged seed bridges what its neighbours can't."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, row_id]).reset_index(drop=True)
-        plain = np.flatnonzero(~pdf[skip].to_numpy(bool))
-        s, e, st = pdf[start].to_numpy(), pdf[end].to_numpy(), pdf[strand].to_numpy()
-        rows = []
-        for seed_at in np.flatnonzero(pdf[seed].to_numpy(bool)):
-            got, at = {int(seed_at)}, int(seed_at)
-            for left in (True, False):
-                while True:
-                    k = np.searchsorted(plain, at, side="left" if left else "right")
-                    k = k - 1 if left else k
-                    if not 0 <= k < len(plain):
-                        break
-                    to = int(plain[k])
-                    distance = s[at] - e[to] if left else s[to] - e[at]
-                    if distance > gap or st[to] != st[at]:
-                        break
-                    got.add(to)
-                    at = to
-            rows += [(*pdf[keys].iloc[0], pdf[row_id][seed_at], pdf[row_id][i]) for i in sorted(got)]
-        return pd.DataFrame(rows, columns=[*keys, "seed_id", row_id])
-
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"seed_id {kinds[row_id]}", f"`{row_id}` {kinds[row_id]}"])
-    return df.select(*dict.fromkeys([*keys, start, end, row_id, strand, seed, skip])).groupBy(*keys).applyInPandas(walk, schema)
+    (`skip`) rows are nobody's neighbour, so a flagged seed bridges what its neighbours can't.
+
+    Plain rows form runs whatever the seed. A plain seed has its own run; a flagged one has the whole run on its left, if it
+    is near enough, or else the run on its right from the next row on. So walks are windows and one join."""
+    rows = df.select(*keys, F.col(row_id).alias("_id"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(strand).alias("_st"), F.col(seed).cast("boolean").alias("_seed"), (~F.col(skip).cast("boolean")).alias("_plain"))
+    order = W.partitionBy(*keys).orderBy("_s", "_id")
+    past, next_ones = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    plain = lambda c: F.when(F.col("_plain"), c)
+    rows = rows.withColumn("_place", F.row_number().over(order)).withColumn("_left", F.last(plain(F.struct("_e", "_st")), True).over(past))
+    near = lambda left_end, right_start, one, other: F.coalesce((right_start - left_end <= gap) & one.eqNullSafe(other), F.lit(False))
+    joins_left = near(F.col("_left._e"), F.col("_s"), F.col("_left._st"), F.col("_st"))
+    rows = rows.withColumn("_run", F.sum((F.col("_plain") & ~joins_left).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_right", F.first(plain(F.struct("_s", "_st", "_run", "_place")), True).over(next_ones)).withColumn("_by_left", joins_left)
+    rows = store(rows)
+    by_right = near(F.col("_e"), F.col("_right._s"), F.col("_st"), F.col("_right._st"))
+    seeds = rows.where("_seed").select(
+        *keys, F.col("_id").alias("seed_id"),
+        F.when(F.col("_plain") | F.col("_by_left"), F.col("_run")).when(by_right, F.col("_right._run")).alias("_run"),
+        F.when(F.col("_plain") | F.col("_by_left"), F.lit(0)).otherwise(F.col("_right._place")).alias("_from"),
+    )
+    members = rows.where("_plain").select(*keys, "_run", "_id", "_place")
+    got = seeds.join(members, [*keys, "_run"]).where(F.col("_place") >= F.col("_from")).select(*keys, "seed_id", F.col("_id").alias(row_id))
+    own = rows.where("_seed and not _plain").select(*keys, F.col("_id").alias("seed_id"), F.col("_id").alias(row_id))
+    return got.unionByName(own)
 
 
 def set_cover(df: DataFrame, key: str, group: str, member: str) -> DataFrame:

@@ -22,9 +22,22 @@ def categories(items: DataFrame, key: str, tags: DataFrame, classes: DataFrame,
     return items.join(found, key, "left").withColumn("categories", F.coalesce("categories", F.array(F.lit("other"))))
 
 
+#: Needles that each text is compared with one by one; more are met by their first letters.
+MOST_NEEDLES, GRAM = 10_000, 3
+
+
 def substring_classes(items: DataFrame, key: str, text: str, needles: DataFrame) -> DataFrame:
-    """(key, label): labels whose needle is inside the text. needles: label, needle; a small table."""
-    return items.join(small(needles), F.contains(F.col(text), F.col("needle"))).select(key, "label").distinct()
+    """(key, label): labels whose needle is inside the text. needles: label, needle.
+
+    A small table of needles is sent to all tasks; a larger one meets the texts on the first letters of each needle."""
+    if needles.count() <= MOST_NEEDLES:
+        return items.join(small(needles), F.contains(F.col(text), F.col("needle"))).select(key, "label").distinct()
+    gram = F.substring("needle", 1, GRAM)
+    keyed = needles.where("needle is not null").select("label", "needle", gram.alias("_gram"))
+    wide = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    grams = F.array_union(F.array(F.lit("")), F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.transform(wide, lambda i: F.substring(F.col(text), i, k))))))
+    met = items.select(key, F.col(text).alias("_text"), F.explode(grams).alias("_gram")).join(keyed, "_gram")
+    return met.where(F.contains(F.col("_text"), F.col("needle"))).select(key, "label").distinct()
 
 
 def tag_sets(rows: DataFrame, key: list[str], tag: str, name: str = "tags", where: Column | None = None) -> DataFrame:

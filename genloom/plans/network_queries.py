@@ -221,8 +221,33 @@ def peptide_scores(spark, sf_dir):
     return scored.select("doc_id", "start", "end", "strand", F.round("s.score", 6).alias("score"))
 
 
+def peptide_features(spark, sf_dir):
+    """Features of the letters of part names, read as peptides."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", sequence.peptide_vector(F.regexp_replace(F.upper("p_name"), "[^A-Z]", "")).alias("f"))
+    shown = ["charge", "avg_hydropathy", "cys20", "cys_ser20", "length", "entropy", "entropy_ratio", "res_H", "class_arom"]
+    return rows.select("p_partkey", *[F.round(F.col("f")[sequence.FEATURES.index(x)], 6).alias(x) for x in shown])
+
+
+SCALE = ", ".join(f"('{r}', {sequence.HYDROPATHY[r]!r}::DOUBLE, {sequence.CHARGE.get(r, 0.0)!r}::DOUBLE)" for r in sequence.RESIDUES)
+PEPTIDE_FEATURES = f"""WITH p AS (SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS s FROM part),
+k(a, hydropathy, charge) AS (VALUES {SCALE}),
+l AS (SELECT p_partkey, length(s)::DOUBLE AS n, i, substr(s, i::INT, 1) AS a FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM p)),
+f AS (SELECT p_partkey, a, count(*) / any_value(n) AS f FROM l JOIN k USING (a) GROUP BY ALL),
+t AS (SELECT l.p_partkey, i, n, l.a, f, lag(f) OVER (PARTITION BY l.p_partkey ORDER BY i) AS g FROM l LEFT JOIN f ON f.p_partkey = l.p_partkey AND f.a = l.a),
+w AS (SELECT s.p_partkey, s.i, s.n, t.i AS j, t.a, t.f, t.g FROM l s JOIN t ON t.p_partkey = s.p_partkey AND t.i BETWEEN s.i AND s.i + 9),
+e AS (SELECT p_partkey, i, COALESCE(sum(CASE WHEN j > i THEN -f * f * g * log2(f * g) END), 0) AS entropy FROM w GROUP BY ALL),
+c AS (SELECT p_partkey, i, n, a, any_value(f) AS f, count(*) / 10 AS c FROM w WHERE f IS NOT NULL AND n - i >= 4 GROUP BY ALL),
+r AS (SELECT p_partkey, i, CASE WHEN -sum(f * log2(f)) > 0 THEN -sum(c * log2(c)) / -sum(f * log2(f)) ELSE 2 END AS ratio FROM c GROUP BY ALL),
+x AS (SELECT p_partkey, i, least(any_value(n), 20) AS width, sum((a = 'C')::INT) AS cys, sum((a IN ('C', 'S'))::INT) AS cys_ser FROM (SELECT s.p_partkey, s.i, s.n, t.a FROM l s JOIN l t ON t.p_partkey = s.p_partkey AND t.i BETWEEN s.i AND s.i + 19) GROUP BY ALL),
+m AS (SELECT l.p_partkey, COALESCE(sum(charge), 0) AS charge, COALESCE(sum(hydropathy), 0) / any_value(n) AS avg_hydropathy, any_value(n) AS length, sum((a = 'H')::INT) / any_value(n) AS res_h, sum((a IN ('M', 'F', 'Y', 'W'))::INT) / any_value(n) AS class_arom FROM l LEFT JOIN k USING (a) GROUP BY 1)
+SELECT p_partkey, round(charge, 6) AS charge, round(avg_hydropathy, 6) AS avg_hydropathy, round(cys20, 6) AS cys20, round(cys_ser20, 6) AS cys_ser20, round(length, 6) AS length,
+  round(entropy, 6) AS entropy, round(COALESCE(ratio, 2), 6) AS entropy_ratio, round(res_h, 6) AS "res_H", round(class_arom, 6) AS class_arom
+FROM m JOIN (SELECT p_partkey, max(entropy) AS entropy FROM e GROUP BY 1) USING (p_partkey) JOIN (SELECT p_partkey, max(cys / width) AS cys20, max(cys_ser / width) AS cys_ser20 FROM x GROUP BY 1) USING (p_partkey)
+LEFT JOIN (SELECT p_partkey, min(ratio) AS ratio FROM r GROUP BY 1) USING (p_partkey)"""
+
+
 QUERIES = {
     "set_jaccard": (set_jaccard, SET_JACCARD), "components": (components, COMPONENTS), "mcl_families": (mcl_families, None), "edge_combine": (edge_combine, EDGE_COMBINE), "edge_lift": (edge_lift, EDGE_LIFT),
     "vector_allpairs": (vector_allpairs, VECTOR_ALLPAIRS), "revcomp": (revcomp, REVCOMP), "orf_scan": (orf_scan, ORF_SCAN), "translated": (translated, TRANSLATED), "sliding_max": (sliding_max, SLIDING_MAX),
-    "residue_freq": (residue_freq, RESIDUE_FREQ), "fasta_lines": (fasta_lines, FASTA_LINES), "peptide_scores": (peptide_scores, None),
+    "residue_freq": (residue_freq, RESIDUE_FREQ), "fasta_lines": (fasta_lines, FASTA_LINES), "peptide_scores": (peptide_scores, None), "peptide_features": (peptide_features, PEPTIDE_FEATURES),
 }

@@ -158,6 +158,16 @@ def greedy_intervals(spark, sf_dir):
     return sequential.greedy_intervals(rows, ["o_custkey"], "start", "end", ["size", "start", "o_orderkey"]).select("o_custkey", "o_orderkey", "start", "end")
 
 
+GREEDY_INTERVALS = f"""WITH RECURSIVE {RANGES},
+o AS (SELECT o_custkey, o_orderkey, "start" AS s, "end" AS e, row_number() OVER (PARTITION BY o_custkey ORDER BY "start" - "end", "start", o_orderkey) AS i FROM r),
+g AS (SELECT o_custkey, 0::BIGINT AS i, []::STRUCT(s BIGINT, e BIGINT)[] AS taken, NULL::BIGINT AS kept FROM (SELECT DISTINCT o_custkey FROM o)
+  UNION ALL SELECT o_custkey, i, CASE WHEN fits THEN list_append(taken, {{'s': s, 'e': e}}) ELSE taken END, CASE WHEN fits THEN o_orderkey END FROM (
+    SELECT o.*, g.taken, len(list_filter(g.taken, lambda t: o.s < t.e AND t.s < o.e AND
+      (3 * (CASE WHEN o.s >= t.s THEN t.e - o.s + 1 ELSE o.e - t.s + 1 END) > o.e - o.s + 1 OR 3 * (CASE WHEN o.s >= t.s THEN t.e - o.s + 1 ELSE o.e - t.s + 1 END) > t.e - t.s + 1))) = 0 AS fits
+    FROM g JOIN o ON o.o_custkey = g.o_custkey AND o.i = g.i + 1))
+SELECT o_custkey, o_orderkey, s AS "start", e AS "end" FROM g JOIN o USING (o_custkey) WHERE kept = o_orderkey"""
+
+
 def island_fusion(spark, sf_dir):
     """Islands of a user's events (gap up to two hours) fused around those that hold a value of 95 or more, by mean value."""
     placed = ordered.runs(events(spark, sf_dir), ["user_id"], "sec", "sec", "event_id", 2 * HOUR, name="island")
@@ -165,15 +175,48 @@ def island_fusion(spark, sf_dir):
     return sequential.island_fusion(rows, ["user_id"], "island", "score", "seed")
 
 
+#: One step of the walk at a time; a side is -1 or 1, `el` and `er` are the sides' edges, `pl` and `pr` their islands that wait.
+ISLAND_FUSION = f"""WITH RECURSIVE {EVENTS}, {event_runs("x", "e", "island", 2 * HOUR, False)},
+i AS (SELECT user_id, island, count(value) AS n, COALESCE(avg(value / 100), 0) AS mean, COALESCE(var_pop(value / 100) * count(value), 0) AS sq, max((value >= 95)::INT) AS seed FROM x GROUP BY ALL),
+b AS (SELECT user_id, max(island) AS most FROM i GROUP BY 1),
+w AS (SELECT user_id, island AS seed_island, most, island AS el, island AS er, NULL::BIGINT AS pl, NULL::BIGINT AS pr, n, mean, sq, 0::BIGINT AS absorbed, 0 AS failures, -1 AS side, [island] AS got FROM i JOIN b USING (user_id) WHERE seed = 1
+  UNION ALL SELECT user_id, seed_island, most,
+    CASE WHEN side < 0 AND step IN ('near', 'wait', 'empty') THEN pos ELSE el END, CASE WHEN side > 0 AND step IN ('near', 'wait', 'empty') THEN pos ELSE er END,
+    CASE WHEN side < 0 AND step = 'near' THEN NULL WHEN side < 0 AND step = 'wait' THEN pos ELSE pl END, CASE WHEN side > 0 AND step = 'near' THEN NULL WHEN side > 0 AND step = 'wait' THEN pos ELSE pr END,
+    CASE WHEN step = 'near' THEN n + m ELSE n END, CASE WHEN step = 'near' THEN mean + (mean2 - mean) * m / (n + m) ELSE mean END, CASE WHEN step = 'near' THEN sq + sq2 + (mean2 - mean) * (mean2 - mean) * n * m / (n + m) ELSE sq END,
+    CASE WHEN step = 'near' THEN absorbed + COALESCE(waiting, 0) ELSE absorbed END,
+    CASE WHEN step = 'near' THEN 0 WHEN step = 'fail' THEN failures + 1 ELSE failures END, CASE WHEN step = 'fail' THEN -side ELSE side END,
+    CASE WHEN step = 'near' AND pending IS NOT NULL THEN list_append(list_append(got, pending), pos) WHEN step IN ('near', 'empty') THEN list_append(got, pos) ELSE got END
+  FROM (SELECT w.*, CASE WHEN w.side < 0 THEN w.el ELSE w.er END + w.side AS pos, CASE WHEN w.side < 0 THEN w.pl ELSE w.pr END AS pending, j.n AS m, j.mean AS mean2, j.sq AS sq2, k.n AS waiting,
+      CASE WHEN j.island IS NULL THEN 'fail' WHEN j.n = 0 THEN 'empty'
+        WHEN w.n = 0 OR abs(w.mean - j.mean) - (CASE WHEN w.n > 1 THEN sqrt(w.sq / w.n) ELSE 0.05 END) - (CASE WHEN j.n > 1 THEN sqrt(j.sq / j.n) ELSE 0.05 END) < 0.1 THEN 'near'
+        WHEN w.absorbed < 2 THEN 'wait' ELSE 'fail' END AS step
+    FROM w LEFT JOIN i j ON j.user_id = w.user_id AND j.island = CASE WHEN w.side < 0 THEN w.el ELSE w.er END + w.side
+      LEFT JOIN i k ON k.user_id = w.user_id AND k.island = CASE WHEN w.side < 0 THEN w.pl ELSE w.pr END
+    WHERE w.failures < 2))
+SELECT user_id, seed_island, unnest(list_distinct(got)) AS island FROM w WHERE failures = 2"""
+
+
 def seeded_walks(spark, sf_dir):
     """Runs grown from error events, which are nobody's neighbours, over gaps up to three hours."""
     rows = events(spark, sf_dir).withColumn("strand", F.when(F.col("value") < 70, "+").otherwise("-")).withColumn("seed", F.col("event_type") == "error")
     return sequential.legacy_walk(rows, ["user_id"], "sec", "sec", "event_id", "strand", "seed", "seed", 3 * HOUR)
 
 
+#: Steps from row to row, as a walk takes them: left from the seed, then right from the leftmost row.
+SEEDED_WALKS = f"""WITH RECURSIVE {EVENTS},
+o AS (SELECT *, value < 70 AS plus, event_type = 'error' AS seed, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS i FROM e),
+p AS (SELECT *, max(CASE WHEN NOT seed THEN i END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, min(CASE WHEN NOT seed THEN i END) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM o),
+n AS (SELECT p.user_id, p.i, CASE WHEN p.sec - a.sec <= {3 * HOUR} AND p.plus = a.plus THEN p.l END AS l, CASE WHEN b.sec - p.sec <= {3 * HOUR} AND p.plus = b.plus THEN p.r END AS r
+  FROM p LEFT JOIN o a ON a.user_id = p.user_id AND a.i = p.l LEFT JOIN o b ON b.user_id = p.user_id AND b.i = p.r),
+wl AS (SELECT user_id, i AS s, i AS pos FROM o WHERE seed UNION ALL SELECT wl.user_id, s, n.l FROM wl JOIN n ON n.user_id = wl.user_id AND n.i = wl.pos WHERE n.l IS NOT NULL),
+wr AS (SELECT user_id, s, min(pos) AS pos FROM wl GROUP BY ALL UNION ALL SELECT wr.user_id, s, n.r FROM wr JOIN n ON n.user_id = wr.user_id AND n.i = wr.pos WHERE n.r IS NOT NULL)
+SELECT DISTINCT g.user_id, q.event_id AS seed_id, t.event_id FROM (SELECT * FROM wl UNION ALL SELECT * FROM wr) g JOIN o q ON q.user_id = g.user_id AND q.i = g.s JOIN o t ON t.user_id = g.user_id AND t.i = g.pos"""
+
+
 QUERIES = {
     "flank_neighbors": (flank_neighbors, FLANK_NEIGHBORS), "run_growth": (run_growth, RUN_GROWTH), "two_level_islands": (two_level_islands, TWO_LEVEL_ISLANDS),
     "interval_coalesce": (interval_coalesce, INTERVAL_COALESCE), "flank_extend": (flank_extend, FLANK_EXTEND), "interval_overlap": (interval_overlap, INTERVAL_OVERLAP),
     "containment_filter": (containment_filter, CONTAINMENT_FILTER), "even_partition": (even_partition, EVEN_PARTITION), "top_hits": (top_hits, TOP_HITS),
-    "greedy_intervals": (greedy_intervals, None), "island_fusion": (island_fusion, None), "seeded_walks": (seeded_walks, None),
+    "greedy_intervals": (greedy_intervals, GREEDY_INTERVALS), "island_fusion": (island_fusion, ISLAND_FUSION), "seeded_walks": (seeded_walks, SEEDED_WALKS),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..operators.scratch import store
 from ..operators import graph, orthology, summary, tags
 from .ordered_queries import table
 
@@ -303,6 +304,60 @@ def set_cover(spark, sf_dir):
     return cover(rows, "n_regionkey", "l_partkey", "n_nationkey")
 
 
+SET_COVER = f"""WITH RECURSIVE {PART_NATIONS}, m AS (SELECT DISTINCT n_regionkey, l_partkey, n FROM pn JOIN nation ON n = n_nationkey),
+g AS (SELECT n_regionkey, l_partkey, list(n) AS members FROM m GROUP BY ALL),
+c AS (SELECT n_regionkey, list(DISTINCT n) AS uncovered, NULL::BIGINT AS l_partkey, 0 AS turn FROM m GROUP BY 1
+  UNION ALL SELECT n_regionkey, list_filter(uncovered, lambda x: NOT list_contains(members, x)), l_partkey, turn + 1 FROM
+    (SELECT c.n_regionkey, c.uncovered, c.turn, g.l_partkey, g.members, row_number() OVER (PARTITION BY c.n_regionkey ORDER BY len(list_intersect(g.members, c.uncovered)) DESC, len(g.members) DESC, g.l_partkey) AS k
+     FROM c JOIN g ON g.n_regionkey = c.n_regionkey WHERE len(c.uncovered) > 0) WHERE k = 1)
+SELECT n_regionkey, l_partkey, turn FROM c WHERE turn > 0"""
+
+KINDS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]
+
+
+def part_hits(spark, sf_dir):
+    """Parts of one name and different types, as hits of genes in genomes: q, s, genome_q, genome_s, pident, same brand."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
+    a, b = (p.select([F.col(c).alias(f"{c}_{x}") for c in p.columns]) for x in "qs")
+    met = a.join(b, (F.col("p_name_q") == F.col("p_name_s")) & (F.col("p_type_q") != F.col("p_type_s")))
+    pident = (100 - F.abs(F.col("p_size_q") - F.col("p_size_s"))).cast("double")
+    return met.select(F.col("p_partkey_q").alias("q"), F.col("p_partkey_s").alias("s"), F.col("p_type_q").alias("genome_q"), F.col("p_type_s").alias("genome_s"), pident.alias("pident"), (F.col("p_brand_q") == F.col("p_brand_s")).alias("same"))
+
+
+PART_HITS = "h AS (SELECT a.p_partkey AS q, b.p_partkey AS s, a.p_type AS gq, b.p_type AS gs, (100 - abs(a.p_size - b.p_size))::DOUBLE AS pident, a.p_brand = b.p_brand AS same FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_type <> b.p_type)"
+
+
+def tuple_growth(spark, sf_dir):
+    """Tuples of parts, one type after the other: each adds its parts that are alike to members of all types before."""
+    pairs = part_hits(spark, sf_dir).where("pident >= 97")
+    tuples = orthology.grow_tuples(pairs, KINDS)
+    gene = lambda i: F.col("genes")[i]["gene"]
+    names = F.array_join(F.transform(F.array_sort(F.col("genes")), lambda g: g["gene"].cast("string")), ",")
+    return tuples.select(gene(0).alias("first_part"), gene(1).alias("second_part"), F.size("genes").alias("n_parts"), F.md5(names).alias("parts_md5"))
+
+
+def _tuple_growth_sql() -> str:
+    steps = [f"p AS (SELECT * FROM h WHERE pident >= 97), m1 AS (SELECT q AS x, s AS y, unnest([{{'g': gq, 'gene': q}}, {{'g': gs, 'gene': s}}]) AS m FROM p WHERE gq = '{KINDS[0]}' AND gs = '{KINDS[1]}')"]
+    for i, kind in enumerate(KINDS[2:], 2):
+        steps.append(f"a{i} AS (SELECT x, y, p.s AS gene FROM m{i - 1} JOIN p ON p.q = m.gene AND p.gs = '{kind}' GROUP BY x, y, p.s HAVING count(DISTINCT m.g) = {i})")
+        steps.append(f"m{i} AS (SELECT x, y, m FROM m{i - 1} SEMI JOIN a{i} USING (x, y) UNION ALL SELECT x, y, {{'g': '{kind}', 'gene': gene}} FROM a{i})")
+    return f"WITH {PART_HITS}, {', '.join(steps)} SELECT x AS first_part, y AS second_part, count(*)::INT AS n_parts, md5(string_agg(m.gene, ',' ORDER BY m.g, m.gene)) AS parts_md5 FROM m{len(KINDS) - 1} GROUP BY x, y"
+
+
+def pair_edges(spark, sf_dir):
+    """Edges between parts of two types, at or above the types' mean likeness less one deviation; parts of one brand have a
+    link at any likeness, of weight 100 if it is below."""
+    hits = store(part_hits(spark, sf_dir))
+    pairs = hits.select(F.least("genome_q", "genome_s").alias("genome_a"), F.greatest("genome_q", "genome_s").alias("genome_b"), "pident")
+    inside = hits.where("same").select(F.least("q", "s").alias("a"), F.greatest("q", "s").alias("b"))
+    return orthology.filter_by_cutoff(hits, orthology.adaptive_cutoffs(pairs, ["genome_a", "genome_b"], "pident", 1.0), inside)
+
+
+PAIR_EDGES = f"""WITH {PART_HITS}, k AS (SELECT least(gq, gs) AS ga, greatest(gq, gs) AS gb, least(q, s) AS a, greatest(q, s) AS b, pident, same FROM h),
+c AS (SELECT ga, gb, round(avg(pident) - stddev_pop(pident), 2) AS cutoff FROM k GROUP BY ALL)
+SELECT a, b, max(CASE WHEN pident >= cutoff THEN pident ELSE 100 END) AS weight FROM k JOIN c USING (ga, gb) WHERE pident >= cutoff OR same GROUP BY ALL"""
+
+
 def histogram(spark, sf_dir):
     """Line prices of each return flag in twenty bins."""
     return summary.histogram(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.0, 110000.0, 20)
@@ -316,5 +371,5 @@ QUERIES = {
     "adaptive_cutoff": (adaptive_cutoff, ADAPTIVE_CUTOFF), "occurrence_frequency": (occurrence_frequency, OCCURRENCE_FREQUENCY), "multi_label_category": (multi_label_category, MULTI_LABEL_CATEGORY),
     "substring_class": (substring_class, SUBSTRING_CLASS), "tag_sets": (tag_sets, TAG_SETS), "common_tags": (common_tags, COMMON_TAGS), "cluster_score": (cluster_score, CLUSTER_SCORE),
     "upsert_dim": (upsert_dim, UPSERT_DIM), "union_reference": (union_reference, UNION_REFERENCE), "dedupe_names": (dedupe_names, DEDUPE_NAMES), "name_census": (name_census, NAME_CENSUS),
-    "group_summary": (group_summary, GROUP_SUMMARY), "score_stats": (score_stats, SCORE_STATS), "hierarchy_walk": (hierarchy_walk, HIERARCHY_WALK), "set_cover": (set_cover, None), "histogram": (histogram, HISTOGRAM),
+    "group_summary": (group_summary, GROUP_SUMMARY), "score_stats": (score_stats, SCORE_STATS), "hierarchy_walk": (hierarchy_walk, HIERARCHY_WALK), "set_cover": (set_cover, SET_COVER), "tuple_growth": (tuple_growth, _tuple_growth_sql()), "pair_edges": (pair_edges, PAIR_EDGES), "histogram": (histogram, HISTOGRAM),
 }

@@ -87,25 +87,37 @@ def external_clusters(features: DataFrame) -> DataFrame:
     return rows.select("genome_id", F.col("scaffold_id").alias("contig"), F.concat_ws("_", "genome_id", "scaffold_id", number).alias("ext_id"), "product", "start", "end")
 
 
+def slices(spans: DataFrame, features: DataFrame) -> DataFrame:
+    """(genome_id, scaffold_id, key, seq): the part of its scaffold's DNA of each span. spans: genome_id, scaffold_id, key,
+    start, end. A scaffold's spans are gathered beside its one sequence, so the DNA is moved once, not once for each span."""
+    listed = spans.groupBy("genome_id", "scaffold_id").agg(F.collect_list(F.struct("key", "start", "end")).alias("_spans"))
+    joined = scaffolds(features).join(listed, ["genome_id", "scaffold_id"])
+    cut = F.transform("_spans", lambda s: F.struct(s["key"].alias("key"), F.substring(F.col("seq"), s["start"] + 1, s["end"] - s["start"]).alias("seq")))
+    return joined.select("genome_id", "scaffold_id", F.explode(cut).alias("_s")).select("genome_id", "scaffold_id", "_s.key", "_s.seq")
+
+
 def genes(features: DataFrame, min_aa: int = 5, max_aa: int = 100, keep_pseudo: bool = True) -> DataFrame:
     """Gene rows: coding features, and pseudo `gene` records unless the next record of that name is a tRNA or rRNA; a
     coding feature wins over a gene record on the same place. A missing translation is made from the DNA."""
-    dna = scaffolds(features).withColumnRenamed("seq", "dna")
     label = F.coalesce("locus_tag", "gene", F.lit(""))
     after = W.partitionBy("genome_id", "scaffold_id", label).orderBy("ord")
     rows = features.where(F.col("type").isin("CDS", "gene", "tRNA", "rRNA")).withColumn("_next", F.lead("type").over(after))
     pseudo = (F.col("type") == "gene") & F.col("pseudo") & ~F.coalesce(F.col("_next").isin("tRNA", "rRNA"), F.lit(False)) & F.lit(keep_pseudo)
     rows = rows.where((F.col("type") == "CDS") | pseudo)
     first = F.row_number().over(W.partitionBy("genome_id", "scaffold_id", "start", "end", "strand").orderBy(F.when(F.col("type") == "CDS", 0).otherwise(1), "ord"))
-    rows = rows.withColumn("_first", first).where("_first = 1").join(dna, ["genome_id", "scaffold_id"], "left")
-    made = F.regexp_replace(sequence.translate_dna(sequence.dna_slice(F.col("dna"), F.col("start"), F.col("end"), F.col("strand")), True), r"\*$", "")
-    rows = rows.withColumn("transl", F.coalesce("translation", made))
+    rows = rows.withColumn("_first", first).where("_first = 1").drop("seq")
+    untranslated = rows.where("translation is null").select("genome_id", "scaffold_id", F.col("ord").alias("key"), "start", "end")
+    dna = slices(untranslated, features).withColumnRenamed("key", "ord")
+    rows = rows.join(dna, ["genome_id", "scaffold_id", "ord"], "left")
+    made = F.regexp_replace(sequence.translate_dna(F.when(F.col("strand") == "-", sequence.rev_comp(F.col("seq"))).otherwise(F.col("seq")), True), r"\*$", "")
+    rows = rows.withColumn("transl", F.coalesce("translation", made)).drop("seq")
     clean = lambda c: F.when(F.lower(F.trim(c)) != "none", F.translate(F.trim(c), "| ", ""))
     name = F.coalesce(clean(F.col("locus_tag")), clean(F.col("gene")))
-    uses = F.count(F.lit(1)).over(W.partitionBy("_name"))
     synonym = clean(F.split("gene_synonym", ";")[0])
     number = F.row_number().over(W.partitionBy("genome_id").orderBy("scaffold_id", "start", "end", "ord"))
-    rows = rows.withColumn("_name", name).withColumn("_uses", uses).withColumn("_n", number)
+    rows = rows.withColumn("_name", name).withColumn("_n", number)
+    uses = rows.where("_name is not null").groupBy("_name").agg(F.count(F.lit(1)).alias("_uses"))  # unnamed genes stay where they are
+    rows = rows.join(uses, "_name", "left")
     made_name = F.concat(F.col("genome_id"), F.lit("_gene_"), F.col("_n").cast("string"))
     gene_id = F.when((F.col("_uses") == 1) & F.col("_name").isNotNull() & (F.col("_name") != F.col("scaffold_id")), F.col("_name")).otherwise(F.coalesce(synonym, made_name))
     rows = rows.withColumn("gene_id", gene_id).withColumn("_again", F.row_number().over(W.partitionBy("gene_id").orderBy("_n")))
@@ -118,16 +130,19 @@ def intergenic(features: DataFrame, overlap: int = 20, scan_tail: bool = False)
     """DNA between features (with some overlap into them): from the end of the one before to the start of each; the tail
     after the last only if asked for."""
     rows = features.where(F.col("type").isin("CDS", "tRNA", "rRNA")).select("genome_id", "scaffold_id", "start", "end", "ord")
-    dna = scaffolds(features).select("genome_id", "scaffold_id", F.col("seq").alias("dna"))
+    sizes = scaffolds(features).select("genome_id", "scaffold_id", F.length("seq").alias("size"))
     order = W.partitionBy("genome_id", "scaffold_id").orderBy("start", "ord")
-    gaps = rows.join(dna, ["genome_id", "scaffold_id"]).withColumn("lo", F.coalesce(F.lag("end").over(order), F.lit(0))).withColumn("hi", F.col("start"))
+    gaps = rows.select("genome_id", "scaffold_id", F.coalesce(F.lag("end").over(order), F.lit(0)).alias("lo"), F.col("start").alias("hi"))
+    gaps = gaps.join(sizes, ["genome_id", "scaffold_id"])
     if scan_tail:
-        last = rows.groupBy("genome_id", "scaffold_id").agg(F.max_by("end", F.struct("start", "ord")).alias("lo")).join(dna, ["genome_id", "scaffold_id"])
-        gaps = gaps.select("genome_id", "scaffold_id", "lo", "hi", "dna").unionByName(last.select("genome_id", "scaffold_id", "lo", F.length("dna").alias("hi"), "dna"))
-    lo, hi = F.greatest(F.col("lo") - overlap, F.lit(0)), F.least(F.col("hi") + overlap, F.length("dna"))
-    gaps = gaps.where("hi > lo").select("genome_id", "scaffold_id", lo.alias("gap_start"), F.substring("dna", lo + 1, hi - lo).alias("seq"))
+        last = rows.groupBy("genome_id", "scaffold_id").agg(F.max_by("end", F.struct("start", "ord")).alias("lo"))
+        gaps = gaps.unionByName(last.join(sizes, ["genome_id", "scaffold_id"]).select("genome_id", "scaffold_id", "lo", F.col("size").alias("hi"), "size"))
+    lo, hi = F.greatest(F.col("lo") - overlap, F.lit(0)), F.least(F.col("hi") + overlap, F.col("size"))
+    gaps = gaps.where("hi > lo").select("genome_id", "scaffold_id", lo.alias("gap_start"), hi.alias("gap_end"))
     place = F.row_number().over(W.partitionBy("genome_id", "scaffold_id").orderBy("gap_start"))
-    return gaps.withColumn("gap_id", F.concat_ws("_", "genome_id", "scaffold_id", F.lpad(place.cast("string"), 6, "0")))
+    gaps = gaps.withColumn("gap_id", F.concat_ws("_", "genome_id", "scaffold_id", F.lpad(place.cast("string"), 6, "0")))
+    spans = gaps.select("genome_id", "scaffold_id", F.struct("gap_id", "gap_start").alias("key"), F.col("gap_start").alias("start"), F.col("gap_end").alias("end"))
+    return slices(spans, features).select("genome_id", "scaffold_id", F.col("key.gap_start").alias("gap_start"), "seq", F.col("key.gap_id").alias("gap_id"))
 
 
 def short_orfs(features: DataFrame, min_aa: int = 5, max_aa: int = 100, overlap: int = 20) -> DataFrame:

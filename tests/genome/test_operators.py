@@ -238,6 +238,54 @@ def test_peptide_features():
     assert long["cys20"] == 0.5 and long["cys30"] == pytest.approx(1 / 3)
 
 
+def test_peptide_features_by_hand():
+    import math
+
+    seq = "HHCCKKDDEEWWAXCS"
+    f = dict(zip(sequence.FEATURES, sequence.peptide_features(seq), strict=True))
+    share = {c: seq.count(c) / len(seq) for c in sequence.RESIDUES}
+    assert f["avg_hydropathy"] == pytest.approx((2 * 0.96 + 3 * -0.24 + 2 * 0.99 + 2 * 1.23 + 2 * 2.02 + 2 * -1.85 + 0.17 + 0.13) / 16) and f["charge"] == 1 + 2 - 4
+    ratios, sums = [], []
+    for i in range(len(seq)):
+        w = seq[i : i + 10]
+        known = [c for c in set(w) if c in share]
+        if len(w) >= 5:
+            ratios.append(sum(w.count(c) / 10 * math.log2(w.count(c) / 10) for c in known) / sum(share[c] * math.log2(share[c]) for c in known))
+        sums.append(-sum(share[b] ** 2 * share[a] * math.log2(share[a] * share[b]) for a, b in zip(w, w[1:]) if a in share and b in share))
+    assert f["entropy_ratio"] == pytest.approx(min(ratios)) and f["entropy"] == pytest.approx(max(sums))
+    assert (f["cys20"], f["cys_ser20"], f["length"]) == (3 / 16, 4 / 16, 16)
+    assert {r: sequence.HYDROPATHY[r] for r in "ARNDCQEGHILKMFPSTWYV"} == dict(zip("ARNDCQEGHILKMFPSTWYV", [0.17, 0.81, 0.42, 1.23, -0.24, 0.58, 2.02, 0.01, 0.96, -0.31, -0.56, 0.99, -0.23, -1.13, 0.45, 0.13, 0.14, -1.85, -0.94, 0.07], strict=True))
+    seqs = [seq, "", "A", "AAAAA", "XXXXXX", "ACDC", "M" * 50]
+    assert sequence.feature_matrix(seqs).tolist() == [pytest.approx(sequence.peptide_features(s)) for s in seqs]
+    assert [sequence.peptide_features(s)[sequence.FEATURES.index("entropy_ratio")] for s in ("AAAAA", "XXXXXX", "ACDC")] == [2, 2, 2]
+
+
+def test_greedy_intervals_in_a_hot_key(spark):
+    import random
+    import time
+
+    rng = random.Random(3)
+    spans = [(1, s, s + rng.randint(0, 30), i) for i, s in enumerate(rng.randrange(10**6) for _ in range(20_000))] + [(1, 0, 10**6, -1)]
+    df = spark.createDataFrame(spans, "key int, s long, e long, id long").withColumn("size", F.col("s") - F.col("e"))
+    began = time.time()
+    got = {r.id for r in sequential.greedy_intervals(df, ["key"], "s", "e", ["size", "s", "id"]).collect()}
+    assert time.time() - began < 60
+    taken = []
+    for _, s, e, i in sorted(spans, key=lambda x: (x[1] - x[2], x[1], x[3])):
+        if i == -1 or not any(sequential._clashes((s, e), t) for t in taken[1:] if t[0] < e and s < t[1]) and not sequential._clashes((s, e), taken[0]):
+            taken.append((s, e))
+            assert i in got
+    assert len(got) == len(taken)
+
+
+def test_many_needles_meet_by_their_first_letters(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "abcdef"), (2, "xbcx"), (3, ""), (4, None), (5, "é c")], "id int, t string")
+    needles = spark.createDataFrame([("a", "bcd"), ("b", "b"), ("c", "bc"), ("d", ""), ("e", None), ("f", "é c"), ("g", "zzzz")], "label string, needle string")
+    want = rows(tags.substring_classes(items, "id", "t", needles), "id", "label")
+    monkeypatch.setattr(tags, "MOST_NEEDLES", 0)
+    assert rows(tags.substring_classes(items, "id", "t", needles), "id", "label") == want and (1, "a") in want and (5, "f") in want
+
+
 def test_predicates(spark):
     df = spark.createDataFrame([(1, 5, ["D1", "D2"], {"k": 3}), (2, None, ["D1"], {"k": 9}), (3, 2, None, None)], "id int, n int, tags array<string>, m map<string,int>")
     ids = lambda c: [r[0] for r in rows(df.where(c), "id")]
