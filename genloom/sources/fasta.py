@@ -22,10 +22,13 @@ def wrapped(seq: Column, width: int = 75) -> Column:
 
 
 def write_fasta(df: DataFrame, path: str, name: str = "gene_id", seq: str = "transl", parts: int | None = None, width: int = 75) -> None:
-    """Each name once; with `parts`, records are dealt over that many folders (part=0, 1, ...)."""
+    """Each name once; with `parts`, records are dealt in turn, in the order of a hash, over that many folders (part=0, 1, ...)."""
     rows = df.select(F.col(name).alias("name"), F.col(seq).alias("seq")).where("seq is not null").dropDuplicates(["name"])
     record = F.concat(F.lit(">"), F.col("name"), F.lit("\n"), wrapped(F.col("seq"), width)).alias("value")
     if parts is None:
         rows.select(record).write.text(path)
     else:
-        rows.select(record, F.pmod(F.xxhash64("name"), F.lit(parts)).alias("part")).write.partitionBy("part").text(path)
+        from ..operators.ordered import even_parts
+
+        turns = rows.withColumn("_turn_key", F.pmod(F.xxhash64("name"), F.lit((1 << 53) - 1)))
+        even_parts(turns, "_turn_key", parts).select(record, "part").write.partitionBy("part").text(path)

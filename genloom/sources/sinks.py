@@ -63,9 +63,20 @@ def genbank_records(clusters: DataFrame, genes: DataFrame, scaffolds: DataFrame)
     dna = F.lower(dna_slice(F.col("seq"), F.col("extra_start"), F.col("extra_end"), F.lit("+")))
     locus = F.substring(F.reverse(F.substring(F.reverse("cluster_id"), 1, 27)), 1, 27)
     head = F.concat(F.lit("LOCUS       "), locus, F.lit(" "), F.length(dna).cast("string"), F.lit(" bp    DNA\nFEATURES             Location/Qualifiers\n"))
-    return rows.select("cluster_id", F.concat(head, F.col("features"), F.lit("\nORIGIN\n        1 "), dna, F.lit("\n//")).alias("record"))
+    return rows.select("cluster_id", F.concat(head, F.col("features"), F.lit("\nORIGIN\n"), origin_lines(dna), F.lit("\n//")).alias("record"))
 
 
-def write_genbank(records: DataFrame, path: str) -> None:
-    """One folder for each cluster."""
-    records.select(F.col("record").alias("value"), "cluster_id").write.partitionBy("cluster_id").text(path)
+def origin_lines(dna: Column) -> Column:
+    """A sequence in GenBank's lines of six blocks of ten, numbered from 1."""
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.length(dna), F.lit(1)) - 1) / 60).cast("int"))
+    line = lambda i: F.concat(F.lpad((i * 60 + 1).cast("string"), 9, " "), F.lit(" "), F.regexp_replace(F.substring(dna, i * 60 + 1, F.lit(60)), "(.{10})(?=.)", "$1 "))
+    return F.array_join(F.transform(starts, line), "\n")
+
+
+def write_genbank(records: DataFrame, path: str, per_cluster: bool = False) -> None:
+    """Files of many records, or one folder for each cluster."""
+    rows = records.select(F.col("record").alias("value"), "cluster_id")
+    if per_cluster:
+        rows.write.partitionBy("cluster_id").text(path)
+    else:
+        rows.select("value").write.text(path)
