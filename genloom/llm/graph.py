@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds, each written to the shared folder."""
+"""Connected components by alternating large-star and small-star rounds, each half written to the shared folder."""
 
 from __future__ import annotations
 
@@ -14,11 +14,11 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     mark = None
     for _ in range(most_rounds):
         # large star: neighbours above a node are tied to the smallest node around it
-        both = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-both")
-        least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "cc-least")
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         e = materialize(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "cc-edges")
         # small star: a node and its neighbours below are tied to the smallest of them
-        least = materialize(e.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
+        least = e.groupBy("a").agg(F.min("b").alias("m"))
         down = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialize(down.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "cc-edges")
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()

@@ -102,6 +102,25 @@ def test_isolated_pairs_are_found_at_the_deepest_level(spark, monkeypatch):
     assert [i for i in range(0, len(texts), 2) if got[i + 1] != i] == []
 
 
+@pytest.mark.parametrize("n", [5, 10, 60, 300])
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_recall_at_each_depth(n, depth):
+    """Pairs at similarity 0.8 whose sets share a bucket at a depth, in the runs of the larger set."""
+    import numpy as np
+
+    rng = np.random.default_rng(n + depth)
+    runs = ngram_join.runs_for(ngram_join.TARGET_RECALL)
+    shared = n * 4 // 5
+    met = 0
+    for _ in range(600):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        b = a[:shared]  # 4 of 5: the smaller set is inside the larger
+        k = int(runs[min(len(a), len(runs) - 1)])
+        x, y = (ngram_join.chosen_paths(s, k)[:, depth - 1] for s in (a, b))
+        met += bool(set(x[x != 0].tolist()) & set(y[y != 0].tolist()))
+    assert met >= 598
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert ngram_join.near_duplicates(frame(spark, [])).collect() == []
 
