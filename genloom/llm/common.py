@@ -6,14 +6,16 @@ import sys
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Paths written inside a stage of the pipeline; the next stage deletes them, as its input has been written by then.
-_stage_paths: list[str] = []
-_recording = False
+#: Paths written inside a stage of the pipeline; the next stage deletes them, as its input has been written by then. Each
+#: thread has its own.
+_stage_paths: ContextVar[list[str] | None] = ContextVar("stage_paths", default=None)
+_recording: ContextVar[bool] = ContextVar("recording", default=False)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,8 +40,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/genloom/{name}-{uuid.uuid4().hex}"
     p, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(p)
-    if _recording:
-        _stage_paths.append(path)
+    if _recording.get():
+        _stage_paths.get().append(path)
     return path
 
 
@@ -54,16 +56,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 @contextmanager
 def stage_scratch(spark: SparkSession):
     """Scratch tables made inside belong to a pipeline stage; those of the stage before are deleted first."""
-    global _recording
-    for path in _stage_paths:
+    for path in _stage_paths.get() or ():
         p, fs = _hadoop_path(spark, path)
         fs.delete(p, True)
-    _stage_paths.clear()
-    _recording = True
+    _stage_paths.set([])
+    _recording.set(True)
     try:
         yield
     finally:
-        _recording = False
+        _recording.set(False)
 
 
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -75,11 +76,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def own_columns(df: DataFrame, prefix: str = "_g_") -> DataFrame:
-    """`df` with its columns under a prefix, so that extra columns of any name can't clash with an operator's own."""
-    return df.select([F.col(f"`{c}`").alias(prefix + c) for c in df.columns])
-
-
 def ascii_lower(col):
     """A-Z lower-cased, all else untouched; texts of ASCII only take the fast path."""
     up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
