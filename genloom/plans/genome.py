@@ -139,9 +139,10 @@ class Networks:
     genome_groups: DataFrame
 
 
-def networks(clusters: DataFrame, members: DataFrame, seed_hits: DataFrame, config: EngineConfig | None = None) -> Networks:
+def networks(clusters: DataFrame, members: DataFrame, seed_hits: DataFrame, config: EngineConfig | None = None, genomes: DataFrame | None = None) -> Networks:
     """Clusters linked by their tags and by their seeds' similarity, grouped by each and by both. Families of the size of
-    one are dropped but for combined ones."""
+    one are dropped but for combined ones. genomes: genome_id of all genomes; one without clusters is a group with a null
+    cluster_id."""
     config = config or EngineConfig()
     tagged = store(similarity.set_join(clusters.select("cluster_id", "all_domains"), "cluster_id", "all_domains", config.jaccard))
     seeds = store(similarity.seed_edges(seed_hits, config.seed_max_evalue, config.seed_min_bitscore))
@@ -153,4 +154,6 @@ def networks(clusters: DataFrame, members: DataFrame, seed_hits: DataFrame, conf
     edges = store(similarity.combine_edges(tagged, lifted.where("src < dst")))
     tag_groups = graph.markov_clusters(tagged.withColumnRenamed("jaccard", "weight"), config.inflation, config.min_family).withColumnRenamed("node", "cluster_id")
     both = graph.markov_clusters(edges.where("combined is not null").select("src", "dst", F.col("combined").alias("weight")), config.inflation).withColumnRenamed("node", "cluster_id")
-    return Networks(edges, seed_groups, tag_groups, both, clusters.select(F.col("genome_id").alias("group_id"), "cluster_id"))
+    by_genome = clusters.select("genome_id", "cluster_id")
+    by_genome = by_genome if genomes is None else genomes.select("genome_id").distinct().join(by_genome, "genome_id", "left")
+    return Networks(edges, seed_groups, tag_groups, both, by_genome.withColumnRenamed("genome_id", "group_id"))

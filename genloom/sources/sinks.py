@@ -20,12 +20,22 @@ def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.option("sep", "\t").option("header", header).csv(path)
 
 
-def network(edges: DataFrame) -> DataFrame:
+def network(edges: DataFrame, kinds: list[str] | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Both directions of combined edges (src, dst, jaccard, seed_weight, combined), rounded, with the edge's kind. An edge
-    that only has the combined weight is `combined_only`."""
+    that only has the combined weight is `combined_only`. kinds: only edges of these. nodes: cluster_id and attributes,
+    which become the source's `src_...` columns; `has_reference` tells whether either end has `is_reference`."""
     both = edges.unionByName(edges.withColumn("_s", F.col("src")).withColumn("src", F.col("dst")).withColumn("dst", F.col("_s")).drop("_s"))
     kind = F.when(F.col("jaccard").isNotNull() & F.col("seed_weight").isNotNull(), "precursor_domains").when(F.col("seed_weight").isNotNull(), "precursor").when(F.col("jaccard").isNotNull(), "jaccard").otherwise("combined_only")
-    return both.select("src", "dst", kind.alias("kind"), F.round("seed_weight", 3).alias("seed_weight"), F.round("jaccard", 2).alias("jaccard"), F.round("combined", 2).alias("combined")).distinct()
+    out = both.select("src", "dst", kind.alias("kind"), F.round("seed_weight", 3).alias("seed_weight"), F.round("jaccard", 2).alias("jaccard"), F.round("combined", 2).alias("combined")).distinct()
+    out = out if kinds is None else out.where(F.col("kind").isin(kinds))
+    if nodes is None:
+        return out
+    own = nodes.select(F.col("cluster_id").alias("src"), *[F.col(c).alias(f"src_{c}") for c in nodes.columns if c != "cluster_id"])
+    out = out.join(own, "src", "left")
+    if "is_reference" in nodes.columns:
+        other = nodes.select(F.col("cluster_id").alias("dst"), F.col("is_reference").alias("_dst_reference"))
+        out = out.join(other, "dst", "left").withColumn("has_reference", F.coalesce("src_is_reference", F.lit(False)) | F.coalesce("_dst_reference", F.lit(False))).drop("_dst_reference")
+    return out
 
 
 def weighted_pairs(edges: DataFrame, least: float | None = None) -> DataFrame:

@@ -286,6 +286,23 @@ def test_many_needles_meet_by_their_first_letters(spark, monkeypatch):
     assert rows(tags.substring_classes(items, "id", "t", needles), "id", "label") == want and (1, "a") in want and (5, "f") in want
 
 
+def test_network_rows(spark):
+    from genloom.sources import sinks
+
+    edges = spark.createDataFrame([("a", "b", 0.5, None, None), ("a", "c", 0.5, 0.4, 0.45)], "src string, dst string, jaccard double, seed_weight double, combined double")
+    nodes = spark.createDataFrame([("a", "G", False), ("b", "H", True), ("c", "H", None)], "cluster_id string, genome string, is_reference boolean")
+    assert rows(sinks.network(edges, ["jaccard"]), "src", "dst") == [("a", "b"), ("b", "a")]
+    got = rows(sinks.network(edges, None, nodes), "src", "dst", "kind", "src_genome", "has_reference")
+    assert got == [("a", "b", "jaccard", "G", True), ("a", "c", "precursor_domains", "G", False), ("b", "a", "jaccard", "H", True), ("c", "a", "precursor_domains", "H", False)]
+
+
+def test_classes_of_equal_sets_are_not_expanded(spark):
+    sets = spark.range(3000).selectExpr("id", "array('a', 'b', 'c', 'd') as t").unionByName(spark.createDataFrame([(9000, ["a", "b", "c", "d", "e"]), (9001, ["z"]), (9002, []), (9003, None)], "id long, t array<string>"))
+    members, pairs = similarity.set_classes(sets, "id", "t", 0.8)
+    assert members.count() == 3002 and members.select("class_id").distinct().count() == 3
+    assert [r.jaccard for r in pairs.collect()] == [0.8]
+
+
 def test_predicates(spark):
     df = spark.createDataFrame([(1, 5, ["D1", "D2"], {"k": 3}), (2, None, ["D1"], {"k": 9}), (3, 2, None, None)], "id int, n int, tags array<string>, m map<string,int>")
     ids = lambda c: [r[0] for r in rows(df.where(c), "id")]
