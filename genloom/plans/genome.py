@@ -7,6 +7,7 @@ annotated, filtered, scored, linked and grouped. Each stage's tables can be writ
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,20 @@ class Conservation:
     classes: DataFrame
 
 
+def _grown(pairs: DataFrame, true: DataFrame, genomes: list[str], config: EngineConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tuples, their pairs of genes, cutoffs by pair of genomes) of a group of genomes."""
+    tuples = store(orthology.unique_tuples(orthology.grow_tuples(true, genomes)) if len(genomes) > 1 else true.sparkSession.createDataFrame([], "tuple_id long, genes array<struct<genome:string,gene:string>>"))
+    within = orthology.tuple_pairs(tuples)
+    scored = pairs.join(within.select(F.col("a").alias("q"), F.col("b").alias("s")), ["q", "s"], "left_semi").where("genome_q < genome_s")
+    scored = scored.select(F.col("genome_q").alias("genome_a"), F.col("genome_s").alias("genome_b"), ((F.col("pident_qs") + F.col("pident_sq")) / 2).alias("score"))
+    return tuples, within, store(orthology.adaptive_cutoffs(scored, ["genome_a", "genome_b"], "score", config.cutoff_std_factor))
+
+
 def conservation(genes: DataFrame, hits: DataFrame, config: EngineConfig | None = None) -> Conservation:
-    """Stage 1. genes: see schema.GENE; hits: see schema.HIT. The genomes' list is small and kept on the driver."""
+    """Stage 1. genes: see schema.GENE; hits: see schema.HIT. The genomes' list is small and kept on the driver.
+
+    If the tuples of all genomes are too few or their least cutoff too low, groups of genomes that share enough take their
+    place; a pair of genomes in several groups has the mean of their cutoffs."""
     config = config or EngineConfig()
     plain = store(genes.where("not intergenic"))
     rows = store(orthology.read_coverage(hits, plain, config.min_coverage))
@@ -36,16 +49,26 @@ def conservation(genes: DataFrame, hits: DataFrame, config: EngineConfig | None
     true = orthology.conserved_neighbours(pairs.select(F.col("q").alias("a"), F.col("s").alias("b")), near, near)
     true = pairs.join(true.select(F.col("a").alias("q"), F.col("b").alias("s")), ["q", "s"], "left_semi")
     genomes = sorted(r["genome_id"] for r in plain.select("genome_id").distinct().collect())
-    tuples = store(orthology.unique_tuples(orthology.grow_tuples(true, genomes)))
-    within = orthology.tuple_pairs(tuples)
-    scored = pairs.join(within.select(F.col("a").alias("q"), F.col("b").alias("s")), ["q", "s"], "left_semi").where("genome_q < genome_s")
-    scored = scored.select(F.col("genome_q").alias("genome_a"), F.col("genome_s").alias("genome_b"), ((F.col("pident_qs") + F.col("pident_sq")) / 2).alias("score"))
-    cutoffs = store(orthology.adaptive_cutoffs(scored, ["genome_a", "genome_b"], "score", config.cutoff_std_factor))
+    covered = plain.select(F.lit(1).alias("group_no"), F.col("genome_id").alias("genome")).distinct()
+    tuples, within, cutoffs = _grown(pairs, true, genomes, config)
+    worst = cutoffs.agg(F.min("cutoff")).first()[0]
+    if tuples.count() < config.min_group_tuples or worst is None or worst < config.min_group_cutoff:
+        # all genomes together are no group: groups of those that share more
+        links = store(true.select(F.col("q").alias("src"), F.col("s").alias("dst")))
+        held = graph.components(links).join(plain.select(F.col("gene_id").alias("node"), F.col("genome_id").alias("genome")), "node")
+        found = store(orthology.genome_groups(held.select(F.col("root").alias("class_id"), "genome"), config.min_group_tuples, config.min_group_genomes))
+        parts: dict[int, list[str]] = {}
+        for r in found.collect():
+            parts.setdefault(r["group_no"], []).append(r["genome"])
+        grown = [_grown(pairs, true, sorted(g), config) for _, g in sorted(parts.items())]
+        if grown:
+            covered = found
+            tuples, within, each = (reduce(DataFrame.unionByName, x) for x in zip(*grown, strict=True))
+            cutoffs = store(each.groupBy("genome_a", "genome_b").agg(F.sum("n").alias("n"), F.avg("mean").alias("mean"), F.avg("std").alias("std"), F.avg("cutoff").alias("cutoff")))
     edges = orthology.filter_by_cutoff(rows, cutoffs, within.where("a < b") if config.propagate_true_pairs else None)
     groups = graph.markov_clusters(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), config.inflation)
     of = plain.select(F.col("gene_id").alias("node"), F.col("genome_id").alias("genome"))
     classes = store(groups.join(of, "node").select(F.col("group_id").alias("class_id"), F.col("node").alias("gene"), "genome"))
-    covered = plain.select(F.lit(1).alias("group_no"), F.col("genome_id").alias("genome")).distinct()
     found = orthology.occurrence(classes, covered)
     return Conservation(orthology.with_default_occurrence(genes, found, len(genomes)), tuples, cutoffs, classes)
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from genloom.config import EngineConfig
 from genloom import schema
 from genloom.plans import genome
 from genloom.sources import fasta, genbank, sinks, tables
@@ -110,6 +111,24 @@ def genomes(spark):
     return spark.createDataFrame(rows, schema.GENE), spark.createDataFrame(hits, schema.HIT), spark.createDataFrame(domains, schema.GENE_DOMAIN)
 
 
+def test_groups_of_genomes_take_the_place_of_all(spark):
+    import dataclasses
+
+    rows, hits = [], []
+    for half in ("abc", "def"):
+        for g in half:
+            for i in range(12):
+                rows.append((f"{g}_{i:02d}", g, f"{g}s", i * 300, i * 300 + 280, "+", "MKC", False, False, False, False, None))
+                hits += [(f"{g}_{i:02d}", f"{h}_{i:02d}", 80.0 + i, 100, 0, 0, 100, 100, 1e-30, 200.0) for h in half if h != g]
+    genes, hits = spark.createDataFrame(rows, schema.GENE), spark.createDataFrame(hits, schema.HIT)
+    config = dataclasses.replace(EngineConfig(), min_group_genomes=3, min_group_tuples=5)
+    found = genome.conservation(genes, hits, config)
+    assert found.tuples.count() == 20 and {(r.genome_a, r.genome_b) for r in found.cutoffs.collect()} == {("a", "b"), ("a", "c"), ("b", "c"), ("d", "e"), ("d", "f"), ("e", "f")}
+    assert {r.cog for r in found.genes.where("gene_id like '%_05'").collect()} == {1.0}
+    whole = genome.conservation(genes, hits, dataclasses.replace(config, min_group_genomes=4))  # no group is large enough
+    assert whole.tuples.count() == 0 and whole.genes.count() == 72
+
+
 def test_flows(spark):
     genes, hits, domains = genomes(spark)
     stage1 = genome.conservation(genes, hits)
