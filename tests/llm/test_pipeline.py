@@ -46,6 +46,8 @@ def test_null_and_repeated_ids_are_judged_by_their_own_text(spark, tmp_path):
     rows = [(None, text[0]), (None, text[1]), (None, text[1]), (7, text[2]), (7, text[3]), (7, text[2]), (8, text[4]), (None, text[4]), (3, text[3]), (9, held), (None, held + " more"), (9, text[5])]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    wordless = spark.createDataFrame([(None, None, "en", "s", 1)] * 2 + [(4, "", "en", "s", 1)] * 2, DOCS)
+    assert corpus_pipeline.keep_one_of_each(spark, wordless, str(tmp_path)).count() == 4
     got = corpus_pipeline.keep_one_of_each(spark, docs, str(tmp_path))
     assert got.columns == docs.columns
     kept = sorted(((r.doc_id or 0, r.text) for r in got.collect()))
@@ -55,7 +57,7 @@ def test_null_and_repeated_ids_are_judged_by_their_own_text(spark, tmp_path):
 
 
 def test_empty_tables_and_clashing_columns(spark, tmp_path):
-    names = ["_row", "_row_dropped", "_number", "_kept", "_class", "row", "times", "doc"]
+    names = ["_key", "_key_dropped", "_number", "_kept", "class_id", "rows", "times", "doc"]
     docs = spark.createDataFrame([(i, f"some words of row {i} " * 8, "en", "s", 1) for i in range(6)], DOCS)
     for name in names:
         docs = docs.selectExpr("*", f"7 as {name}")
