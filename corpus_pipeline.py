@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns rows with the columns of `documents`, but for the last, which
 returns where each row goes: doc_id, size, text_crc32, law, shard, slot, grown_shard. A stage's result is written as
-Parquet and read again as the next one's docs. Near duplicates and contaminated documents are dropped by row, so rows
-with a null doc_id, or one that repeats, are judged by their own text.
+Parquet and read again as the next one's docs. Near duplicates and contaminated documents are dropped by their doc_id and
+text, so rows with a null doc_id, or one that repeats, are judged by their own text; rows with one id and one text are
+copies of each other.
 """
 
 from __future__ import annotations
@@ -21,23 +22,25 @@ SHARDS = 24
 ORACLE_SQL = None
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """`docs` with a number for each row, stored, so that it stays; and the number's column, unlike any of `docs`."""
-    row = "_row"
-    while any(c.startswith(row) for c in docs.columns):
-        row = "_" + row
-    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-numbered"), row
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a 64-bit hash of each row's doc_id and text, and the hash's column, unlike any of `docs`.
 
+    The hash is the same on every read, so no copy of the documents has to be stored to tell rows apart; rows that share it
+    have one id and one text, and every stage below judges them alike."""
+    key = "_key"
+    while any(c.startswith(key) for c in docs.columns):
+        key = "_" + key
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
 
-def _by_row(numbered: DataFrame, row: str) -> DataFrame:
-    """`numbered` with the row's number as its doc_id."""
-    return numbered.select(F.col(row).alias("doc_id"), "text")
 
+def _by_key(keyed: DataFrame, key: str) -> DataFrame:
+    """The texts of `keyed` with the key as their doc_id."""
+    return keyed.select(F.col(key).alias("doc_id"), "text")
 
-def _without(numbered: DataFrame, row: str, rows: DataFrame) -> DataFrame:
-    """`numbered` without the rows numbered in `rows`; their texts are only shuffled if `rows` is too large to send."""
-    rows = materialize(rows.select(F.col("doc_id").alias(f"{row}_dropped")), "pipeline-dropped")
-    return numbered.join(broadcast_if(rows, rows.count(), MOST_BROADCAST), F.col(row) == F.col(f"{row}_dropped"), "left_anti").drop(row)
+
+def _where_key(keyed: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of `keyed` with `keys` (column: key); texts are only shuffled if `keys` is too large to send."""
+    return keyed.join(broadcast_if(keys, keys.count(), MOST_BROADCAST), key, how)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,23 +52,27 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id (nulls last) of each class of near duplicates."""
     with stage_scratch(spark):
-        numbered, number = _numbered(docs)
-        found = materialize(ngram_join.near_duplicates(_by_row(numbered, number)).select("doc_id", "class_id"), "pipeline-classes")
-        several = found.where("doc_id <> class_id").select("class_id").distinct().select(F.col("class_id").alias("_class"))
-        several = materialize(several, "pipeline-several")
-        several = broadcast_if(several, several.count(), MOST_BROADCAST)
-        members = found.join(several, F.col("class_id") == F.col("_class"), "left_semi").withColumnRenamed("doc_id", "row")
-        members = materialize(members.join(numbered.select(F.col(number).alias("_number"), "doc_id"), F.col("row") == F.col("_number")).select("class_id", "row", "doc_id"), "pipeline-members")
-        first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-        kept = members.groupBy("class_id").agg(F.min(first)["row"].alias("_kept"))
-        return _without(numbered, number, members.join(kept.select("_kept"), F.col("row") == F.col("_kept"), "left_anti").select(F.col("row").alias("doc_id")))
+        keyed, key = _keyed(docs)
+        found = ngram_join.near_duplicates(_by_key(keyed, key)).where("n_links > 0")  # rows with others like them
+        found = materialize(found.groupBy("class_id", F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("rows")), "pipeline-classes")
+        ids = _where_key(keyed.select(key, "doc_id"), key, found.select(key), "left_semi").distinct()
+        members = materialize(found.join(ids, key), "pipeline-members")
+        first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", key)
+        kept = members.groupBy("class_id").agg(F.min(first)[key].alias(key))
+        dropped = members.join(kept.select(key), key, "left_anti").select(key)
+        repeated = materialize(members.join(kept.select(key), key, "left_semi").where("rows > 1").select(key), "pipeline-repeated")
+        gone = materialize(dropped.unionByName(repeated), "pipeline-dropped")
+        once = _where_key(keyed, key, repeated, "left_semi").dropDuplicates([key])
+        return _where_key(keyed, key, gone, "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too little of the benchmark to count as contaminated."""
     with stage_scratch(spark):
-        numbered, number = _numbered(docs)
-        return _without(numbered, number, decontam.contamination(_by_row(numbered, number), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+        keyed, key = _keyed(docs)
+        judged = decontam.contamination(_by_key(keyed, key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+        gone = materialize(judged.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "pipeline-dropped")
+        return _where_key(keyed, key, gone, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
