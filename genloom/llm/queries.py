@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, mixing, ngram_join, quality, secrets, sharding, topk, url_filter, warc
+from . import decontam, html_extract, lexical, mixing, ngram_join, quality, secrets, sharding, topk, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kd_shards, op2_url_verdicts, op3_secret_scan, op4_warc_index, op5_exact_topk, op6_quality, op7_main_text, op8_source_mix, op9_phrase_contamination, op10_near_duplicates)
+    f.__name__: f for f in (op1_kd_shards, op2_url_verdicts, op3_secret_scan, op4_warc_index, op5_exact_topk, op6_quality, op7_main_text, op8_source_mix, op9_phrase_contamination, op10_near_duplicates, op11_ranked_search)
 }
-ORACLES: dict[str, str] = {"op2_url_verdicts": url_filter.sql(), "op3_secret_scan": secrets.sql(), "op4_warc_index": warc.SQL, "op5_exact_topk": topk.SQL, "op8_source_mix": mixing.SQL, "op9_phrase_contamination": decontam.SQL}
+ORACLES: dict[str, str] = {"op2_url_verdicts": url_filter.sql(), "op3_secret_scan": secrets.sql(), "op4_warc_index": warc.SQL, "op5_exact_topk": topk.SQL, "op8_source_mix": mixing.SQL, "op9_phrase_contamination": decontam.SQL, "op11_ranked_search": lexical.SQL}
