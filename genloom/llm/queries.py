@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontam, html_extract, lexical, mixing, ngram_join, quality, secrets, sharding, topk, url_filter, warc
+from . import alignment, decontam, html_extract, lexical, mixing, ngram_join, quality, secrets, sharding, suffix_dedup, topk, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,11 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_kd_shards, op2_url_verdicts, op3_secret_scan, op4_warc_index, op5_exact_topk, op6_quality, op7_main_text, op8_source_mix, op9_phrase_contamination, op10_near_duplicates, op11_ranked_search, op12_token_alignment)
+    f.__name__: f for f in (op1_kd_shards, op2_url_verdicts, op3_secret_scan, op4_warc_index, op5_exact_topk, op6_quality, op7_main_text, op8_source_mix, op9_phrase_contamination, op10_near_duplicates, op11_ranked_search, op12_token_alignment, op13_suffix_dedup)
 }
 ORACLES: dict[str, str] = {"op2_url_verdicts": url_filter.sql(), "op3_secret_scan": secrets.sql(), "op4_warc_index": warc.SQL, "op5_exact_topk": topk.SQL, "op8_source_mix": mixing.SQL, "op9_phrase_contamination": decontam.SQL, "op11_ranked_search": lexical.SQL}
