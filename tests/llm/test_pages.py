@@ -219,7 +219,7 @@ def test_main_text_rows(spark):
     assert html_extract.extract_main_text(pages(spark, [])).collect() == []
 
 
-def brute_verdicts(rows, damping=0.85, rounds=10):
+def brute_verdicts(rows, damping=0.85, rounds=120):
     import re
 
     def host(u):
@@ -247,8 +247,6 @@ def brute_verdicts(rows, damping=0.85, rounds=10):
             bad[h] = bad.get(h, 0) + (v == "block")
     share = lambda x: {h: x[h] / pages_of[h] for h in pages_of}
     good, bad = share(good), share(bad)
-    good = {h: x / (sum(good.values()) or 1) for h, x in good.items()}
-    bad = {h: x / (sum(bad.values()) or 1) for h, x in bad.items()}
     out, into = {}, {}
     for (a, b), n in edges.items():
         out[a] = out.get(a, 0) + n
@@ -315,6 +313,17 @@ def test_url_verdicts_do_not_depend_on_the_size_of_the_graph(spark):
     assert verdicts(6) == once * 6
 
 
+def test_distrust_follows_long_chains_and_unrelated_hosts_change_nothing(spark):
+    chain = [(i, f"http://h{i}.io/", f"<a href='http://{'h%d.io' % (i - 1) if i > 1 else 'a.net'}/'>") for i in range(1, 42)] + [(99, "http://a.net/", "")]
+    fork = [(100, "http://t.org/fr/", "<a href='http://mid.io/'>"), (101, "http://mid.io/", "<a href='http://b.net/'><a href='http://c.io/'>"), (102, "http://b.net/x", "")]
+    more = [(200 + i, f"http://u{i}.org/fr/{i}", f"<a href='http://v{i}.io/'>") for i in range(30)]
+    alone = {r.page_id: r.verdict for r in url_filter.judge(pages(spark, chain + fork)).collect()}
+    assert {alone[i] for i in range(1, 42)} == {"block"}
+    joined = {r.page_id: r.verdict for r in url_filter.judge(pages(spark, chain + fork + more)).collect()}
+    assert {i: v for i, v in joined.items() if i < 200} == alone
+    assert joined == {w[0]: w[4] for w in brute_verdicts(chain + fork + more)} == {w[0]: w[4] for w in in_duckdb(chain + fork + more)}
+
+
 def test_links_without_a_scheme_are_edges(spark):
     rows = [(1, "http://a.net/", ""), (2, "http://farm.biz/", "<a href='//A.net/x'>"), (3, "http://img.biz/", '<img src=//a.net?y>'), (4, "http://own.biz/", "<a href='/a//a.net/'><a href='x//a.net'>")]
     assert {r.page_id: r.verdict for r in url_filter.judge(pages(spark, rows)).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
