@@ -1,6 +1,6 @@
 """Operators on rows that are ordered intervals within a partition: neighbours, runs, islands, merging, extension.
 
-Each is one sort within its keys. Rows of one key are never collected: windows stream, and spill if they must.
+Each is one sort within its keys, as a window or, for keys of very many rows, over ordered pieces of them (`scan`).
 """
 
 from __future__ import annotations
@@ -11,17 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scan import scan
+
 
 def flanks(df: DataFrame, keys: list[str], start: str, end: str, row_id: str, skip: Column | None = None) -> DataFrame:
     """Adds left_id, left_dist, right_id, right_dist: the nearest rows on either side that `skip` doesn't flag.
 
     Flagged rows get neighbours too, but never are one."""
-    order = W.partitionBy(*keys).orderBy(start, row_id)
     counts = F.lit(True) if skip is None else ~F.coalesce(skip, F.lit(False))
     here = F.when(counts, F.struct(F.col(row_id).alias("id"), F.col(start).alias("s"), F.col(end).alias("e")))
-    left = F.last(here, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
-    right = F.first(here, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-    out = df.withColumn("_left", left).withColumn("_right", right)
+    out = scan(df, keys, [start, row_id], before={"_left": here}, after={"_right": here})
     return out.select(
         *df.columns, F.col("_left.id").alias("left_id"), (F.col(start) - F.col("_left.e")).alias("left_dist"), F.col("_right.id").alias("right_id"), (F.col("_right.s") - F.col(end)).alias("right_dist")
     )
@@ -30,12 +29,12 @@ def flanks(df: DataFrame, keys: list[str], start: str, end: str, row_id: str, sk
 def runs(df: DataFrame, keys: list[str], start: str, end: str, row_id: str, gap, same: Iterable[str] = (), name: str = "run") -> DataFrame:
     """Adds `name`: the number, within the keys, of the row's run. A run breaks where the gap to the previous row's end
     exceeds `gap`, or a column of `same` changes."""
-    order = W.partitionBy(*keys).orderBy(start, row_id)
-    broken = F.lag(end).over(order).isNull() | (F.col(start) - F.lag(end).over(order) > gap)
-    for c in same:
-        broken = broken | ~F.lag(c).over(order).eqNullSafe(F.col(c))
-    marked = df.withColumn("_break", broken.cast("int"))
-    return marked.withColumn(name, F.sum("_break").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_break")
+    same = list(same)
+    marked = scan(df, keys, [start, row_id], before={"_last": F.struct(F.col(end).alias("e"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(same)])})
+    broken = F.col("_last.e").isNull() | (F.col(start) - F.col("_last.e") > gap)
+    for i, c in enumerate(same):
+        broken = broken | ~F.col(f"_last.c{i}").eqNullSafe(F.col(c))
+    return scan(marked.withColumn("_break", broken.cast("int")).drop("_last"), keys, [start, row_id], sums={name: F.col("_break")}).drop("_break")
 
 
 def seeded(df: DataFrame, keys: list[str], seed: Column) -> DataFrame:
@@ -57,28 +56,26 @@ def islands_of(df: DataFrame, keys: list[str], start: str, end: str, group: list
 def merge_lone(islands: DataFrame, keys: list[str], region: str = "region", island: str = "island") -> DataFrame:
     """Adds `merged`: the island that an island of one row joins (the nearer neighbour in its region; a tie goes left),
     or its own."""
-    order = W.partitionBy(*keys, region).orderBy("i_start", island)
-    left, right = F.col("i_start") - F.lag("i_end").over(order), F.lead("i_start").over(order) - F.col("i_end")
-    out = islands.withColumn("_left", left).withColumn("_right", right).withColumn("_prev", F.lag(island).over(order)).withColumn("_next", F.lead(island).over(order))
+    out = scan(islands, [*keys, region], ["i_start", island], before={"_b": F.struct("i_end", island)}, after={"_a": F.struct("i_start", island)})
+    out = out.withColumn("_left", F.col("i_start") - F.col("_b.i_end")).withColumn("_right", F.col("_a.i_start") - F.col("i_end")).withColumn("_prev", F.col("_b")[island]).withColumn("_next", F.col("_a")[island])
     joins = F.when((F.col("n") > 1) | (F.col("_left").isNull() & F.col("_right").isNull()), F.col(island))
     joins = joins.when(F.col("_right").isNull() | (F.col("_left") <= F.col("_right")), F.col("_prev")).otherwise(F.col("_next"))
-    return out.withColumn("merged", joins).drop("_left", "_right", "_prev", "_next")
+    return out.withColumn("merged", joins).drop("_left", "_right", "_prev", "_next", "_a", "_b")
 
 
 def coalesce_intervals(df: DataFrame, keys: list[str], start: str, end: str, row_id: str, gap) -> DataFrame:
     """Adds `merged`: the number of the row's merged interval. A row starts a new one if it begins more than `gap` after
     the end of the row before it by start (not the largest end so far)."""
-    order = W.partitionBy(*keys).orderBy(start, row_id)
-    before = F.max(F.struct(F.col(start).alias("s"), F.col(row_id).alias("i"), F.col(end).alias("e"))).over(order.rowsBetween(W.unboundedPreceding, -1))
-    out = df.withColumn("_before", before).withColumn("_new", (F.col("_before").isNull() | (F.col(start) - F.col("_before.e") > gap)).cast("int"))
-    return out.withColumn("merged", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_before", "_new")
+    out = scan(df, keys, [start, row_id], before={"_before": F.struct(F.col(end).alias("e"))})
+    out = out.withColumn("_new", (F.col("_before").isNull() | (F.col(start) - F.col("_before.e") > gap)).cast("int")).drop("_before")
+    return scan(out, keys, [start, row_id], sums={"merged": F.col("_new")}).drop("_new")
 
 
 def extend(df: DataFrame, keys: list[str], start: str, row_id: str, group: str, by: int = 5) -> DataFrame:
     """(keys, group, row_id, ord, is_core): each group's rows and up to `by` rows before its first and after its last, by
     place within the keys. df: all rows; `group` is null for rows in none. The places wanted are listed, so the join is
     by equality."""
-    placed = df.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(start, row_id)))
+    placed = scan(df, keys, [start, row_id], sums={"_place": F.lit(1).cast("long")})
     spans = placed.where(F.col(group).isNotNull()).groupBy(*keys, group).agg(F.min("_place").alias("lo"), F.max("_place").alias("hi"))
     wanted = spans.select(*keys, group, "lo", "hi", F.explode(F.sequence(F.greatest(F.col("lo") - by, F.lit(1)), F.col("hi") + by)).alias("_place"))
     found = wanted.join(placed.drop(group), [*keys, "_place"])

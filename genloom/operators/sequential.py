@@ -25,11 +25,14 @@ LONE_STD, SCORE_GAP, MOST_OUTLIERS = 0.05, 0.1, 2
 
 
 class _Scores:
-    """Count, mean and squared deviations of scores; two are joined without their rows."""
+    """Count, mean and squared deviations of scores, and how many rows there are with those that have none; two are joined
+    without their rows."""
 
-    __slots__ = ("n", "mean", "squares")
+    __slots__ = ("n", "mean", "squares", "rows")
 
     def __init__(self, scores) -> None:
+        self.rows = len(scores)
+        scores = [x for x in scores if x is not None and x == x]
         self.n = len(scores)
         self.mean = float(np.mean(scores)) if self.n else 0.0
         self.squares = float(((np.asarray(scores, float) - self.mean) ** 2).sum()) if self.n else 0.0
@@ -39,7 +42,7 @@ class _Scores:
 
     def joined(self, other: _Scores) -> _Scores:
         out = _Scores(())
-        out.n = self.n + other.n
+        out.n, out.rows = self.n + other.n, self.rows + other.rows
         apart = other.mean - self.mean
         out.mean = self.mean + apart * other.n / max(out.n, 1)
         out.squares = self.squares + other.squares + apart**2 * self.n * other.n / max(out.n, 1)
@@ -47,11 +50,11 @@ class _Scores:
 
 
 def fuse(islands: list, seed: int, gap: float = SCORE_GAP, lone: float = LONE_STD, most_outliers: int = MOST_OUTLIERS) -> list[int]:
-    """Islands accepted around island `seed`; each island is the list of its rows' scores (or their _Scores), in order of
-    place.
+    """Islands accepted around island `seed`; each island is the list of its rows' scores, None for a row without one (or
+    their _Scores), in order of place.
 
     Sides take turns. The island next to a side's edge is accepted if its mean is within the gap of the accepted mean, less
-    both spreads. One that isn't becomes the side's edge while few outlier rows have been absorbed; it is taken in (its
+    both spreads. One that isn't becomes the side's edge while few outlier rows, scored or not, have been absorbed; it is taken in (its
     scores are not) once an island beyond it is accepted. Two failures in a row end the walk."""
     stats = lambda i: islands[i] if isinstance(islands[i], _Scores) else _Scores(islands[i])
     accepted, scores = {seed}, stats(seed)
@@ -68,7 +71,7 @@ def fuse(islands: list, seed: int, gap: float = SCORE_GAP, lone: float = LONE_ST
             if near:
                 if pending[side] is not None:
                     accepted.add(pending[side])
-                    absorbed += stats(pending[side]).n
+                    absorbed += stats(pending[side]).rows
                     pending[side] = None
                 accepted.add(at)
                 scores = scores.joined(own)
@@ -90,15 +93,15 @@ def island_fusion(df: DataFrame, keys: list[str], island: str, score: str, seed:
     Spark sums each island up first, so a key is one short row for each of its islands."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     x = F.when(~F.isnan(F.col(score).cast("double")), F.col(score).cast("double"))
-    sums = df.groupBy(*keys, island).agg(F.count(x).alias("_n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("_mean"), F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias("_squares"), F.max(F.col(seed)).alias("_seed"))
+    sums = df.groupBy(*keys, island).agg(F.count(x).alias("_n"), F.count(F.lit(1)).alias("_rows"), F.coalesce(F.avg(x), F.lit(0.0)).alias("_mean"), F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias("_squares"), F.max(F.col(seed)).alias("_seed"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(island, kind="stable")
         names = pdf[island].to_numpy()
         members = []
-        for n, mean, squares in zip(pdf["_n"], pdf["_mean"], pdf["_squares"], strict=True):
+        for n, rows, mean, squares in zip(pdf["_n"], pdf["_rows"], pdf["_mean"], pdf["_squares"], strict=True):
             one = _Scores(())
-            one.n, one.mean, one.squares = int(n), float(mean), float(squares)
+            one.n, one.rows, one.mean, one.squares = int(n), int(rows), float(mean), float(squares)
             members.append(one)
         found = [(s, np.array(fuse(members, int(s), gap))) for s in np.flatnonzero(pdf["_seed"].fillna(False).to_numpy(bool))]
         n = sum(len(f) for _, f in found)

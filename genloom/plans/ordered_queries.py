@@ -169,15 +169,16 @@ SELECT o_custkey, o_orderkey, s AS "start", e AS "end" FROM g JOIN o USING (o_cu
 
 
 def island_fusion(spark, sf_dir):
-    """Islands of a user's events (gap up to two hours) fused around those that hold a value of 95 or more, by mean value."""
+    """Islands of a user's events (gap up to two hours) fused around those that hold a value of 95 or more, by mean value;
+    an event with a value under 10 has no score."""
     placed = ordered.runs(events(spark, sf_dir), ["user_id"], "sec", "sec", "event_id", 2 * HOUR, name="island")
-    rows = placed.select("user_id", "island", (F.col("value") / 100).alias("score"), (F.col("value") >= 95).alias("seed"))
+    rows = placed.select("user_id", "island", F.when(F.col("value") >= 10, F.col("value") / 100).alias("score"), (F.col("value") >= 95).alias("seed"))
     return sequential.island_fusion(rows, ["user_id"], "island", "score", "seed")
 
 
 #: One step of the walk at a time; a side is -1 or 1, `el` and `er` are the sides' edges, `pl` and `pr` their islands that wait.
 ISLAND_FUSION = f"""WITH RECURSIVE {EVENTS}, {event_runs("x", "e", "island", 2 * HOUR, False)},
-i AS (SELECT user_id, island, count(value) AS n, COALESCE(avg(value / 100), 0) AS mean, COALESCE(var_pop(value / 100) * count(value), 0) AS sq, max((value >= 95)::INT) AS seed FROM x GROUP BY ALL),
+i AS (SELECT user_id, island, count(*) AS n_rows, count(v) AS n, COALESCE(avg(v), 0) AS mean, COALESCE(var_pop(v) * count(v), 0) AS sq, max((value >= 95)::INT) AS seed FROM (SELECT *, CASE WHEN value >= 10 THEN value / 100 END AS v FROM x) GROUP BY ALL),
 b AS (SELECT user_id, max(island) AS most FROM i GROUP BY 1),
 w AS (SELECT user_id, island AS seed_island, most, island AS el, island AS er, NULL::BIGINT AS pl, NULL::BIGINT AS pr, n, mean, sq, 0::BIGINT AS absorbed, 0 AS failures, -1 AS side, [island] AS got FROM i JOIN b USING (user_id) WHERE seed = 1
   UNION ALL SELECT user_id, seed_island, most,
@@ -187,7 +188,7 @@ w AS (SELECT user_id, island AS seed_island, most, island AS el, island AS er, N
     CASE WHEN step = 'near' THEN absorbed + COALESCE(waiting, 0) ELSE absorbed END,
     CASE WHEN step = 'near' THEN 0 WHEN step = 'fail' THEN failures + 1 ELSE failures END, CASE WHEN step = 'fail' THEN -side ELSE side END,
     CASE WHEN step = 'near' AND pending IS NOT NULL THEN list_append(list_append(got, pending), pos) WHEN step IN ('near', 'empty') THEN list_append(got, pos) ELSE got END
-  FROM (SELECT w.*, CASE WHEN w.side < 0 THEN w.el ELSE w.er END + w.side AS pos, CASE WHEN w.side < 0 THEN w.pl ELSE w.pr END AS pending, j.n AS m, j.mean AS mean2, j.sq AS sq2, k.n AS waiting,
+  FROM (SELECT w.*, CASE WHEN w.side < 0 THEN w.el ELSE w.er END + w.side AS pos, CASE WHEN w.side < 0 THEN w.pl ELSE w.pr END AS pending, j.n AS m, j.mean AS mean2, j.sq AS sq2, k.n_rows AS waiting,
       CASE WHEN j.island IS NULL THEN 'fail' WHEN j.n = 0 THEN 'empty'
         WHEN w.n = 0 OR abs(w.mean - j.mean) - (CASE WHEN w.n > 1 THEN sqrt(w.sq / w.n) ELSE 0.05 END) - (CASE WHEN j.n > 1 THEN sqrt(j.sq / j.n) ELSE 0.05 END) < 0.1 THEN 'near'
         WHEN w.absorbed < 2 THEN 'wait' ELSE 'fail' END AS step
