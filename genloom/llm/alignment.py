@@ -1,29 +1,32 @@
 """Cross-tokenizer alignment: how the tokens of two tokenizers fall together, and how often each pair of ids does so.
 
-Every text is encoded once by each tokenizer (A: byte-level BPE of space+text; B: pieces with byte fallback, which adds the
-space itself). Both token sequences spell the same bytes, so their ends are offsets into one byte string: offsets where both
-end cut the tokens into groups, and each stretch between neighbouring ends of either is exactly one overlapping A-B pair, a
-link. The ids are stored packed, two bytes each where the vocabulary allows.
-
-Corpus counts of id pairs: a pair is one int64, `b << 32 | a`. Tasks reduce their links with `np.unique` to partial counts;
-these are sorted globally by range partitions, and each range sums runs of equal keys. Every range is a sorted count shard (keys
-and counts) in the shared folder, which the last pass memory-maps and looks up by `searchsorted`. Its size follows the number of
-different pairs, which the vocabularies bound. Where the shared folder isn't a mounted file system, which can't be mapped, the
-counts are joined by key instead.
+Texts are cut at single spaces, where no token of either tokenizer lies across, and every different piece of a block of texts
+is encoded once by each (A: byte-level BPE of space+text; B: pieces with byte fallback, which adds the space itself). Both spell
+the same bytes, so their ends are offsets into one string: offsets where both end cut the tokens into groups, and each stretch
+between neighbouring ends of either is exactly one overlapping A-B pair, a link. A text's groups and links are those of its
+pieces in a row. A block is stored as one row: its pieces' links, and each text as numbers of pieces.
+
+Corpus counts of id pairs: a pair is one int64, `b << 32 | a`. Tasks reduce the links of their blocks with `np.unique` to partial
+counts; these are sorted globally by range partitions, and each range sums runs of equal keys. Every range is a sorted count
+shard (keys and counts) in the shared folder, which the last pass memory-maps and looks up by `searchsorted`. Its size follows
+the number of different pairs, which the vocabularies bound. Where the shared folder isn't a mounted file system, which can't be
+mapped, the counts are joined by key instead.
 
 Defined results: texts that are null, empty, or not spelled back by both tokenizers (a normalized or unknown character) have no
-tokens: zeros and an empty digest; rows that repeat, or share or lack a doc_id, are each encoded and counted; very long texts are
-cut before single spaces, where neither tokenizer has a token across, so the tokens are those of the whole text; an empty table
-gives an empty result; other columns are ignored.
+tokens: zeros and an empty digest; rows that repeat, or share or lack a doc_id, are each encoded and counted; a text of any length
+is encoded whole (a piece without a single space in it is encoded in one go, whatever its length); an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import urlparse
 
 import numpy as np
@@ -38,12 +41,17 @@ ship_by_value(__name__)
 
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text that are encoded at a time, and characters after which a longer text is cut at the next fit space.
-CHUNK, PIECE = 1 << 20, 1 << 18
-#: Pair keys that a task reduces at a time, and keys of a count shard.
-MOST_KEYS, SHARD_KEYS = 1 << 21, 1 << 20
+#: Fixed value: how byte-level BPE cuts texts before it merges bytes.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of the texts of a block, and of pieces that are encoded at a time; pieces of up to so many characters are remembered
+#: between blocks, as many as that.
+BLOCK, BATCH, SHORT, REMEMBERED = 1 << 22, 1 << 18, 40, 150_000
+#: Pair keys that a task holds to reduce, and keys of a count shard.
+MOST_KEYS, SHARD_KEYS = 1 << 20, 1 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
-STORED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a binary, b binary"
+#: A block: of each text its numbers; the pieces of all texts in a row, of which `ends` tells whose they are; and of each piece its
+#: links, of which `key_ends` tells whose they are.
+STORED = "doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, pieces binary, ends binary, keys binary, key_ends binary"
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,52 +61,66 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Spelled(NamedTuple):
+    """A piece by both tokenizers: how many tokens and groups, the groups as they are hashed, and the links."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: bytes
+    keys: np.ndarray
+
+
 class Pair:
     """Both tokenizers, with the bytes of their tokens."""
 
     def __init__(self, folder: str, a_file: str, b_file: str) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_file(f"{folder}/{a_file}")
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{b_file}")
+        with open(f"{folder}/{a_file}", encoding="utf-8") as file:
+            told = json.load(file)
         letter = byte_letters()
-        spelled = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
-        self.a_bytes = [bytes(letter[c] for c in t) if all(c in letter for c in t) else t.encode() for t in spelled]
+        special = {t["content"] for t in told["added_tokens"]}
+        ranks = {bytes(letter[c] for c in t): i for t, i in told["model"]["vocab"].items() if t not in special}
+        self.a = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.a_bytes = [b""] * (max([*ranks.values(), *(t["id"] for t in told["added_tokens"])]) + 1)
+        for t, i in ranks.items():
+            self.a_bytes[i] = t
+        self.b = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{b_file}")
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)  # no piece reaches across a space after a letter
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
 
     def pieces(self, text: str) -> list[str]:
         """`text` cut at spaces between other characters; joined by a space they are the text."""
-        out, at = [], 0
-        while self.cuts and len(text) - at > PIECE and (m := CUT.search(text, at + PIECE)):
-            out.append(text[at : m.start()])
-            at = m.end()
-        return [*out, text[at:]]
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of A and B for each text; two empty lists if either doesn't spell it."""
-        parts = [self.pieces(t) for t in texts]
-        flat = [p for x in parts for p in x]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)]
-        b = self.b.encode(flat, num_threads=1)
-        out, at = [], 0
-        for text, x in zip(texts, parts, strict=True):
-            ids = [i for p in a[at : at + len(x)] for i in p], [i for p in b[at : at + len(x)] for i in p]
-            at += len(x)
-            whole = (" " + text).encode()
-            same = text and all(b"".join(map(spell.__getitem__, i)) == whole for i, spell in zip(ids, (self.a_bytes, self.b_bytes), strict=True))
-            out.append(ids if same else ([], []))
+        return CUT.split(text) if self.cuts else [text]
+
+    def spell(self, pieces: list[str]) -> list[Spelled | None]:
+        """Each piece by both tokenizers; None if either doesn't give its bytes back."""
+        a, b = [self.a.encode_ordinary(" " + p) for p in pieces], self.b.encode(pieces, num_threads=1)
+        whole = [(" " + p).encode() for p in pieces]
+        same = [b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, w in zip(a, b, whole, strict=True)]
+        good = [i for i, s in enumerate(same) if s]
+        out: list[Spelled | None] = [None] * len(pieces)
+        if not good:
+            return out
+        n_a, n_b = (np.array([len(x[i]) for i in good]) for x in (a, b))
+        a, b = (np.array([t for i in good for t in x[i]], np.int64) for x in (a, b))
+        a_ends, b_ends, ends, at_a, at_b = links(a, b, self.a_sizes, self.b_sizes)  # every piece ends both, so no link reaches into the next
+        keys = (b[at_b] << 32) | a[at_a]
+        common, groups = spelled_groups(a, b, a_ends, b_ends)
+        last = np.cumsum([len(whole[i]) for i in good])
+        link_ends, group_ends, token_ends = np.searchsorted(ends, last, "right"), np.searchsorted(common, last, "right"), np.cumsum(n_a + n_b)
+        starts = [np.concatenate([[0], x[:-1]]).tolist() for x in (link_ends, group_ends, token_ends)]
+        stops = [x.tolist() for x in (link_ends, group_ends, token_ends)]
+        for k, i in enumerate(good):
+            said = "".join(groups[starts[2][k] : stops[2][k]])[:-1].encode()
+            out[i] = Spelled(int(n_a[k]), int(n_b[k]), stops[1][k] - starts[1][k], said, keys[starts[0][k] : stops[0][k]].copy())
         return out
 
 
-def _packed(n: int) -> str:
-    return "<u2" if n <= 1 << 16 else "<u4"
-
-
 def links(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ends of A and of B tokens, all ends, and for the stretch before each the place of its A and its B token."""
     a_ends, b_ends = np.cumsum(a_sizes[a]), np.cumsum(b_sizes[b])
@@ -106,82 +128,104 @@ def links(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray
     return a_ends, b_ends, ends, np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
 
 
-def spelled_groups(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[int, str]:
-    """How many groups there are, and `a1,a2|b1;a3|b2,b3`."""
+def spelled_groups(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Where groups end, and the ids in the order of `a1,a2|b1;a3|b2,b3`, each with the sign behind it."""
     common = np.intersect1d(a_ends, b_ends, assume_unique=True)
-    if not len(common):
-        return 0, ""
     group = np.concatenate([2 * np.searchsorted(common, a_ends), 2 * np.searchsorted(common, b_ends) + 1])
     order = np.argsort(group, kind="stable")
     group, ids = group[order], np.concatenate([a, b])[order].tolist()
     last = np.append(group[1:] != group[:-1], True)
     after = np.where(last, np.where(group % 2, ";", "|"), ",").tolist()
-    return len(common), "".join([f"{i}{s}" for i, s in zip(ids, after, strict=True)])[:-1]
+    return common, [f"{i}{s}" for i, s in zip(ids, after, strict=True)]
 
 
 def _tokenize(folder: str, a_file: str, b_file: str) -> object:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(folder, a_file, b_file)
-        a_sizes, b_sizes = (np.array([len(x) for x in t], np.int64) for t in (pair.a_bytes, pair.b_bytes))
-        a_kind, b_kind = _packed(len(a_sizes)), _packed(len(b_sizes))
-        schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.string()), ("a", pa.binary()), ("b", pa.binary())])
-
-        def encoded(ids: list, texts: list[str]) -> pa.RecordBatch:
-            out = []
-            for doc, (x, y) in zip(ids, pair.encode(texts), strict=True):
-                a, b = np.array(x, np.int64), np.array(y, np.int64)
-                a_ends, b_ends, ends, _, _ = links(a, b, a_sizes, b_sizes)
-                n, said = spelled_groups(a, b, a_ends, b_ends)
-                out.append((doc, len(a), len(b), n, len(ends), hashlib.sha256(said.encode()).hexdigest() if n else "", a.astype(a_kind).tobytes(), b.astype(b_kind).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        remembered: dict[str, Spelled | None] = {}
+        kinds = [pa.list_(pa.int64())] * 5 + [pa.list_(pa.string())] + [pa.binary()] * 4
+
+        def spelled(pieces: list[str]) -> dict[str, Spelled | None]:
+            """All different pieces; those that are new in batches."""
+            found = {p: remembered[p] for p in pieces if p in remembered}
+            some: list[str] = []
+            size = 0
+            for p in [*dict.fromkeys(p for p in pieces if p not in found), None]:
+                if some and (p is None or size + len(p) > BATCH):
+                    for q, s in zip(some, pair.spell(some), strict=True):
+                        found[q] = s
+                        if len(q) <= SHORT:
+                            remembered[q] = s
+                    some, size = [], 0
+                if p is not None:
+                    some.append(p)
+                    size += len(p)
+            return found
+
+        def block(ids: list, texts: list[str]) -> pa.RecordBatch:
+            if len(remembered) > REMEMBERED:
+                remembered.clear()
+            cut = [pair.pieces(t) if t else [] for t in texts]
+            found = spelled([p for x in cut for p in x])
+            number: dict[str, int] = {}
+            at, ends, told = [], [], []
+            for x in cut:
+                here = [found[p] for p in x]
+                good = bool(here) and None not in here
+                at += [number.setdefault(p, len(number)) for p in x] if good else []
+                ends.append(len(at))
+                said = hashlib.sha256(b";".join([h.groups for h in here])).hexdigest() if good else ""
+                told.append((*(sum([h[i] for h in here]) if good else 0 for i in range(3)), sum([len(h.keys) for h in here]) if good else 0, said))
+            keys = [found[p].keys for p in number]
+            n_a, n_b, n_groups, n_links, said = zip(*told, strict=True)
+            flat = np.concatenate(keys) if keys else np.array([], np.int64)
+            columns = [ids, n_a, n_b, n_groups, n_links, said, np.array(at, np.int32).tobytes(), np.array(ends, np.int32).tobytes(), flat.tobytes(), np.cumsum([len(x) for x in keys]).astype(np.int64).tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in STORED.split(", ")])
 
         for batch in batches:
             ids, texts, size = [], [], 0
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                text = text.as_py() or ""
                 ids.append(doc)
-                texts.append(text)
-                size += len(text)
-                if size >= CHUNK:
-                    yield encoded(ids, texts)
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
+                if size >= BLOCK:
+                    yield block(ids, texts)
                     ids, texts, size = [], [], 0
             if ids:
-                yield encoded(ids, texts)
+                yield block(ids, texts)
 
     return rows
 
 
-def _batch_links(batch: pa.RecordBatch, a_sizes: np.ndarray, b_sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Pair keys of the rows from one place to another, with the number of links of each row; about MOST_KEYS at a time."""
-    n = batch["n_links"].to_numpy()
-    cuts = np.unique(np.concatenate([[0], np.searchsorted(np.cumsum(n), np.arange(MOST_KEYS, n.sum() + MOST_KEYS, MOST_KEYS)) + 1, [len(n)]]).clip(0, len(n)))
-    for first, last in zip(cuts[:-1], cuts[1:], strict=True):
-        some = batch.slice(first, last - first)
-        a, b = (np.frombuffer(b"".join(some[c].to_pylist()), _packed(len(s))).astype(np.int64) for c, s in (("a", a_sizes), ("b", b_sizes)))
-        _, _, _, at_a, at_b = links(a, b, a_sizes, b_sizes)  # every text ends both, so no link reaches into the next
-        yield first, last, (b[at_b] << 32) | a[at_a], n[first:last]
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block its row's columns by name, its pieces, their ends by text, the links' keys and their ends by piece."""
+    for i in range(batch.num_rows):
+        one = batch.slice(i, 1)
+        of = lambda name, kind: np.frombuffer(one[name][0].as_buffer(), kind)  # noqa: B023, E731
+        yield {c: one[c] for c in batch.schema.names}, of("pieces", np.int32), of("ends", np.int32), of("keys", np.int64), of("key_ends", np.int64)
 
 
-def _partial_counts(sizes) -> object:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+def _parts(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the stretches of `values` that end at `ends`."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[ends], prepend=0).astype(np.int64)
 
-        held, sums = np.array([], np.int64), np.array([], np.int64)
-        for batch in batches:
-            for _, _, keys, _ in _batch_links(batch, *sizes.value):
-                keys, n = np.unique(keys, return_counts=True)
-                both = np.concatenate([held, keys])
-                held, back = np.unique(both, return_inverse=True)
-                total = np.zeros(len(held), np.int64)
-                np.add.at(total, back, np.concatenate([sums, n]))
-                sums = total
-                if len(held) > MOST_KEYS:
-                    yield out(held, sums)
-                    held, sums = held[:0], sums[:0]
-        yield out(held, sums)
 
-    return count
+def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+
+    held, sums = np.array([], np.int64), np.array([], np.int64)
+    for batch in batches:
+        for _, pieces, _, keys, ends in _blocks(batch):
+            often = np.repeat(np.bincount(pieces, minlength=len(ends)), np.diff(ends, prepend=0))
+            held, back = np.unique(np.concatenate([held, keys]), return_inverse=True)
+            total = np.zeros(len(held), np.int64)
+            np.add.at(total, back, np.concatenate([sums, often]))
+            sums = total
+            if len(held) > MOST_KEYS:
+                yield out(held, sums)
+                held, sums = held[:0], sums[:0]
+    yield out(held, sums)
 
 
 def sum_runs(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,46 +291,44 @@ class Shards:
 RESULT = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-def _look_up(sizes, shards, folder: str) -> object:
+def _look_up(shards, folder: str) -> object:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, low, best = shards.value
         mapped = Shards(folder, names, low)
         for batch in batches:
-            for first, last, keys, n in _batch_links(batch, *sizes.value):
+            for row, pieces, ends, keys, key_ends in _blocks(batch):
                 counts = mapped.counts(keys)
-                ends = np.cumsum(n)
-                per_row = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[ends], prepend=0)  # noqa: B023, E731
-                some = batch.slice(first, last - first)
-                own = {"n_best": pa.array(per_row(counts == best[keys >> 32])), "count_sum": pa.array(per_row(counts))}
-                yield pa.RecordBatch.from_arrays([own.get(c, some[c] if c not in own else None) for c in RESULT], list(RESULT))
-
-    return rows
-
-
-def _pairs(sizes) -> object:
-    """row, key, links: of each row its different pairs."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, keys, n in _batch_links(batch, *sizes.value):
-                row = np.repeat(batch["row"].to_numpy()[first:last], n)
-                order = np.lexsort((keys, row))
-                row, keys = row[order], keys[order]
-                starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])])) if len(keys) else order
-                yield pa.RecordBatch.from_arrays([pa.array(row[starts]), pa.array(keys[starts]), pa.array(np.diff(np.append(starts, len(keys))))], ["row", "key", "links"])
+                own = {c: pa.array(_parts(_parts(x, key_ends)[pieces], ends)) for c, x in (("n_best", counts == best[keys >> 32]), ("count_sum", counts))}
+                yield pa.RecordBatch.from_arrays([own[c] if c in own else row[c].flatten() for c in RESULT], list(RESULT))
 
     return rows
 
 
-def _joined(stored: DataFrame, ranges: DataFrame, sizes) -> DataFrame:
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, key, links: of each text of a block (row: the block's number and the text's place in it) its different pairs."""
+    for batch in batches:
+        for row, pieces, ends, keys, key_ends in _blocks(batch):
+            first = np.concatenate([[0], key_ends])
+            for i, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
+                used, often = np.unique(pieces[a:b], return_counts=True)
+                size = first[used + 1] - first[used]
+                place = np.repeat(first[used], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                unique, back = np.unique(keys[place], return_inverse=True)
+                n = np.zeros(len(unique), np.int64)
+                np.add.at(n, back, np.repeat(often, size))
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"][0].as_py()] * len(unique), pa.int64()), pa.array(np.full(len(unique), i)), pa.array(unique), pa.array(n)], ["block", "place", "key", "links"])
+
+
+def _joined(stored: DataFrame, ranges: DataFrame) -> DataFrame:
     """The same result with counts joined by key, where shards can't be mapped."""
     counts = materialize(ranges.mapInArrow(_count_rows, "key long, n long"), "alignment-counts")
     best = counts.groupBy(F.shiftright("key", 32).alias("b")).agg(F.max("n").alias("best"))
-    numbered = materialize(stored.withColumn("row", F.monotonically_increasing_id()), "alignment-rows")
-    pairs = numbered.select("row", "n_links", "a", "b").mapInArrow(_pairs(sizes), "row long, key long, links long")
-    found = pairs.join(counts.withColumn("b", F.shiftright("key", 32)).join(best, "b"), "key").groupBy("row").agg(F.sum(F.when(F.col("n") == F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("links")).alias("count_sum"))
+    numbered = materialize(stored.withColumn("block", F.monotonically_increasing_id()), "alignment-blocks")
+    pairs = numbered.select("block", "pieces", "ends", "keys", "key_ends").mapInArrow(_pairs, "block long, place long, key long, links long")
+    found = pairs.join(counts.withColumn("b", F.shiftright("key", 32)).join(best, "b"), "key").groupBy("block", "place").agg(F.sum(F.when(F.col("n") == F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("links")).alias("count_sum"))
+    texts = numbered.select("block", F.posexplode(F.arrays_zip(*[c for c in RESULT if c not in ("n_best", "count_sum")])).alias("place", "x")).select("block", F.col("place").cast("long").alias("place"), "x.*")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return numbered.join(found, "row", "left").select(*[zero(c) if c in ("n_best", "count_sum") else c for c in RESULT])
+    return texts.join(found, ["block", "place"], "left").select(*[zero(c) if c in ("n_best", "count_sum") else c for c in RESULT])
 
 
 def mapped_folder(spark: SparkSession) -> str | None:
@@ -299,14 +341,13 @@ def align(docs: DataFrame, folder: str = FOLDER, a_file: str = A_FILE, b_file: s
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document (doc_id, text)."""
     spark = docs.sparkSession
     pair = Pair(folder, a_file, b_file)
-    sizes = spark.sparkContext.broadcast(tuple(np.array([len(x) for x in t], np.int64) for t in (pair.a_bytes, pair.b_bytes)))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     stored = materialize(source.mapInArrow(_tokenize(folder, a_file, b_file), STORED), "alignment-tokens")
-    partial = materialize(stored.select("n_links", "a", "b").mapInArrow(_partial_counts(sizes), "key long, n long"), "alignment-partial")
+    partial = materialize(stored.select("pieces", "ends", "keys", "key_ends").mapInArrow(_partial_counts, "key long, n long"), "alignment-partial")
     ranges = partial.repartitionByRange(max(1, partial.count() // SHARD_KEYS + 1), "key").sortWithinPartitions("key")
     place = mapped_folder(spark) if mapped else None
     if place is None:
-        return _joined(stored, ranges, sizes)
+        return _joined(stored, ranges)
     shards = materialize(ranges.mapInArrow(_write_shards(place), "shard string, low long, size long, b array<long>, best array<long>"), "alignment-shards")
     listed = shards.select("shard", "low").orderBy("low").collect()  # one for each SHARD_KEYS partial counts
     best = np.zeros(len(pair.b_bytes), np.int64)
@@ -314,4 +355,4 @@ def align(docs: DataFrame, folder: str = FOLDER, a_file: str = A_FILE, b_file: s
     for b, n in tops.collect():  # of B's vocabulary
         best[b] = n
     sent = spark.sparkContext.broadcast(([r["shard"] for r in listed], np.array([r["low"] for r in listed], np.int64), best))
-    return stored.mapInArrow(_look_up(sizes, sent, place), "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    return stored.mapInArrow(_look_up(sent, place), "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

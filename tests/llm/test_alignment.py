@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -15,6 +16,15 @@ def pair():
     return alignment.Pair(alignment.FOLDER, alignment.A_FILE, alignment.B_FILE)
 
 
+@lru_cache
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(f"{alignment.FOLDER}/{alignment.A_FILE}")
+    t.encode_special_tokens = True
+    return t
+
+
 def spans(ids, spelled):
     at, out = 0, []
     for i in ids:
@@ -26,7 +36,7 @@ def spans(ids, spelled):
 def encode(pair, text):
     if not text:
         return [], []
-    a, b = pair.a.encode(" " + text, add_special_tokens=False).ids, pair.b.encode(text)
+    a, b = tokenizer().encode(" " + text, add_special_tokens=False).ids, pair.b.encode(text)
     whole = (" " + text).encode()
     same = b"".join(pair.a_bytes[i] for i in a) == whole == b"".join(pair.b_bytes[i] for i in b)
     return (spans(a, pair.a_bytes), spans(b, pair.b_bytes)) if same else ([], [])
@@ -63,7 +73,7 @@ def docs():
 
 @pytest.mark.parametrize("mapped", [True, False])
 def test_alignment_equals_brute_force(spark, pair, docs, mapped, monkeypatch):
-    for name, value in (("CHUNK", 300), ("MOST_KEYS", 64), ("SHARD_KEYS", 100), ("PIECE", 40)):
+    for name, value in (("BLOCK", 300), ("BATCH", 50), ("SHORT", 8), ("REMEMBERED", 5), ("MOST_KEYS", 64), ("SHARD_KEYS", 100)):
         monkeypatch.setattr(alignment, name, value)
     frame = spark.createDataFrame([(i, t, "k", 1, 2) for i, t in docs], "doc_id long, text string, key string, n int, a int").repartition(3)
     found = alignment.align(frame, mapped=mapped)
@@ -71,12 +81,14 @@ def test_alignment_equals_brute_force(spark, pair, docs, mapped, monkeypatch):
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(pair, docs)
 
 
-def test_documents_are_tokenized_whole(pair):
+def test_pieces_give_the_tokens_of_whole_texts(pair):
     rng = random.Random(4)
-    text = " ".join("".join(rng.choices("abcdefghé  \n.", k=rng.randint(1, 9))) for _ in range(120_000))
-    assert len(pair.pieces(text)) > 1 and " ".join(pair.pieces(text)) == text
-    a, b = pair.encode([text])[0]
-    assert a == pair.a.encode(" " + text, add_special_tokens=False).ids and b == pair.b.encode(text)
+    texts = [" ".join("".join(rng.choices("abcdefghé  \n.'s0😀", k=rng.randint(1, 9))) for _ in range(n)) for n in (3, 30, 20_000)]
+    for text in texts:
+        pieces = pair.pieces(text)
+        assert len(pieces) > 1 and " ".join(pieces) == text
+        assert [i for p in pieces for i in pair.a.encode_ordinary(" " + p)] == tokenizer().encode(" " + text, add_special_tokens=False).ids
+        assert [i for p in pieces for i in pair.b.encode(p)] == pair.b.encode(text)
 
 
 def test_empty_tables(spark):
