@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from . import suffixes
 from .common import broadcast_if, materialize, ship_by_value, shuffle_partitions
@@ -45,20 +46,27 @@ SHARD_BYTES, HOT_STRETCHES = 1 << 20, 1 << 12
 HOT_ROWS, SAMPLE, MOST_HOT = 1 << 17, 0.01, 4096
 #: Offsets of the piece that go together when a hot hash is split, ever finer.
 SPLITS = (16, 4, 1)
-MOST_BROADCAST = 1_000_000
+#: Entries of lists, of 40 bytes each, that are sent to all tasks.
+MOST_BROADCAST = 2_000_000
 PLACE = "h long, sh long, doc_id long, th long, start int, n int, again boolean"
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Scrambles numbers in place."""
+    for shift, factor in ((31, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 def piece_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A hash of the `size` bytes from each place on, by doubling."""
-    h, power, have = _mixed(data.astype(np.uint64) + np.uint64(1)), _C, 1
+    h, power, have = _BYTES[data], _C, 1
     out, out_size = None, 0
     while True:
         if size & have:  # append the pieces of `have` bytes to those that are there
@@ -66,11 +74,14 @@ def piece_hashes(data: np.ndarray, size: int) -> np.ndarray:
                 out, out_size = h, have
             else:
                 m = len(data) - out_size - have + 1
-                out, out_size = out[:m] * power + h[out_size : out_size + m], out_size + have
+                out = out[:m] * power
+                out += h[out_size : out_size + m]
+                out_size += have
         if have * 2 > size:
-            return _mixed(out[: len(data) - size + 1])
-        m = len(h) - have
-        h, power, have = h[:m] * power + h[have : have + m], power * power, have * 2
+            return _mixed(out[: len(data) - size + 1].copy() if out is h else out[: len(data) - size + 1])
+        longer = h[: len(h) - have] * power
+        longer += h[have:]
+        h, power, have = longer, power * power, have * 2
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -88,8 +99,10 @@ def anchors(data: np.ndarray, length: int, piece: int) -> tuple[np.ndarray, np.n
     low = np.uint64((1 << 31) - 1)
     place = np.arange(len(h), dtype=np.uint64)
     width = length - piece + 1
-    first = (_least(h & ~low | place, width) & low).astype(np.int64)
-    last = (low - (_least(h & ~low | (low - place), width) & low)).astype(np.int64)
+    top = h & ~low
+    first = (_least(top | place, width) & low).view(np.int64)
+    top |= low - place
+    last = (low - (_least(top, width) & low)).view(np.int64)
     return h[first], first, last
 
 
@@ -98,7 +111,8 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int, piece: int) -> tu
     if len(data) < length:
         return (np.array([], np.uint64), *(np.array([], np.int64),) * 2, np.array([], bool))
     h, first, last = anchors(data, length, piece)
-    fits = np.searchsorted(ends, np.arange(len(h)), "right") == np.searchsorted(ends, np.arange(len(h)) + length - 1, "right")
+    text = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
+    fits = text[: len(h)] == text[length - 1 :]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | ~fits[:-1]])
     starts = np.flatnonzero(new & fits)
     stop = np.flatnonzero(np.concatenate([new[1:] | ~fits[1:], [True]]) & fits) + 1
@@ -111,7 +125,9 @@ def stretches(data: np.ndarray, ends: np.ndarray, length: int, piece: int) -> tu
 
 
 def digest(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+    """64 bits; with the hash of the least piece, of another kind, 128 tell stretches apart."""
+    x = xxh3_64_intdigest(data)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _doc_ranks(ids: list, ths: list) -> np.ndarray:
@@ -123,7 +139,7 @@ def _doc_ranks(ids: list, ths: list) -> np.ndarray:
 
 def _places(h, sh, ids, ths, start, n, again, settled) -> pa.RecordBatch:
     kinds = (pa.int64(),) * 4 + (pa.int32(),) * 2 + (pa.bool_(),) * 2
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((h, sh, ids, ths, start, n, again, settled), kinds, strict=True)], [*(f.split()[0] for f in PLACE.split(", ")), "settled"])
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip((h, sh, ids, ths, start, n, again, settled), kinds, strict=True)], [*(f.split()[0] for f in PLACE.split(", ")), "settled"])
 
 
 def _find_stretches(length: int, piece: int) -> object:
@@ -142,9 +158,10 @@ def _find_stretches(length: int, piece: int) -> object:
             keep = np.flatnonzero(new | (rank != rank[lead]) | (start != start[lead]))  # else the first itself, in a row alike
             scattered = _mixed((doc * 1_000_003 + start).astype(np.uint64)).view(np.int64)
             h = np.where(new, h.view(np.int64), scattered)[keep]
-            of = doc[keep].tolist()
+            of = pa.array(doc[keep])
+            ids, ths = (pa.array(x, pa.int64()).take(of) for x in zip(*docs, strict=True))
             held.clear()
-            out = _places(h, sh[keep], [docs[i][0] for i in of], [docs[i][1] for i in of], start[keep], n[keep], again[keep], ~new[keep])
+            out = _places(h, sh[keep], ids, ths, start[keep], n[keep], again[keep], ~new[keep])
             docs.clear()
             return out
 
@@ -161,7 +178,7 @@ def _find_stretches(length: int, piece: int) -> object:
                 ends = np.cumsum([len(x) for x in some])
                 h, starts, n, again = stretches(np.frombuffer(whole, np.uint8), ends, length, piece)
                 doc = np.searchsorted(ends, starts, "right")
-                sh = np.array([digest(whole[a:b]) for a, b in zip(starts.tolist(), (starts + n + length - 1).tolist(), strict=True)], np.int64)
+                sh = np.array([xxh3_64_intdigest(whole[a:b]) for a, b in zip(starts.tolist(), (starts + n + length - 1).tolist(), strict=True)], np.uint64).view(np.int64)
                 held.append((h, sh, doc + len(docs), starts - np.concatenate([[0], ends])[doc], n, again))
                 docs += zip(ids[first:at], ths[first:at], strict=True)
                 if sum(len(x[0]) for x in held) > MOST_STRETCHES:
@@ -185,7 +202,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         h, sh = batch["h"].to_numpy(), batch["sh"].to_numpy()
-        place = list(zip(*(batch[c].to_pylist() for c in ("doc_id", "th", "start")), strict=True))
+        place = [batch["doc_id"].is_null().to_numpy(zero_copy_only=False), batch["doc_id"].fill_null(0).to_numpy(), batch["th"].to_numpy(), batch["start"].to_numpy()]
         new_h, new_s = np.ones(len(h), bool), np.ones(len(h), bool)
         new_h[1:] = h[1:] != h[:-1]
         new_s[1:] = new_h[1:] | (sh[1:] != sh[:-1])
@@ -194,16 +211,21 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new_s[0] = new_h[0] or sh[0] != last[1]
         last = int(h[-1]), int(sh[-1])
         firsts = np.flatnonzero(new_s)
-        rest = []
-        for i in np.flatnonzero(~new_s).tolist():
-            j = int(np.searchsorted(firsts, i)) - 1
-            if place[i] != (place[firsts[j]] if j >= 0 else lead):
-                rest.append(i)
-        if rest:
+        rest = np.flatnonzero(~new_s)
+        if len(rest):  # but for rows alike in id and text, which are where the first is
+            of = np.searchsorted(firsts, rest) - 1
+            led = of >= 0
+            here = firsts[of[led]]
+            other = np.ones(len(rest), bool)
+            other[led] = np.any([x[rest[led]] != x[here] for x in place], axis=0)
+            if not led.all():
+                other[~led] = np.any([x[rest[~led]] != y for x, y in zip(place, lead, strict=True)], axis=0)
+            rest = rest[other]
+        if len(rest):
             yield _with(batch.take(pa.array(rest)), False)
         if not len(firsts):
             continue
-        lead = place[firsts[-1]]
+        lead = [x[firsts[-1]] for x in place]
         some = batch.take(pa.array(firsts))
         starts_hash = new_h[firsts].tolist()
         if waiting is not None:
@@ -299,21 +321,34 @@ def _shards(length: int) -> object:
     return rows
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each document, joined where they overlap or touch."""
+    for batch in batches:
+        out = []
+        for runs in batch["runs"].to_pylist():
+            joined: list[list[int]] = []
+            for low, high in sorted((r["low"], r["high"]) for r in runs):
+                if joined and low <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], high)
+                else:
+                    joined.append([low, high])
+            out.append([{"low": a, "high": b} for a, b in joined])
+        shape = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(out, shape)], ["doc_id", "th", "runs"])
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each text without its runs."""
     for batch in batches:
         out = []
         for doc, text, runs in zip(batch["doc_id"].to_pylist(), batch["text"], batch["runs"].to_pylist(), strict=True):
-            data, at, spans, left = (text.as_py() or "").encode(), 0, 0, []
-            reach = None
-            for low, high in sorted((r["low"], r["high"]) for r in runs or ()):
-                if reach is None or low > reach:
-                    left.append(data[at:low])
-                    spans += 1
-                reach = at = max(at, high)
+            data, at, left = (text.as_py() or "").encode(), 0, []
+            for r in runs or ():
+                left.append(data[at : r["low"]])
+                at = r["high"]
             left.append(data[at:])
             kept = b"".join(left)
-            out.append((doc, len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+            out.append((doc, len(data), len(data) - len(kept), len(runs or ()), hashlib.sha256(kept).hexdigest()))
         kinds = (pa.int64(),) * 4 + (pa.string(),)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -371,13 +406,14 @@ def repeated_runs(texts: DataFrame, length: int = LENGTH, piece: int = PIECE) ->
     runs = shards.mapInArrow(_shards(length), "doc_id long, th long, low int, high int")
     for part in gone:
         runs = runs.unionByName(part)
-    return materialize(runs, "suffix-runs")
+    return runs
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, piece: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document (doc_id, text)."""
     texts = _numbered(docs)
-    runs = repeated_runs(texts, length, piece)
-    by_text = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    joined = _to_texts(texts, by_text, runs.count(), "left")
+    by_text = repeated_runs(texts, length, piece).groupBy("doc_id", "th").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    by_text = materialize(by_text.mapInArrow(_merged, "doc_id long, th long, runs array<struct<low: int, high: int>>"), "suffix-merged")
+    size = by_text.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
+    joined = _to_texts(texts, by_text, size, "left")
     return joined.select("doc_id", "text", "runs").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

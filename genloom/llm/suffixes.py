@@ -1,10 +1,10 @@
 """Suffix arrays by induced sorting, and the windows that repeat within a set of texts.
 
 The array is built as usual for this method: suffixes are classified as smaller (S) or larger (L) than their successor, the
-leftmost S of each run (LMS) are sorted by their substrings with one induction, equal substrings get equal names, the string of
-names is sorted recursively, and a second induction from the LMS in their final order gives all suffixes in linear time. Over
-byte alphabets an induction works through the buckets with array operations; over the names, of which there are many, it is the
-plain loop.
+substrings from each leftmost S of a run (LMS) to the next are sorted and equal ones get equal names, the string of names is
+sorted recursively, and an induction from the LMS in their final order gives all suffixes in linear time. Over byte alphabets the
+induction works through the buckets with array operations; over the names, of which there are many, it is the plain loop. The
+substrings are short (three symbols on average), so they are sorted symbol by symbol, only those that are still tied.
 """
 
 from __future__ import annotations
@@ -71,29 +71,50 @@ def _induce_buckets(t: np.ndarray, k: int, is_s: np.ndarray, lms: np.ndarray) ->
 def _induce_loop(t: np.ndarray, k: int, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
     sizes = np.bincount(t, minlength=k)
     ends = np.cumsum(sizes)
-    text, kind, sa = t.tolist(), is_s.tolist(), [-1] * len(t)
+    sa = [0] * len(t)  # 0 has no suffix before it, so it also stands for an empty place
     tail = ends.tolist()
-    for i in lms[::-1].tolist():
-        c = text[i]
+    for i, c in zip(lms[::-1].tolist(), t[lms[::-1]].tolist(), strict=True):
         tail[c] -= 1
         sa[tail[c]] = i
     head = (ends - sizes).tolist()
-    for place in range(len(sa)):
-        i = sa[place] - 1
-        if i >= 0 and not kind[i]:
-            c = text[i]
-            sa[head[c]] = i
+    before = np.where(is_s, -1, t)[np.arange(-1, len(t) - 1)].tolist()  # of each suffix, the symbol before it if an L begins there
+    before[0] = -1
+    for i in sa:  # sees what is put behind it
+        c = before[i]
+        if c >= 0:
+            sa[head[c]] = i - 1
             head[c] += 1
     tail = ends.tolist()
-    for place in range(len(sa) - 1, -1, -1):
-        i = sa[place] - 1
-        if i >= 0 and kind[i]:
-            c = text[i]
+    before = np.where(is_s, t, -1)[np.arange(-1, len(t) - 1)].tolist()
+    before[0] = -1
+    for i in reversed(sa):
+        c = before[i]
+        if c >= 0:
             tail[c] -= 1
-            sa[tail[c]] = i
+            sa[tail[c]] = i - 1
     return np.array(sa, np.int64)
 
 
+def substring_names(t: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
+    """Numbers of the substrings from each LMS to the next, in their order; equal ones share a number. One that ends where another
+    goes on is the larger: there, its suffix is S and the other's is L."""
+    length = np.append(np.diff(lms) + 1, 1)
+    names = np.zeros(len(lms), np.int64)  # how many are smaller, as far as is known
+    tied, at = np.arange(len(lms)), 0
+    while len(tied):
+        key = names[tied] * (k + 1) + np.where(length[tied] > at, t[np.minimum(lms[tied] + at, len(t) - 1)], k)
+        order = np.argsort(key)
+        tied, key = tied[order], key[order]
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(head, len(key)))
+        group = key[head] // (k + 1)  # as it was named before
+        first = head[np.searchsorted(group, group)]
+        names[tied] = np.repeat(group + head - first, size)
+        tied = tied[np.repeat((size > 1) & (key[head] % (k + 1) < k), size)]
+        at += 1
+    return np.unique(names, return_inverse=True)[1].astype(np.int64)
+
+
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """Starts of the suffixes of `t` in order; its symbols are below `k`, and the last one, END, occurs only there."""
     if len(t) == 1:
@@ -101,26 +122,10 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     is_s = smaller(t)
     lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     induce = _induce_buckets if len(t) >= BUCKET * k else _induce_loop
-    sa = induce(t, k, is_s, lms)
-    which = np.full(len(t), -1, np.int64)
-    which[lms] = np.arange(len(lms))
-    sorted_lms = sa[which[sa] >= 0]
-    # name the substrings from each LMS to the next
-    length = np.append(np.diff(lms), 0)[which[sorted_lms]]
-    a, b = sorted_lms[:-1], sorted_lms[1:]
-    same = length[1:] == length[:-1]
-    live, at = np.flatnonzero(same), 0
-    while len(live):
-        equal = t[a[live] + at] == t[b[live] + at]
-        same[live[~equal]] = False
-        at += 1
-        live = live[equal & (length[live] >= at)]
-    names = np.concatenate([[0], np.cumsum(~same)])
-    if names[-1] + 1 < len(lms):
-        reduced = np.zeros(len(lms), np.int64)
-        reduced[which[sorted_lms]] = names
-        sorted_lms = lms[suffix_array(reduced, int(names[-1]) + 1)]
-    return induce(t, k, is_s, sorted_lms)
+    names = substring_names(t, k, lms)
+    if names.max() + 1 < len(lms):
+        return induce(t, k, is_s, lms[suffix_array(names, int(names.max()) + 1)])
+    return induce(t, k, is_s, lms[np.argsort(names)])
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
