@@ -45,22 +45,22 @@ def scan(
         return _windows(df, keys, order, kinds)
     large = F.broadcast(large.drop("_n"))  # one row for PIECE_ROWS rows at most
     cut = df.join(large, _same(df, large, keys), "left_semi").repartitionByRange(-(-2 * n // PIECE_ROWS), *keys, *order)
-    cut = store(cut.withColumn("_piece", F.spark_partition_id()))
-    rest = df.join(large, _same(df, large, keys), "left_anti").withColumn("_piece", F.lit(-1))
-    local = _windows(cut.unionByName(rest), [*keys, "_piece"], order, kinds)
+    cut = store(cut.withColumn("_scan_piece", F.spark_partition_id()))
+    rest = df.join(large, _same(df, large, keys), "left_anti").withColumn("_scan_piece", F.lit(-1))
+    local = _windows(cut.unionByName(rest), [*keys, "_scan_piece"], order, kinds)
     place = F.struct(*order)
     told = lambda c, f: f(F.when(c.isNotNull(), c), F.when(c.isNotNull(), place))
-    carry = cut.groupBy(*keys, "_piece").agg(
+    carry = cut.groupBy(*keys, "_scan_piece").agg(
         *[told(c, F.max_by).alias(name) for name, c in kinds["before"].items()], *[told(c, F.min_by).alias(name) for name, c in kinds["after"].items()],
         *[F.sum(c).alias(name) for name, c in kinds["sums"].items()], *[F.max(c).alias(name) for name, c in kinds["tops"].items()], F.count(F.lit(1)).alias("_rows"),
     )
-    line = W.partitionBy(*keys).orderBy("_piece")
+    line = W.partitionBy(*keys).orderBy("_scan_piece")
     past, coming = line.rowsBetween(W.unboundedPreceding, -1), line.rowsBetween(1, W.unboundedFollowing)
     moved = {name: F.last(name, ignorenulls=True).over(past) for name in kinds["before"]} | {name: F.first(name, ignorenulls=True).over(coming) for name in kinds["after"]}
     moved |= {name: F.sum(name).over(past) for name in kinds["sums"]} | {name: F.max(name).over(past) for name in kinds["tops"]}
-    carry = store(carry.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_piece").alias("__piece"), *[c.alias(f"_carry_{name}") for name, c in moved.items()]))
+    carry = store(carry.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_scan_piece").alias("__scan_piece"), *[c.alias(f"_carry_{name}") for name, c in moved.items()]))
     carry = F.broadcast(carry) if carry.count() <= MOST_BROADCAST else carry
-    joined = local.join(carry, _same(local, carry, [*keys, "_piece"]), "left")
+    joined = local.join(carry, _same(local, carry, [*keys, "_scan_piece"]), "left")
     merged = {}
     for name in values:
         here, come = F.col(name), F.col(f"_carry_{name}")

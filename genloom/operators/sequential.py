@@ -8,15 +8,20 @@ from __future__ import annotations
 
 import sys
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .intervals import meeting
+from .scan import scan
 from .scratch import store
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -123,30 +128,84 @@ def _clashes(a: tuple[int, int], b: tuple[int, int]) -> bool:
     return 2 * overlap > (e - s + 1) - overlap or 2 * overlap > (e2 - s2 + 1) - overlap
 
 
-def greedy_intervals(df: DataFrame, keys: list[str], start: str, end: str, rank: list[str]) -> DataFrame:
-    """The rows that stay when each key's rows are taken by `rank`, best first, unless they clash with one taken before.
+#: Rows of an overlapping piece up to which it is picked from in one task.
+MOST_PIECE = 100_000
 
-    Rows clash only where they overlap, so each overlapping piece of a key is picked from on its own; a row alone stays."""
-    upto = F.max(end).over(W.partitionBy(*keys).orderBy(start, end).rowsBetween(W.unboundedPreceding, -1))
-    pieces = df.withColumn("_new", F.when(F.col(start) < upto, 0).otherwise(1))
-    pieces = pieces.withColumn("_piece", F.sum("_new").over(W.partitionBy(*keys).orderBy(start, end).rowsBetween(W.unboundedPreceding, 0))).drop("_new")
-    pieces = store(pieces.withColumn("_rows", F.count(F.lit(1)).over(W.partitionBy(*keys, "_piece"))))
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(rank, kind="stable").reset_index(drop=True)
+def greedy_intervals(df: DataFrame, keys: list[str], start: str, end: str, rank: list[str]) -> DataFrame:
+    """The rows that stay when each key's rows are taken by `rank` (which has no ties), best first, unless they clash with one
+    taken before.
+
+    Rows clash only where they overlap, so each overlapping piece of a key is picked from on its own, many pieces in a pass over
+    sorted rows. A piece of more than MOST_PIECE rows is picked from in rounds: rows that rank best among all undecided rows they
+    clash with are taken, and those they clash with go."""
+    order = [start, end, *[c for c in rank if c not in (start, end)]]
+    placed = scan(df, keys, order, tops={"_upto": F.col(end)})
+    placed = placed.withColumn("_new", F.when(F.col(start) < F.col("_upto"), 0).otherwise(1)).drop("_upto")
+    pieces = store(scan(placed, keys, order, sums={"_piece": F.col("_new")}).drop("_new").withColumn("_id", F.xxhash64(*keys, "_piece")))
+    large = store(pieces.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MOST_PIECE).select("_id"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            ids = batch["_id"].to_numpy()
+            cut = int(np.flatnonzero(ids != ids[-1])[-1]) + 1 if (ids != ids[-1]).any() else 0
+            if not cut and held and held[-1]["_id"][0].as_py() == ids[0]:
+                held.append(batch)
+                continue
+            done = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks() if cut or held else None
+            held = [batch.slice(cut)]
+            if done is not None and done.num_rows:
+                yield from _picked(done, start, end)
+        if held:
+            yield from _picked(pa.Table.from_batches(held).combine_chunks(), start, end)
+
+    small = pieces.join(F.broadcast(large), "_id", "left_anti").select(*pieces.columns)  # one id for MOST_PIECE rows at most
+    kept = small.repartition("_id").sortWithinPartitions("_id", *keys, "_piece", *rank).mapInArrow(pick, pieces.schema)
+    if not large.isEmpty():
+        kept = kept.unionByName(_picked_in_rounds(pieces.join(F.broadcast(large), "_id", "left_semi").select(*pieces.columns), [*keys, "_piece", "_id"], start, end, rank))
+    return kept.select(*df.columns)
+
+
+def _picked(rows: pa.Table, start: str, end: str) -> Iterator[pa.RecordBatch]:
+    """Of whole pieces, each in the order of its rows' rank, the rows that stay."""
+    ids, low, high = rows["_id"].to_numpy(), rows[start].to_pylist(), rows[end].to_pylist()
+    cuts = [*np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])).tolist(), len(ids)]
+    keep: list[int] = []
+    for first, last in pairwise(cuts):
         taken: list[tuple[int, int]] = []  # by start; taken rows overlap by little
         reach = 0  # the longest one taken
-        keep = []
-        for i, span in enumerate(zip(pdf[start].tolist(), pdf[end].tolist(), strict=True)):
-            low, high = bisect_left(taken, (span[0] - reach,)), bisect_left(taken, (span[1],))
-            if not any(_clashes(span, t) for t in taken[low:high]):
+        for i in range(first, last):
+            span = low[i], high[i]
+            a, b = bisect_left(taken, (span[0] - reach,)), bisect_left(taken, (span[1],))
+            if not any(_clashes(span, t) for t in taken[a:b]):
                 insort(taken, span)
                 reach = max(reach, span[1] - span[0])
                 keep.append(i)
-        return pdf.iloc[keep]
+    yield from rows.take(pa.array(keep, pa.int64())).to_batches()
 
-    several = pieces.where("_rows > 1").drop("_rows").groupBy(*keys, "_piece").applyInPandas(pick, pieces.drop("_rows").schema)
-    return pieces.where("_rows = 1").drop("_rows", "_piece").unionByName(several.drop("_piece"))
+
+def _clash(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """_clashes as a column."""
+    (s, e), (s2, e2) = a, b
+    overlap = F.when(s >= s2, e2 - s + 1).otherwise(e - s2 + 1)
+    return (s < e2) & (s2 < e) & ((2 * overlap > (e - s + 1) - overlap) | (2 * overlap > (e2 - s2 + 1) - overlap))
+
+
+def _picked_in_rounds(rows: DataFrame, keys: list[str], start: str, end: str, rank: list[str]) -> DataFrame:
+    rows = store(rows.withColumn("_row", F.monotonically_increasing_id()))
+    side = lambda n: rows.select(*keys, F.col(start).alias(f"_s{n}"), F.col(end).alias(f"_e{n}"), F.struct(*rank, "_row").alias(f"_r{n}"))
+    met = meeting(side(1), side(2), keys, ("_s1", "_e1"), ("_s2", "_e2")).where((F.col("_r1") < F.col("_r2")) & _clash((F.col("_s1"), F.col("_e1")), (F.col("_s2"), F.col("_e2"))))
+    edges = store(met.select(F.col("_r1._row").alias("better"), F.col("_r2._row").alias("worse")))
+    gone = []
+    while not edges.isEmpty():
+        best = store(edges.select(F.col("better").alias("row")).distinct().join(edges.select(F.col("worse").alias("row")), "row", "left_anti"))
+        gone.append(store(edges.join(best, edges.better == best.row, "left_semi").select(F.col("worse").alias("_row")).distinct()))
+        left = edges.join(gone[-1], edges.better == gone[-1]._row, "left_anti").join(gone[-1], F.col("worse") == gone[-1]._row, "left_anti")
+        edges = store(left.join(best, left.better == best.row, "left_anti"))
+    for part in gone:
+        rows = rows.join(part, "_row", "left_anti")
+    return rows.drop("_row")
 
 
 def legacy_walk(df: DataFrame, keys: list[str], start: str, end: str, row_id: str, strand: str, seed: str, skip: str, gap: int) -> DataFrame:
@@ -156,14 +215,13 @@ def legacy_walk(df: DataFrame, keys: list[str], start: str, end: str, row_id: st
     Plain rows form runs whatever the seed. A plain seed has its own run; a flagged one has the whole run on its left, if it
     is near enough, or else the run on its right from the next row on. So walks are windows and one join."""
     rows = df.select(*keys, F.col(row_id).alias("_id"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(strand).alias("_st"), F.col(seed).cast("boolean").alias("_seed"), (~F.col(skip).cast("boolean")).alias("_plain"))
-    order = W.partitionBy(*keys).orderBy("_s", "_id")
-    past, next_ones = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
     plain = lambda c: F.when(F.col("_plain"), c)
-    rows = rows.withColumn("_place", F.row_number().over(order)).withColumn("_left", F.last(plain(F.struct("_e", "_st")), True).over(past))
+    line = ["_s", "_id"]
+    rows = scan(rows, keys, line, before={"_left": plain(F.struct("_e", "_st"))}, sums={"_place": F.lit(1).cast("long")})
     near = lambda left_end, right_start, one, other: F.coalesce((right_start - left_end <= gap) & one.eqNullSafe(other), F.lit(False))
     joins_left = near(F.col("_left._e"), F.col("_s"), F.col("_left._st"), F.col("_st"))
-    rows = rows.withColumn("_run", F.sum((F.col("_plain") & ~joins_left).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("_right", F.first(plain(F.struct("_s", "_st", "_run", "_place")), True).over(next_ones)).withColumn("_by_left", joins_left)
+    rows = scan(rows.withColumn("_by_left", joins_left), keys, line, sums={"_run": (F.col("_plain") & ~F.col("_by_left")).cast("long")})
+    rows = scan(rows, keys, line, after={"_right": plain(F.struct("_s", "_st", "_run", "_place"))})
     rows = store(rows)
     by_right = near(F.col("_e"), F.col("_right._s"), F.col("_st"), F.col("_right._st"))
     seeds = rows.where("_seed").select(

@@ -133,7 +133,7 @@ def annotated_clusters(members: DataFrame, genes: DataFrame, domains: DataFrame,
 def with_overlaps(clusters: DataFrame, external: DataFrame, scaffolds: DataFrame) -> DataFrame:
     """Clusters with `overlaps`: array of (ext_id, product, kind, fraction) of known clusters that they overlap."""
     placed = intervals.with_contig_fallback(external, scaffolds).select("genome_id", "scaffold_id", "ext_id", "product", F.col("start").alias("ext_start"), F.col("end").alias("ext_end"))
-    found = intervals.overlaps(clusters.select("genome_id", "scaffold_id", "cluster_id", "start", "end"), placed.drop("product"), ["genome_id", "scaffold_id"], 100_000)
+    found = intervals.overlaps(clusters.select("genome_id", "scaffold_id", "cluster_id", "start", "end"), placed.drop("product"), ["genome_id", "scaffold_id"])
     found = found.join(placed.select("ext_id", "product").distinct(), "ext_id").groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("ext_id", "product", "kind", "fraction"))).alias("overlaps"))
     return clusters.join(found, "cluster_id", "left")
 

@@ -10,7 +10,7 @@ from genloom import schema
 from genloom.config import EngineConfig, coerce
 from genloom.functions import predicates as P
 from genloom.functions import sequence
-from genloom.operators import graph, intervals, ordered, orthology, sequential, similarity, summary, tags
+from genloom.operators import graph, intervals, ordered, orthology, scan, sequential, similarity, summary, tags
 
 KEYS = ["genome_id", "scaffold_id"]
 GENES = [("a", 0, 300, "+", False, 0.2), ("b", 340, 640, "+", False, 0.4), ("x", 700, 790, "+", True, None), ("c", 1400, 1700, "+", False, 0.6), ("d", 2450, 2750, "+", False, 0.8), ("e", 2760, 3000, "-", False, 1.0)]
@@ -127,12 +127,11 @@ def test_categories_and_score(spark):
     assert sorted(r[0] for r in df.select(tags.cluster_score(base, F.col("seeds"), F.col("cog"))).collect()) == [4.0, 8.0, 16.0]
 
 
-@pytest.mark.parametrize("bins", [None, 700])
-def test_interval_overlap(spark, bins):
+def test_interval_overlap(spark):
     inner = spark.createDataFrame([("s", "c", 1000, 2000)], "k string, cluster_id string, start int, end int")
     spans = {"e1": (900, 2100), "e2": (1000, 2000), "e3": (500, 1400), "e4": (1500, 2500), "e5": (1200, 1800), "e6": (500, 1000)}
     outer = spark.createDataFrame([("s", k, a, b) for k, (a, b) in spans.items()], "k string, ext_id string, ext_start int, ext_end int")
-    got = {r.ext_id: (r.kind, r.fraction) for r in intervals.overlaps(inner, outer, ["k"], bins).collect()}
+    got = {r.ext_id: (r.kind, r.fraction) for r in intervals.overlaps(inner, outer, ["k"]).collect()}
     assert got == {"e1": ("total", None), "e2": ("total", None), "e3": ("partial", 0.4), "e4": ("partial", 0.5)}
 
 
@@ -204,6 +203,73 @@ def test_island_fusion_rules():
     assert sequential.fuse([near, [0.9], near], 0) == [0, 1, 2]  # an outlier is absorbed with the island beyond it
     assert sequential.fuse([near, [], near], 0) == [0, 1, 2]
     assert sequential.fuse([[], near], 0) == [0, 1]
+    # rows without a score count as outliers, too: two with the first one taken in leave no room for another
+    assert sequential.fuse([near, [0.9, None], near, [0.95], near], 0) == [0, 1, 2]
+    assert sequential.fuse([near, [0.9], near, [0.95], near], 0) == [0, 1, 2, 3, 4]
+    assert sequential.fuse([near, [None, None], near], 0) == [0, 1, 2]
+
+
+def test_fused_islands_count_rows_without_a_score(spark):
+    scores = [[0.2, 0.3], [0.9, None], [0.2, 0.3], [0.95], [0.2, 0.3]]
+    df = spark.createDataFrame([("k", i, x, i == 0) for i, xs in enumerate(scores) for x in xs], "key string, island long, score double, seed boolean")
+    assert rows(sequential.island_fusion(df, ["key"], "island", "score", "seed"), "island") == [(0,), (1,), (2,)]
+
+
+def test_ancestors_of_any_depth(spark):
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 150)] + [(0, None), (200, 149)], "node int, parent int")
+    found = {(r.node, r.ancestor): r.depth for r in graph.ancestors(chain).collect()}
+    assert found == {(a, b): a - b for a in range(150) for b in range(a)} | {(200, b): 150 - b for b in range(150)}
+    with pytest.raises(ValueError, match="its own ancestor"):
+        graph.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "node int, parent int"))
+
+
+@pytest.mark.parametrize("size", [1, 7, 40])
+def test_scans_of_pieces_equal_windows(spark, monkeypatch, size):
+    import random
+
+    rng = random.Random(size)
+    data = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.randrange(40), i, rng.choice([None, *range(9)])) for i in range(150)]
+    df = spark.createDataFrame(data, "k string, s int, i int, v int")
+    full = {"before": {"b": F.col("v"), "p": F.struct("i", "v")}, "after": {"a": F.col("v")}, "sums": {"t": F.col("v"), "n": F.lit(1)}, "tops": {"m": F.col("v"), "w": F.struct("v", "i")}}
+    want = sorted(map(str, scan.scan(df, ["k"], ["s", "i"], **full).collect()))
+    monkeypatch.setattr(scan, "PIECE_ROWS", size)
+    for most in (10**6, 0):
+        monkeypatch.setattr(scan, "MOST_BROADCAST", most)
+        assert sorted(map(str, scan.scan(df.repartition(3), ["k"], ["s", "i"], **full).collect())) == want
+
+
+def test_operators_on_a_hot_key_equal_those_on_windows(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    df = spark.createDataFrame([("h", s, s + rng.randrange(6), i, rng.random() < 0.3, rng.choice("+-")) for i, s in enumerate(rng.randrange(400) for _ in range(160))], "k string, s int, e int, i int, f boolean, t string")
+
+    def every():
+        islands = spark.createDataFrame([("h", 1, i, 10 * i, 10 * i + rng2.randrange(9), rng2.choice([1, 1, 3])) for i in range(60)], "k string, region long, island long, i_start int, i_end int, n long")
+        placed = ordered.runs(df, ["k"], "s", "e", "i", 3, ["t"], "run")
+        out = [ordered.flanks(df, ["k"], "s", "e", "i", F.col("f")), placed, ordered.two_level_islands(df, ["k"], "s", "e", "i", 1, 4), ordered.coalesce_intervals(df, ["k"], "s", "e", "i", 2), ordered.merge_lone(islands, ["k"])]
+        out.append(ordered.extend(placed.withColumn("g", F.when(F.col("run") % 5 == 0, F.col("run"))), ["k"], "s", "i", "g", 2))
+        out += [sequential.legacy_walk(df, ["k"], "s", "e", "i", "t", "f", "f", 4), sequential.greedy_intervals(df.withColumn("z", F.col("s") - F.col("e")), ["k"], "s", "e", ["z", "i"])]
+        return [sorted(map(str, x.collect())) for x in out]
+
+    rng2 = random.Random(9)
+    want = every()
+    monkeypatch.setattr(scan, "PIECE_ROWS", 11)
+    monkeypatch.setattr(sequential, "MOST_PIECE", 4)
+    rng2 = random.Random(9)
+    assert every() == want and all(want)
+
+
+def test_meeting_intervals_of_uneven_lengths(spark):
+    import random
+
+    rng = random.Random(4)
+    spans = [(i, s, s + rng.choice([0, 1, 5, 300])) for i, s in enumerate(rng.randrange(-500, 2000) for _ in range(120))] + [(999, -10**6, 10**9)]
+    left = spark.createDataFrame([("k", *x) for x in spans], "k string, i int, s int, e int")
+    right = left.selectExpr("k", "i as j", "s as s2", "e as e2").where("j % 3 = 0")
+    got = [(r.i, r.j) for r in intervals.meeting(left, right, ["k"], ("s", "e"), ("s2", "e2")).collect()]
+    want = sorted((a, b) for a, s, e in spans for b, s2, e2 in spans if b % 3 == 0 and s <= e2 and s2 <= e)
+    assert sorted(got) == want
 
 
 def test_set_cover(spark):
@@ -278,6 +344,18 @@ def test_greedy_intervals_in_a_hot_key(spark):
     assert len(got) == len(taken)
 
 
+def test_large_pieces_are_picked_from_in_rounds(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    spans = [(k, s, s + rng.randint(0, 40), i, 0) for k in (1, 2) for i, s in enumerate(rng.randrange(600) for _ in range(120))]
+    df = spark.createDataFrame(spans, "key int, s long, e long, id long, x int").withColumn("size", F.col("s") - F.col("e"))
+    pick = lambda: rows(sequential.greedy_intervals(df, ["key"], "s", "e", ["size", "s", "id"]), "key", "id")
+    want = pick()
+    monkeypatch.setattr(sequential, "MOST_PIECE", 10)
+    assert pick() == want and len(want) > 20
+
+
 def test_many_needles_meet_by_their_first_letters(spark, monkeypatch):
     items = spark.createDataFrame([(1, "abcdef"), (2, "xbcx"), (3, ""), (4, None), (5, "é c")], "id int, t string")
     needles = spark.createDataFrame([("a", "bcd"), ("b", "b"), ("c", "bc"), ("d", ""), ("e", None), ("f", "é c"), ("g", "zzzz")], "label string, needle string")
