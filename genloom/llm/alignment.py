@@ -45,7 +45,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of the texts of a block, and of pieces that are encoded at a time; pieces of up to so many characters are remembered
 #: between blocks, as many as that.
-BLOCK, BATCH, SHORT, REMEMBERED = 1 << 22, 1 << 18, 40, 150_000
+BLOCK, BATCH, SHORT, REMEMBERED = 1 << 20, 1 << 17, 40, 60_000
 #: Pair keys that a task holds to reduce, and keys of a count shard.
 MOST_KEYS, SHARD_KEYS = 1 << 20, 1 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -179,7 +179,7 @@ def _tokenize(folder: str, a_file: str, b_file: str) -> object:
             keys = [found[p].keys for p in number]
             n_a, n_b, n_groups, n_links, said = zip(*told, strict=True)
             flat = np.concatenate(keys) if keys else np.array([], np.int64)
-            columns = [ids, n_a, n_b, n_groups, n_links, said, np.array(at, np.int32).tobytes(), np.array(ends, np.int32).tobytes(), flat.tobytes(), np.cumsum([len(x) for x in keys]).astype(np.int64).tobytes()]
+            columns = [ids, n_a, n_b, n_groups, n_links, said, np.array(at, np.int32).tobytes(), np.array(ends, np.int32).tobytes(), _packed(flat), np.cumsum([len(x) for x in keys]).astype(np.int64).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in STORED.split(", ")])
 
         for batch in batches:
@@ -197,12 +197,27 @@ def _tokenize(folder: str, a_file: str, b_file: str) -> object:
     return rows
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Keys in four bytes each if all ids fit into two, else in eight."""
+    if len(keys) and ((keys >> 48).any() or (keys & 0xFFFF0000).any()):
+        return keys.tobytes()
+    return ((keys >> 16) | (keys & 0xFFFF)).astype(np.uint32).tobytes()
+
+
+def _unpacked(data, n: int) -> np.ndarray:
+    if len(data) == 8 * n and n:
+        return np.frombuffer(data, np.int64)
+    keys = np.frombuffer(data, np.uint32).astype(np.int64)
+    return (keys >> 16 << 32) | (keys & 0xFFFF)
+
+
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of each block its row's columns by name, its pieces, their ends by text, the links' keys and their ends by piece."""
     for i in range(batch.num_rows):
         one = batch.slice(i, 1)
         of = lambda name, kind: np.frombuffer(one[name][0].as_buffer(), kind)  # noqa: B023, E731
-        yield {c: one[c] for c in batch.schema.names}, of("pieces", np.int32), of("ends", np.int32), of("keys", np.int64), of("key_ends", np.int64)
+        ends = of("key_ends", np.int64)
+        yield {c: one[c] for c in batch.schema.names}, of("pieces", np.int32), of("ends", np.int32), _unpacked(one["keys"][0].as_buffer(), int(ends[-1]) if len(ends) else 0), ends
 
 
 def _parts(values: np.ndarray, ends: np.ndarray) -> np.ndarray:

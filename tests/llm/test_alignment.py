@@ -104,3 +104,10 @@ def test_run_sums_across_batches():
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 2]), pa.array(np.ones(2, np.int64))], ["key", "n"]) for i in range(0, 8, 2)]
     parts = list(alignment._summed(iter(batches)))
     assert np.concatenate([k for k, _ in parts]).tolist() == [1, 2, 5, 9] and np.concatenate([n for _, n in parts]).tolist() == [2, 3, 2, 1]
+
+
+def test_packed_keys():
+    for keys in ([], [5 << 32 | 7, 65535 << 32 | 65535], [5 << 32 | 70_000], [70_000 << 32 | 1]):
+        keys = np.array(keys, np.int64)
+        packed = alignment._packed(keys)
+        assert len(packed) == len(keys) * (4 if len(keys) != 1 else 8) and (alignment._unpacked(packed, len(keys)) == keys).all()
