@@ -1,6 +1,8 @@
 """GenBank flat files as features and sequences, and features as genes.
 
-Files hold one or more records and are parsed whole, one for each row of a binary scan, inside tasks.
+Files hold one or more records. They are scanned as text whose line end is a record's end (`//` on its own line), so Spark splits
+a large file by bytes and each task takes the records that begin in its part. A record's features are parsed in Arrow batches
+from the text before its DNA; the DNA is cut out by column functions and isn't read where no one asks for rows of sequences.
 """
 
 from __future__ import annotations
@@ -55,25 +57,43 @@ def parse_records(text: str) -> Iterator[dict]:
         yield {"name": (version or name)[1], "seq": re.sub(r"[^a-zA-Z]", "", origin).upper(), "features": features}
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+COLUMNS = "genome_id string, scaffold_id string, ord int, type string, start int, end int, strand string, seq string, pseudo boolean, " + ", ".join(f"{q} string" for q in QUALIFIERS)
+#: Lines that name a record; the last of the best kind counts.
+NAME = r"(?m)^{}[ \t]+(\S+)"
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fields = [f.split() for f in COLUMNS.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(n, kinds[k]) for n, k in fields])
     for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            genome = re.sub(r"\.[^.]*$", "", path.rsplit("/", 1)[-1])
-            out = []
-            for record in parse_records(content.decode("utf-8", "replace")):
-                out.append((genome, record["name"], -1, "sequence", 0, len(record["seq"]), "+", record["seq"], False, *[None] * len(QUALIFIERS)))
+        out = []
+        for genome, head in zip(batch["genome_id"].to_pylist(), batch["head"].to_pylist(), strict=True):
+            for record in parse_records(head):
                 for i, f in enumerate(record["features"]):
                     out.append((genome, record["name"], i, f["type"], f["start"], f["end"], f["strand"], None, "pseudo" in f["q"] or "pseudogene" in f["q"], *[f["q"].get(k) for k in QUALIFIERS]))
-            names = ["genome_id", "scaffold_id", "ord", "type", "start", "end", "strand", "seq", "pseudo", *QUALIFIERS]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), *[pa.string()] * len(QUALIFIERS)]
-            if out:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        for at in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 10_000], strict=True), schema, strict=True)], schema=schema)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """genome_id (the file's name), head, origin of every record: its text before and from the DNA on."""
+    rows = spark.read.option("lineSep", "\n//").text(path).select(F.regexp_extract("_metadata.file_path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("genome_id"), "value")
+    rows = rows.where(F.col("value").contains("LOCUS"))
+    at = F.locate("\nORIGIN", F.col("value"))
+    return rows.select("genome_id", F.when(at > 0, F.substring("value", F.lit(1), at - 1)).otherwise(F.col("value")).alias("head"), F.when(at > 0, F.substring("value", at + len("\nORIGIN"), F.length("value"))).otherwise("").alias("origin"))
 
 
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
     """Features of all records, and a row of type `sequence` for each record with its DNA."""
-    columns = "genome_id string, scaffold_id string, ord int, type string, start int, end int, strand string, seq string, pseudo boolean, " + ", ".join(f"{q} string" for q in QUALIFIERS)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_rows, columns)
+    records = read_records(spark, path)
+    features = records.select("genome_id", "head").mapInArrow(_features, COLUMNS)
+    version, locus = (F.regexp_extract("head", NAME.format(x), 1) for x in ("VERSION", "LOCUS"))
+    seq = F.upper(F.regexp_replace("origin", "[^a-zA-Z]", ""))
+    none = [F.lit(None).cast("string").alias(q) for q in QUALIFIERS]
+    named = records.select("genome_id", F.when(version != "", version).otherwise(locus).alias("scaffold_id"), F.lit(-1).alias("ord"), F.lit("sequence").alias("type"), F.lit(0).alias("start"), seq.alias("seq"))
+    whole = named.select("genome_id", "scaffold_id", "ord", "type", "start", F.length("seq").alias("end"), F.lit("+").alias("strand"), "seq", F.lit(False).alias("pseudo"), *none)
+    return features.unionByName(whole)
 
 
 def scaffolds(features: DataFrame) -> DataFrame:

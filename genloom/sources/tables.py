@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -27,11 +26,11 @@ def read_domains(spark: SparkSession, path: str, db: str) -> DataFrame:
 
 def read_gene_calls(spark: SparkSession, path: str, genome_id: str) -> DataFrame:
     """Gene coordinates (`>n_start_end_strand` lines after a header with seqhdr="..."): starts become 0-based, names are
-    numbered with the genome's prefix. Each file is read in its order."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
-    order = W.partitionBy("file").orderBy("n")
-    header = F.when(F.col("value").contains("seqhdr="), F.regexp_extract("value", r'seqhdr="([^"\s]*)', 1))
-    rows = lines.withColumn("scaffold_id", F.last(header, ignorenulls=True).over(order)).where(F.col("value").startswith(">"))
+    numbered with the genome's prefix. A sequence's lines follow its header, so the scan's rows end where a header's name begins
+    and a large file is split by bytes."""
+    blocks = spark.read.option("lineSep", 'seqhdr="').text(path)
+    named = blocks.select(F.regexp_extract("value", r'^([^"\s#>]+)[^"\n]*"', 1).alias("name"), F.explode(F.filter(F.split("value", r"\r?\n"), lambda x: x.startswith(">"))).alias("value"))
+    rows = named.withColumn("scaffold_id", F.when(F.col("name") != "", F.col("name")))
     g = lambda i: F.regexp_extract("value", r"^>(\d+)_(\d+)_(\d+)_([+-])", i)
     return rows.select(F.concat(F.lit(f"{genome_id}_"), F.col("scaffold_id"), F.lit("_"), g(1)).alias("gene_id"), F.lit(genome_id).alias("genome_id"), "scaffold_id", (g(2).cast("int") - 1).alias("start"), g(3).cast("int").alias("end"), g(4).alias("strand"))
 

@@ -172,3 +172,22 @@ def test_streams_equal_batches(spark, tmp_path):
         got = {tuple(r) for r in spark.sql(f"select * from {name}").collect()}
         want = {tuple(r) for r in run(rows).collect()}
         assert got < want and len(want - got) == 1  # the last window is still open
+
+
+def test_one_file_of_many_records_is_read_by_many_tasks(spark, tmp_path):
+    body = "".join(RECORD.replace("LOCUS       ", f"LOCUS       L{i}").replace("VERSION     ", f"VERSION     V{i}") for i in range(120))
+    path = write(tmp_path / "many.gbk", body)
+    fields = lambda df: sorted(map(str, df.collect()))
+    whole = fields(genbank.read_genbank(spark, path))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        records = genbank.read_records(spark, path)
+        assert records.rdd.getNumPartitions() > 10 and records.count() == 120
+        assert fields(genbank.read_genbank(spark, path)) == whole and len(whole) > 240
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    plan = genbank.read_genbank(spark, path).where("type = 'CDS'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineSep") <= 1 and "Union" not in plan  # no branch for the DNA
