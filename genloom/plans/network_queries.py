@@ -228,44 +228,79 @@ FASTA_LINES = f"""WITH {DNA}, w AS (SELECT doc_id, array_to_string(list_transfor
 SELECT (doc_id % 4)::BIGINT AS part, 'doc' || doc_id AS name, k::INT AS n_lines, md5(body) AS md5 FROM w"""
 
 
+def _machines() -> list[tuple]:
+    """Kernel machines with weights that a seed gives, three of each kind."""
+    rng = np.random.default_rng(7)
+    n = len(sequence.FEATURES)
+    return [(k, rng.normal(0, 1, (8, n)), rng.normal(0, 0.5, 8), 0.0, 1.0 / n) for k in ("poly4", "poly3", "rbf") for _ in range(3)]
+
+
 def peptide_scores(spark, sf_dir):
     """Peptides of reading frames of 30 residues or more, scored by an ensemble of kernel machines with given weights."""
     found = sequence.orf_scan(dna(spark, sf_dir), "doc_id", "seq", 30, 100)
-    rng = np.random.default_rng(7)
     n = len(sequence.FEATURES)
-    members = [(k, rng.normal(0, 1, (8, n)), rng.normal(0, 0.5, 8), 0.0, 1.0 / n) for k in ("poly4", "poly3", "rbf") for _ in range(3)]
-    score = sequence.kernel_ensemble(members, np.zeros(n), np.ones(n))
+    score = sequence.kernel_ensemble(_machines(), np.zeros(n), np.ones(n))
     scored = found.withColumn("s", score(sequence.peptide_vector(F.col("peptide"))))
-    return scored.select("doc_id", "start", "end", "strand", F.round("s.score", 6).alias("score"))
+    return scored.select("doc_id", "start", "end", "strand", *[F.round(f"s.{c}", 6).alias(c) for c in ("poly4", "poly3", "rbf", "score")])
 
 
 def peptide_features(spark, sf_dir):
-    """Features of the letters of part names, read as peptides."""
+    """All features of the letters of part names, read as peptides."""
     rows = table(spark, sf_dir, "part").select("p_partkey", sequence.peptide_vector(F.regexp_replace(F.upper("p_name"), "[^A-Z]", "")).alias("f"))
-    shown = ["charge", "avg_hydropathy", "cys20", "cys_ser20", "length", "entropy", "entropy_ratio", "res_H", "class_arom"]
-    return rows.select("p_partkey", *[F.round(F.col("f")[sequence.FEATURES.index(x)], 6).alias(x) for x in shown])
+    return rows.select("p_partkey", *[F.round(F.col("f")[i], 6).alias(x) for i, x in enumerate(sequence.FEATURES)])
 
 
 SCALE = ", ".join(f"('{r}', {sequence.HYDROPATHY[r]!r}::DOUBLE, {sequence.CHARGE.get(r, 0.0)!r}::DOUBLE)" for r in sequence.RESIDUES)
-PEPTIDE_FEATURES = f"""WITH p AS (SELECT p_partkey, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS s FROM part),
-k(a, hydropathy, charge) AS (VALUES {SCALE}),
-l AS (SELECT p_partkey, length(s)::DOUBLE AS n, i, substr(s, i::INT, 1) AS a FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM p)),
-f AS (SELECT p_partkey, a, count(*) / any_value(n) AS f FROM l JOIN k USING (a) GROUP BY ALL),
-t AS (SELECT l.p_partkey, i, n, l.a, f, lag(f) OVER (PARTITION BY l.p_partkey ORDER BY i) AS g FROM l LEFT JOIN f ON f.p_partkey = l.p_partkey AND f.a = l.a),
-w AS (SELECT s.p_partkey, s.i, s.n, t.i AS j, t.a, t.f, t.g FROM l s JOIN t ON t.p_partkey = s.p_partkey AND t.i BETWEEN s.i AND s.i + 9),
-e AS (SELECT p_partkey, i, COALESCE(sum(CASE WHEN j > i THEN -f * f * g * log2(f * g) END), 0) AS entropy FROM w GROUP BY ALL),
-c AS (SELECT p_partkey, i, n, a, any_value(f) AS f, count(*) / 10 AS c FROM w WHERE f IS NOT NULL AND n - i >= 4 GROUP BY ALL),
-r AS (SELECT p_partkey, i, CASE WHEN -sum(f * log2(f)) > 0 THEN -sum(c * log2(c)) / -sum(f * log2(f)) ELSE 2 END AS ratio FROM c GROUP BY ALL),
-x AS (SELECT p_partkey, i, least(any_value(n), 20) AS width, sum((a = 'C')::INT) AS cys, sum((a IN ('C', 'S'))::INT) AS cys_ser FROM (SELECT s.p_partkey, s.i, s.n, t.a FROM l s JOIN l t ON t.p_partkey = s.p_partkey AND t.i BETWEEN s.i AND s.i + 19) GROUP BY ALL),
-m AS (SELECT l.p_partkey, COALESCE(sum(charge), 0) AS charge, COALESCE(sum(hydropathy), 0) / any_value(n) AS avg_hydropathy, any_value(n) AS length, sum((a = 'H')::INT) / any_value(n) AS res_h, sum((a IN ('M', 'F', 'Y', 'W'))::INT) / any_value(n) AS class_arom FROM l LEFT JOIN k USING (a) GROUP BY 1)
-SELECT p_partkey, round(charge, 6) AS charge, round(avg_hydropathy, 6) AS avg_hydropathy, round(cys20, 6) AS cys20, round(cys_ser20, 6) AS cys_ser20, round(length, 6) AS length,
-  round(entropy, 6) AS entropy, round(COALESCE(ratio, 2), 6) AS entropy_ratio, round(res_h, 6) AS "res_H", round(class_arom, 6) AS class_arom
-FROM m JOIN (SELECT p_partkey, max(entropy) AS entropy FROM e GROUP BY 1) USING (p_partkey) JOIN (SELECT p_partkey, max(cys / width) AS cys20, max(cys_ser / width) AS cys_ser20 FROM x GROUP BY 1) USING (p_partkey)
-LEFT JOIN (SELECT p_partkey, min(ratio) AS ratio FROM r GROUP BY 1) USING (p_partkey)"""
+
+
+def features_sql() -> str:
+    """CTEs from p(id, s) to features(id, and a column for each of FEATURES)."""
+    quoted = lambda letters: ", ".join(f"'{c}'" for c in letters)
+    shares = [f"sum((a = '{r}')::INT) / any_value(n) AS \"res_{r}\"" for r in sequence.RESIDUES]
+    shares += [f"sum((a IN ({quoted(letters)}))::INT) / any_value(n) AS class_{c}" for c, letters in sequence.CLASSES.items()]
+    most = [f"max({x} / least(n, {w})) AS {x}" for x, w in (("cys30", 30), ("cys20", 20), ("cys_ser30", 30), ("cys_ser20", 20))]
+    sums = [f"sum((a IN ({quoted(letters)}))::INT) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS {name}{w}" for name, letters in (("cys", "C"), ("cys_ser", "CS")) for w in (30, 20)]
+    order = ", ".join(f'"{f}"' for f in sequence.FEATURES)
+    return f"""k(a, hydropathy, charge) AS (VALUES {SCALE}),
+l AS (SELECT id, length(s)::DOUBLE AS n, i, substr(s, i::INT, 1) AS a FROM (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM p)),
+f AS (SELECT id, a, count(*) / any_value(n) AS f FROM l JOIN k USING (a) GROUP BY ALL),
+t AS (SELECT l.id, i, n, l.a, f, lag(f) OVER (PARTITION BY l.id ORDER BY i) AS g FROM l LEFT JOIN f ON f.id = l.id AND f.a = l.a),
+e AS (SELECT id, max(v) AS entropy FROM (SELECT id, COALESCE(sum(-f * f * g * log2(f * g)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING), 0) AS v FROM t) GROUP BY 1),
+w AS (SELECT s.id, s.i, s.n, t.a, t.f FROM l s JOIN t ON t.id = s.id AND t.i BETWEEN s.i AND s.i + 9),
+c AS (SELECT id, i, n, a, any_value(f) AS f, count(*) / 10 AS c FROM w WHERE f IS NOT NULL AND n - i >= 4 GROUP BY ALL),
+r AS (SELECT id, min(ratio) AS ratio FROM (SELECT id, i, CASE WHEN -sum(f * log2(f)) > 0 THEN -sum(c * log2(c)) / -sum(f * log2(f)) ELSE 2 END AS ratio FROM c GROUP BY ALL) GROUP BY 1),
+x AS (SELECT id, {", ".join(most)} FROM (SELECT id, n, {", ".join(sums)} FROM l) GROUP BY 1),
+m AS (SELECT l.id, COALESCE(sum(charge), 0) AS charge, COALESCE(sum(charge), 0) / any_value(n) AS avg_charge, COALESCE(sum(hydropathy), 0) / any_value(n) AS avg_hydropathy, any_value(n) AS length, {", ".join(shares)} FROM l LEFT JOIN k USING (a) GROUP BY 1),
+features AS (SELECT id, {order} FROM (SELECT m.*, x.* EXCLUDE (id), entropy, COALESCE(ratio, 2) AS entropy_ratio FROM m JOIN x USING (id) JOIN e USING (id) LEFT JOIN r USING (id)))"""
+
+
+PEPTIDE_FEATURES = f"""WITH p AS (SELECT p_partkey AS id, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS s FROM part), {features_sql()}
+SELECT p_partkey, {", ".join(f'COALESCE(round("{f}", 6), 0) AS "{f}"' for f in sequence.FEATURES)} FROM part LEFT JOIN features ON id = p_partkey"""
+
+
+def _scores_sql() -> str:
+    machines = _machines()
+    values = ", ".join(f"({i}, '{kind}', {bias!r}::DOUBLE, {gamma!r}::DOUBLE, {float(w)!r}::DOUBLE, {[float(v) for v in row]})" for i, (kind, support, weight, bias, gamma) in enumerate(machines) for row, w in zip(support, weight, strict=True))
+    vector = ", ".join(f'"{f}"::DOUBLE' for f in sequence.FEATURES)
+    kernel = "CASE kind WHEN 'rbf' THEN exp(-gamma * (list_dot_product(v, v) + list_dot_product(row, row) - 2 * list_dot_product(v, row))) WHEN 'poly4' THEN (gamma * list_dot_product(v, row) + 1) ** 4 ELSE (gamma * list_dot_product(v, row) + 1) ** 3 END"
+    return f"""WITH {DNA}, k2(codon, aa) AS (VALUES {TABLE}), cm AS (SELECT map_from_entries(list((codon, aa))) AS m FROM k2),
+strands AS (SELECT doc_id, seq, '+' AS strand, length(seq) AS n FROM dna UNION ALL SELECT doc_id, translate(reverse(seq), 'ACGT', 'TGCA'), '-', length(seq) FROM dna),
+codons AS (SELECT doc_id, strand, n, i, substr(seq, i + 1, 3) AS codon FROM (SELECT *, unnest(range(0, n - 2)) AS i FROM strands WHERE n >= 3)),
+stops AS (SELECT *, min(CASE WHEN codon IN ('TAA', 'TAG', 'TGA') THEN i END) OVER (PARTITION BY doc_id, strand, i % 3 ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop FROM codons),
+orfs AS (SELECT *, row_number() OVER () AS id FROM stops WHERE codon IN ('ATG', 'GTG', 'CTG', 'TTG') AND i > 0 AND stop IS NOT NULL AND (stop - i) // 3 BETWEEN 30 AND 99),
+p AS (SELECT id, 'M' || array_to_string(list_transform(range(1, (stop - i) // 3), lambda j: m[substr(seq, (i + 3 * j + 1)::INT, 3)]), '') AS s FROM orfs JOIN strands USING (doc_id, strand), cm),
+{features_sql()},
+machines(machine, kind, bias, gamma, weight, row) AS (VALUES {values}),
+vectors AS (SELECT id, [{vector}] AS v FROM features),
+sums AS (SELECT id, machine, any_value(kind) AS kind, sum(weight * {kernel}) + any_value(bias) AS z FROM vectors, machines GROUP BY id, machine),
+chances AS (SELECT id, kind, avg(1 / (1 + exp(-greatest(least(z, 50), -50)))) AS c FROM sums GROUP BY id, kind),
+scored AS (SELECT id, max(CASE kind WHEN 'poly4' THEN c END) AS poly4, max(CASE kind WHEN 'poly3' THEN c END) AS poly3, max(CASE kind WHEN 'rbf' THEN c END) AS rbf, avg(c) AS score FROM chances GROUP BY id)
+SELECT doc_id, (CASE strand WHEN '+' THEN i ELSE n - stop - 3 END)::INT AS "start", (CASE strand WHEN '+' THEN stop + 3 ELSE n - i END)::INT AS "end", strand, round(poly4, 6) AS poly4, round(poly3, 6) AS poly3, round(rbf, 6) AS rbf, round(score, 6) AS score
+FROM scored JOIN orfs USING (id)"""
 
 
 QUERIES = {
     "set_jaccard": (set_jaccard, SET_JACCARD), "components": (components, COMPONENTS), "mcl_families": (mcl_families, _mcl_sql()), "edge_combine": (edge_combine, EDGE_COMBINE), "edge_lift": (edge_lift, EDGE_LIFT),
     "vector_allpairs": (vector_allpairs, VECTOR_ALLPAIRS), "revcomp": (revcomp, REVCOMP), "orf_scan": (orf_scan, ORF_SCAN), "translated": (translated, TRANSLATED), "sliding_max": (sliding_max, SLIDING_MAX),
-    "residue_freq": (residue_freq, RESIDUE_FREQ), "fasta_lines": (fasta_lines, FASTA_LINES), "peptide_scores": (peptide_scores, None), "peptide_features": (peptide_features, PEPTIDE_FEATURES),
+    "residue_freq": (residue_freq, RESIDUE_FREQ), "fasta_lines": (fasta_lines, FASTA_LINES), "peptide_scores": (peptide_scores, _scores_sql()), "peptide_features": (peptide_features, PEPTIDE_FEATURES),
 }
