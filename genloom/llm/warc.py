@@ -4,7 +4,7 @@ Writing: one record per page, as a Spark text sink whose line end closes each re
 equal payloads are written once, the others as revisits of the smallest page_id. Archives are bounded by bytes: pages are
 written in classes of payload size, with fewer records to a file the larger they may be. Reading: each archive is parsed by
 Content-Length and yields its captures sorted by (URL key, time, id): a run. Merging: the runs' captures are dealt to key
-ranges (splitters on the whole sort key, so a URL with many captures spans ranges), and each range merges its segment of
+ranges (splitters on the whole sort key, then the run and the place in it, so captures that are alike span ranges, too), and each range merges its segment of
 every run with a loser tree. Ranges follow each other in key order, so (merge_range, merge_pos) is a global order, and
 capture_pos numbers it without gaps.
 
@@ -224,9 +224,9 @@ def _merge_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Captures in global order by (merge_range, merge_pos): URL key, time, id."""
+    """Captures in global order by (merge_range, merge_pos): URL key, time, id, then run and place."""
     ranges = max(1, -(-runs.count() // range_rows))
-    dealt = runs.repartitionByRange(ranges, "url_key", "captured", F.col("page_id").asc_nulls_last()).withColumn("merge_range", F.spark_partition_id())
+    dealt = runs.repartitionByRange(ranges, "url_key", "captured", F.col("page_id").asc_nulls_last(), "run", "seq").withColumn("merge_range", F.spark_partition_id())
     return dealt.mapInArrow(_merge_range, CAPTURE + ", merge_range int, merge_pos long")
 
 

@@ -78,6 +78,15 @@ def write(spark, df):
     return path
 
 
+def test_captures_that_are_alike_span_ranges(spark):
+    rows = [(None, None, "x")] * 400 + [(i, f"http://h{i}/", "y") for i in range(200)]
+    merged = warc.merge_runs(warc.read_runs(spark, write(spark, pages(spark, rows).repartition(6))), range_rows=50)
+    sizes = [r["count"] for r in merged.groupBy("merge_range").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 150
+    keys = [(r.url_key, r.captured, r.page_id is None, r.page_id or 0) for r in sorted(merged.collect(), key=lambda r: (r.merge_range, r.merge_pos))]
+    assert keys == sorted(keys)
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8])
 def test_loser_tree(k):
     rng = random.Random(k)
