@@ -128,6 +128,27 @@ def _clashes(a: tuple[int, int], b: tuple[int, int]) -> bool:
     return 2 * overlap > (e - s + 1) - overlap or 2 * overlap > (e2 - s2 + 1) - overlap
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows sorted by `key` as tables of whole groups; only a group that a batch may have cut waits for the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch[key].to_numpy()
+        other = np.flatnonzero(ids != ids[-1])
+        if len(other):
+            cut = int(other[-1]) + 1
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = [batch.slice(cut)]
+        elif held and held[-1][key][0].as_py() != ids[0]:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 #: Rows of an overlapping piece up to which it is picked from in one task.
 MOST_PIECE = 100_000
 
@@ -146,19 +167,8 @@ def greedy_intervals(df: DataFrame, keys: list[str], start: str, end: str, rank:
     large = store(pieces.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MOST_PIECE).select("_id"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            ids = batch["_id"].to_numpy()
-            cut = int(np.flatnonzero(ids != ids[-1])[-1]) + 1 if (ids != ids[-1]).any() else 0
-            if not cut and held and held[-1]["_id"][0].as_py() == ids[0]:
-                held.append(batch)
-                continue
-            done = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks() if cut or held else None
-            held = [batch.slice(cut)]
-            if done is not None and done.num_rows:
-                yield from _picked(done, start, end)
-        if held:
-            yield from _picked(pa.Table.from_batches(held).combine_chunks(), start, end)
+        for table in whole_groups(batches, "_id"):
+            yield from _picked(table, start, end)
 
     small = pieces.join(F.broadcast(large), "_id", "left_anti").select(*pieces.columns)  # one id for MOST_PIECE rows at most
     kept = small.repartition("_id").sortWithinPartitions("_id", *keys, "_piece", *rank).mapInArrow(pick, pieces.schema)
