@@ -3,8 +3,9 @@
 Runs of key-like characters are candidates. A candidate's encoding (decimal, one or two cases of letters, hex, base32, base36,
 base62, base64) is inferred from its characters. Two tests ask whether it may be written (words, names, numbers): its chi-squared distance from a
 uniform alphabet against what written strings of that encoding give at that length (a lower-tail p-value: small means
-too even), and the chance of its characters and of its changes between letters and digits in writing against their
-chance at random (a likelihood ratio, which by Markov's inequality is a p-value). p is twice the smaller. The
+too even, for the classes of characters that it has), and the chance of its characters and of its changes between letters and
+digits in writing, plain or in camel case, against their chance at random (a likelihood ratio, which by Markov's inequality is a
+p-value). p is twice the smaller. The
 chi-squared distance itself (repeats), a runs test and a serial-correlation test must not contradict randomness. Within each encoding and length class, Benjamini-Hochberg control over all candidates of
 the corpus decides, with p-values rounded up to bins, so the corpus is summed into a bounded table, not sorted.
 
@@ -58,6 +59,10 @@ FOLDED = ("alpha", "hex", "base36")
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_-")
 LETTERS = (8.2, 1.5, 3.0, 4.3, 13.0, 1.8, 2.2, 4.0, 7.0, 0.5, 0.7, 4.4, 2.6, 7.3, 7.0, 2.4, 0.6, 6.3, 6.6, 7.6, 3.4, 1.0, 1.5, 0.5, 1.5, 0.6)
 STEPS = ((0.87, 0.05, 0.04, 0.04), (0.13, 0.79, 0.04, 0.04), (0.10, 0.05, 0.75, 0.10), (0.50, 0.15, 0.20, 0.15))
+#: The same for words set together by capitals (camel case). A string is judged by the chain that explains it better.
+CAMEL_STEPS = ((0.80, 0.15, 0.03, 0.02), (0.88, 0.07, 0.03, 0.02), (0.10, 0.30, 0.55, 0.05), (0.30, 0.40, 0.20, 0.10))
+#: Chance that two characters of one class agree in writing.
+CLASS_MATCH = (WORD_MATCH, WORD_MATCH, 0.13, 0.4)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -139,13 +144,21 @@ def written_log_chance(s: Column) -> Column:
     place = lambda x: F.when(x < 26, 0).when(x < 52, 1).when(x < 62, 2).otherwise(3)
     shape = F.when(s.rlike("[a-z]"), s).otherwise(F.lower(s))
     at = F.transform(F.filter(F.split(shape, ""), lambda c: c != ""), lambda c: F.instr(F.lit("".join(CLASSES)), c) - 1)
-    start = F.struct(F.lit(-math.log(4)).alias("sum"), F.lit(-1).alias("last"))
+    start = F.struct(F.lit(-math.log(4)).alias("sum"), F.lit(-math.log(4)).alias("camel"), F.lit(-1).alias("last"))
 
     def add(acc: Column, x: Column) -> Column:
-        step = F.when(acc["last"] < 0, 0.0).otherwise(F.get(table([c for row in STEPS for c in row]), acc["last"] * 4 + place(x)))
-        return F.struct((acc["sum"] + step + F.get(table(chance), x)).alias("sum"), place(x).alias("last"))
+        step = lambda rows: F.when(acc["last"] < 0, 0.0).otherwise(F.get(table([c for row in rows for c in row]), acc["last"] * 4 + place(x)))
+        own = F.get(table(chance), x)
+        return F.struct((acc["sum"] + step(STEPS) + own).alias("sum"), (acc["camel"] + step(CAMEL_STEPS) + own).alias("camel"), place(x).alias("last"))
 
-    return F.aggregate(at, start, add, lambda acc: acc["sum"])
+    return F.aggregate(at, start, add, lambda acc: F.greatest(acc["sum"], acc["camel"]))
+
+
+def written_match(s: Column) -> Column:
+    """The chance that two characters of `s` agree if it is written, by how many of each class it has."""
+    n = F.length(s)
+    sizes = [F.length(F.regexp_replace(s, f"[^{c}]", "")) / n for c in ("a-z", "A-Z", "0-9", "+/_-")]
+    return sum((x * x * m for x, m in zip(sizes[1:], CLASS_MATCH[1:], strict=True)), sizes[0] * sizes[0] * CLASS_MATCH[0])
 
 
 def test_battery(candidates: DataFrame) -> DataFrame:
@@ -174,7 +187,7 @@ def test_battery(candidates: DataFrame) -> DataFrame:
     spread = n * F.col("sum2") - F.col("sum1") * F.col("sum1")
     r = F.when(spread > 0, (n * F.col("lagged") - F.col("sum1") * F.col("sum1")) / F.greatest(spread, F.lit(1e-9))).otherwise(1.0)
     rows = rows.withColumn("z_serial", (r + 1 / (n - 1)) * F.sqrt(n))
-    match = F.lit(WORD_MATCH)
+    match = written_match(F.regexp_replace("s", "=+$", ""))
     for name, chance in WRITTEN_MATCH.items():
         match = F.when(F.col("encoding") == name, chance).otherwise(match)
     excess = n * F.greatest(F.col("k") * match - 1, F.lit(0.0))

@@ -225,6 +225,25 @@ def test_bare_keys_of_every_encoding_and_length_are_found(spark):
     assert sum(got[i] != "" for i in range(len(planted), len(texts))) <= 8
 
 
+def test_identifiers_are_not_taken_for_keys(spark):
+    rng = random.Random(9)
+    words = "get user http account service database connection manager handler request response token value index image content river station query json xml parser buffer stream socket quick jump zone fix box".split()
+    alphabets = ["0123456789abcdef".upper(), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    keys = ["".join(rng.choices(rng.choice(alphabets), k=rng.choice([24, 32, 40]))) for _ in range(350)]
+
+    def name(style):
+        some = rng.sample(words, rng.randint(5, 8))
+        some = [w.title() if style == "camel" else w for w in some]
+        some.insert(rng.randint(1, 5), rng.choice(["2019", "V2", "64", "3"]))
+        return {"camel": "", "snake": "_", "kebab": "-", "path": "/"}[style].join(some)
+
+    names = [name(style) for style in ("camel",) * 2500 + ("snake", "kebab", "path") * 300]
+    got = {r.doc_id: r.spans for r in secrets.secret_digest(frame(spark, keys + names)).collect()}
+    found = sum(got[i] != "" for i in range(len(keys)))
+    wrong = sum(got[i] != "" for i in range(len(keys), len(keys) + len(names)))
+    assert found >= 0.95 * len(keys) and wrong <= 0.02 * found
+
+
 def test_keys_of_letters_alone_are_tested(spark):
     rng = random.Random(8)
     low, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
