@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import store
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Fixed order in which a row's first class counts, and the classes that have a bonus.
 CLASS_ORDER = ("kripp", "transporter", "regulator", "peptidase", "biosyn")
 BONUS = {"transporter": 5.0, "peptidase": 3.0, "regulator": 3.0, "biosyn": 0.0}
@@ -22,22 +31,60 @@ def categories(items: DataFrame, key: str, tags: DataFrame, classes: DataFrame,
     return items.join(found, key, "left").withColumn("categories", F.coalesce("categories", F.array(F.lit("other"))))
 
 
-#: Needles that each text is compared with one by one; more are met by their first letters.
-MOST_NEEDLES, GRAM = 10_000, 3
+#: Needles of one automaton.
+MOST_NEEDLES = 200_000
 
 
 def substring_classes(items: DataFrame, key: str, text: str, needles: DataFrame) -> DataFrame:
-    """(key, label): labels whose needle is inside the text. needles: label, needle.
-
-    A small table of needles is sent to all tasks; a larger one meets the texts on the first letters of each needle."""
-    if needles.count() <= MOST_NEEDLES:
-        return items.join(small(needles), F.contains(F.col(text), F.col("needle"))).select(key, "label").distinct()
-    gram = F.substring("needle", 1, GRAM)
-    keyed = needles.where("needle is not null").select("label", "needle", gram.alias("_gram"))
-    wide = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    grams = F.array_union(F.array(F.lit("")), F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.transform(wide, lambda i: F.substring(F.col(text), i, k))))))
-    met = items.select(key, F.col(text).alias("_text"), F.explode(grams).alias("_gram")).join(keyed, "_gram")
-    return met.where(F.contains(F.col("_text"), F.col("needle"))).select(key, "label").distinct()
+    """(key, label): labels whose needle is inside the text. needles: label, needle. An empty needle is in every text that isn't
+    null.
+
+    The needles become an automaton (goto and failure links), sent to all tasks, and each text is read through it once in Arrow
+    batches, however many needles there are. More than MOST_NEEDLES are several automata, each with a pass of its own."""
+    known = store(needles.select("label", "needle").where("needle is not null").distinct())
+    blocks = max(1, -(-known.count() // MOST_NEEDLES))
+    kinds = {"key": items.schema[key].dataType.simpleString(), "label": needles.schema["label"].dataType.simpleString()}
+    found = None
+    for b in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b).toArrow()  # a block: about MOST_NEEDLES
+        part = items.select(key, text).mapInArrow(_through(items.sparkSession.sparkContext.broadcast(_automaton(rows))), f"`{key}` {kinds['key']}, label {kinds['label']}")
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
+
+
+def _automaton(rows: pa.Table) -> tuple:
+    """The automaton of the needles, whose values are places in the list of labels, and the places of the empty needles."""
+    import ahocorasick
+
+    by_needle: dict[str, list[int]] = {}
+    for i, needle in enumerate(rows["needle"].to_pylist()):
+        by_needle.setdefault(needle, []).append(i)
+    built = ahocorasick.Automaton()
+    for needle, places in by_needle.items():
+        if needle:
+            built.add_word(needle, places)
+    if len(built):
+        built.make_automaton()
+    return built, rows["label"].combine_chunks(), by_needle.get("", [])
+
+
+def _through(sent) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built, labels, always = sent.value
+        for batch in batches:
+            at, of = [], []
+            for i, text in enumerate(batch[1].to_pylist()):
+                if text is None:
+                    continue
+                hits = set(always)
+                if len(built):
+                    for _, places in built.iter(text):
+                        hits.update(places)
+                at += [i] * len(hits)
+                of += sorted(hits)
+            yield pa.RecordBatch.from_arrays([batch[0].take(pa.array(at, pa.int64())), labels.take(pa.array(of, pa.int64()))], [batch.schema.names[0], "label"])
+
+    return run
 
 
 def tag_sets(rows: DataFrame, key: list[str], tag: str, name: str = "tags", where: Column | None = None) -> DataFrame:

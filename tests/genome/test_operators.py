@@ -356,12 +356,26 @@ def test_large_pieces_are_picked_from_in_rounds(spark, monkeypatch):
     assert pick() == want and len(want) > 20
 
 
-def test_many_needles_meet_by_their_first_letters(spark, monkeypatch):
+def test_needles_in_texts(spark, monkeypatch):
     items = spark.createDataFrame([(1, "abcdef"), (2, "xbcx"), (3, ""), (4, None), (5, "é c")], "id int, t string")
-    needles = spark.createDataFrame([("a", "bcd"), ("b", "b"), ("c", "bc"), ("d", ""), ("e", None), ("f", "é c"), ("g", "zzzz")], "label string, needle string")
-    want = rows(tags.substring_classes(items, "id", "t", needles), "id", "label")
-    monkeypatch.setattr(tags, "MOST_NEEDLES", 0)
-    assert rows(tags.substring_classes(items, "id", "t", needles), "id", "label") == want and (1, "a") in want and (5, "f") in want
+    pairs = [("a", "bcd"), ("b", "b"), ("c", "bc"), ("d", ""), ("e", None), ("f", "é c"), ("g", "zzzz"), ("h", "bc"), ("h", "abcdef")]
+    needles = spark.createDataFrame(pairs, "label string, needle string")
+    want = sorted({(r.id, label) for r in items.collect() for label, n in pairs if n is not None and r.t is not None and n in r.t})
+    for most in (200_000, 2):
+        monkeypatch.setattr(tags, "MOST_NEEDLES", most)
+        assert rows(tags.substring_classes(items, "id", "t", needles), "id", "label") == want
+    assert tags.substring_classes(items, "id", "t", needles.limit(0)).count() == 0
+
+
+def test_a_hundred_thousand_needles(spark):
+    rng = random.Random(2)
+    write = lambda n: "".join(rng.choices("abcd", k=n))
+    needles = sorted({write(rng.randint(6, 12)) for _ in range(130_000)})[:100_000]
+    texts = [(i, write(300)) for i in range(200)]
+    found = rows(tags.substring_classes(spark.createDataFrame(texts, "id int, t string"), "id", "t", spark.createDataFrame([(i, n) for i, n in enumerate(needles)], "label int, needle string")), "id", "label")
+    number = {n: i for i, n in enumerate(needles)}
+    want = {(i, number[t[a:b]]) for i, t in texts for a in range(300) for b in range(a + 6, min(a + 13, 301)) if t[a:b] in number}
+    assert found == sorted(want) and len(want) > 5000
 
 
 def test_network_rows(spark):
