@@ -26,6 +26,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain, pairwise
 from typing import NamedTuple
 from urllib.parse import urlparse
 
@@ -45,7 +46,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of the texts of a block, and of pieces that are encoded at a time; pieces of up to so many characters are remembered
 #: between blocks, as many as that.
-BLOCK, BATCH, SHORT, REMEMBERED = 1 << 20, 1 << 17, 40, 60_000
+BLOCK, BATCH, SHORT, REMEMBERED = 1 << 20, 1 << 17, 40, 150_000
 #: Pair keys that a task holds to reduce, and keys of a count shard.
 MOST_KEYS, SHARD_KEYS = 1 << 20, 1 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -98,27 +99,43 @@ class Pair:
         return CUT.split(text) if self.cuts else [text]
 
     def spell(self, pieces: list[str]) -> list[Spelled | None]:
-        """Each piece by both tokenizers; None if either doesn't give its bytes back."""
-        a, b = [self.a.encode_ordinary(" " + p) for p in pieces], self.b.encode(pieces, num_threads=1)
-        whole = [(" " + p).encode() for p in pieces]
-        same = [b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, w in zip(a, b, whole, strict=True)]
-        good = [i for i, s in enumerate(same) if s]
+        """Each piece by both tokenizers; None if either doesn't give its bytes back. Pieces without white space at their ends are
+        encoded in a row, as neither tokenizer has a token across the spaces between them; if the row isn't spelled back, and for
+        the other pieces, each is encoded by itself."""
         out: list[Spelled | None] = [None] * len(pieces)
-        if not good:
-            return out
-        n_a, n_b = (np.array([len(x[i]) for i in good]) for x in (a, b))
-        a, b = (np.array([t for i in good for t in x[i]], np.int64) for x in (a, b))
-        a_ends, b_ends, ends, at_a, at_b = links(a, b, self.a_sizes, self.b_sizes)  # every piece ends both, so no link reaches into the next
+        plain = [i for i, p in enumerate(pieces) if p and not (p[0].isspace() or p[-1].isspace())] if self.cuts else []
+        alone = range(len(pieces))
+        if plain:
+            some = [pieces[i] for i in plain]
+            row = " ".join(some)
+            found = self._spelled(self.a.encode_ordinary(" " + row), self.b.encode(row), [(" " + p).encode() for p in some])
+            if found is not None:
+                for i, s in zip(plain, found, strict=True):
+                    out[i] = s
+                alone = sorted(set(alone) - set(plain))
+        for i in alone:
+            found = self._spelled(self.a.encode_ordinary(" " + pieces[i]), self.b.encode(pieces[i]), [(" " + pieces[i]).encode()])
+            out[i] = found[0] if found else None
+        return out
+
+    def _spelled(self, a: list[int], b: list[int], whole: list[bytes]) -> list[Spelled] | None:
+        """The pieces `whole`, of which both tokens are given in a row; None if the tokens don't spell them, each from its start to
+        its end."""
+        row = b"".join(whole)
+        if b"".join(map(self.a_bytes.__getitem__, a)) != row or b"".join(map(self.b_bytes.__getitem__, b)) != row:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends, ends, at_a, at_b = links(a, b, self.a_sizes, self.b_sizes)
         keys = (b[at_b] << 32) | a[at_a]
         common, groups = spelled_groups(a, b, a_ends, b_ends)
-        last = np.cumsum([len(whole[i]) for i in good])
-        link_ends, group_ends, token_ends = np.searchsorted(ends, last, "right"), np.searchsorted(common, last, "right"), np.cumsum(n_a + n_b)
-        starts = [np.concatenate([[0], x[:-1]]).tolist() for x in (link_ends, group_ends, token_ends)]
-        stops = [x.tolist() for x in (link_ends, group_ends, token_ends)]
-        for k, i in enumerate(good):
-            said = "".join(groups[starts[2][k] : stops[2][k]])[:-1].encode()
-            out[i] = Spelled(int(n_a[k]), int(n_b[k]), stops[1][k] - starts[1][k], said, keys[starts[0][k] : stops[0][k]].copy())
-        return out
+        last = np.cumsum([len(w) for w in whole])
+        group_ends = np.searchsorted(common, last, "right")
+        if (common[np.maximum(group_ends - 1, 0)] != last).any():
+            return None
+        link_ends, n_a, n_b = np.searchsorted(ends, last, "right"), np.searchsorted(a_ends, last, "right"), np.searchsorted(b_ends, last, "right")
+        tokens, n_links = (n_a + n_b).tolist(), link_ends.tolist()
+        sizes = zip(*(np.diff(x, prepend=0).tolist() for x in (n_a, n_b, group_ends)), [0, *n_links], n_links, [0, *tokens], tokens, strict=False)
+        return [Spelled(x, y, g, "".join(groups[t:u])[:-1].encode(), keys[k:m]) for x, y, g, k, m, t, u in sizes]
 
 
 def links(a: np.ndarray, b: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,43 +160,42 @@ def _tokenize(folder: str, a_file: str, b_file: str) -> object:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(folder, a_file, b_file)
         remembered: dict[str, Spelled | None] = {}
+        missing, none = object(), np.array([], np.int64)
         kinds = [pa.list_(pa.int64())] * 5 + [pa.list_(pa.string())] + [pa.binary()] * 4
 
-        def spelled(pieces: list[str]) -> dict[str, Spelled | None]:
-            """All different pieces; those that are new in batches."""
-            found = {p: remembered[p] for p in pieces if p in remembered}
-            some: list[str] = []
-            size = 0
-            for p in [*dict.fromkeys(p for p in pieces if p not in found), None]:
-                if some and (p is None or size + len(p) > BATCH):
-                    for q, s in zip(some, pair.spell(some), strict=True):
-                        found[q] = s
-                        if len(q) <= SHORT:
-                            remembered[q] = s
-                    some, size = [], 0
-                if p is not None:
-                    some.append(p)
-                    size += len(p)
-            return found
+        def spelled(pieces: list[str]) -> list[Spelled | None]:
+            """Different pieces; those that aren't remembered in batches."""
+            out = [remembered.get(p, missing) for p in pieces]
+            new = [i for i, s in enumerate(out) if s is missing]
+            cuts = np.searchsorted(np.cumsum([len(pieces[i]) for i in new]), np.arange(0, sum(len(pieces[i]) for i in new) + BATCH, BATCH)).tolist() if new else [0]
+            for x, y in pairwise([*cuts, len(new)]):
+                for i, s in zip(new[x:y], pair.spell([pieces[i] for i in new[x:y]]), strict=True):
+                    out[i] = s
+                    if len(pieces[i]) <= SHORT:
+                        remembered[pieces[i]] = s
+            return out
 
         def block(ids: list, texts: list[str]) -> pa.RecordBatch:
             if len(remembered) > REMEMBERED:
                 remembered.clear()
             cut = [pair.pieces(t) if t else [] for t in texts]
-            found = spelled([p for x in cut for p in x])
-            number: dict[str, int] = {}
-            at, ends, told = [], [], []
-            for x in cut:
-                here = [found[p] for p in x]
-                good = bool(here) and None not in here
-                at += [number.setdefault(p, len(number)) for p in x] if good else []
-                ends.append(len(at))
-                said = hashlib.sha256(b";".join([h.groups for h in here])).hexdigest() if good else ""
-                told.append((*(sum([h[i] for h in here]) if good else 0 for i in range(3)), sum([len(h.keys) for h in here]) if good else 0, said))
-            keys = [found[p].keys for p in number]
-            n_a, n_b, n_groups, n_links, said = zip(*told, strict=True)
-            flat = np.concatenate(keys) if keys else np.array([], np.int64)
-            columns = [ids, n_a, n_b, n_groups, n_links, said, np.array(at, np.int32).tobytes(), np.array(ends, np.int32).tobytes(), _packed(flat), np.cumsum([len(x) for x in keys]).astype(np.int64).tobytes()]
+            flat = list(chain.from_iterable(cut))
+            different = list(dict.fromkeys(flat))
+            found = spelled(different)
+            number = dict(zip(different, range(len(different)), strict=True))
+            at = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
+            n = np.array([len(x) for x in cut])
+            ends = np.cumsum(n)
+            unknown = np.array([s is None for s in found], bool)
+            good = (n > 0) & (_parts(unknown[at], ends) == 0)
+            at, ends = at[np.repeat(good, n)], np.cumsum(n * good)
+            of = [(0, 0, 0, b"", none) if s is None else s for s in found]
+            sizes = [np.array([s[i] for s in of], np.int64) for i in range(3)] + [np.array([len(s[4]) for s in of], np.int64)]
+            groups, places = [s[3] for s in of], at.tolist()
+            said = [hashlib.sha256(b";".join(map(groups.__getitem__, places[x:y]))).hexdigest() if ok else "" for ok, x, y in zip(good.tolist(), [0, *ends.tolist()], ends.tolist(), strict=False)]
+            told = [_parts(x[at], ends).tolist() for x in sizes]
+            flat_keys = np.concatenate([s[4] for s in of]) if of else none
+            columns = [ids, *told, said, at.tobytes(), ends.astype(np.int32).tobytes(), _packed(flat_keys), np.cumsum(sizes[3]).astype(np.int64).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in STORED.split(", ")])
 
         for batch in batches:
