@@ -22,12 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if, materialize, shuffle_partitions
 
 COORD_BITS, HASH_BITS, CELLS = 20, 42, 1024
 TIE_BITS = 62
 SLOT_ROWS = 20_000
-#: Distinct values that are ranked in one task and sent to all; beyond, a column's coordinate is a hash of the value.
+#: Rows of a table of distinct values, or of a level's nodes, that is sent to all tasks; a larger one is joined by a shuffle.
 MOST_VALUES = 200_000
 
 
@@ -41,13 +41,21 @@ def document_dimensions(docs: DataFrame) -> dict[str, Column]:
     return {c: x for c, x in named.items() if c in docs.columns}
 
 
+def _ranks(values: DataFrame) -> DataFrame:
+    """value, rank of distinct values, null first: sorted in ranges, each numbered after those before it."""
+    order = F.col("value").asc_nulls_first()
+    ranges = values.repartitionByRange(shuffle_partitions(values.sparkSession), order).sortWithinPartitions(order)
+    placed = materialize(ranges.select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")), "kd-ranges")
+    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), "part").select("value", (F.col("start") + F.col("at") + 1).cast("double").alias("rank"))
+
+
 def _ranked(raw: DataFrame, column: str) -> DataFrame:
-    """`raw` with a string column replaced by its value's rank, null first; by a hash if there are too many values."""
+    """`raw` with a string column replaced by its value's rank, null first."""
     values = materialize(raw.select(F.col(column).alias("value")).distinct(), "kd-values")
-    if values.count() > MOST_VALUES:
-        return raw.withColumn(column, F.when(F.col(column).isNull(), -1.0).otherwise(F.pmod(F.xxhash64(column), F.lit(1 << COORD_BITS)).cast("double")))
-    ranks = values.withColumn("rank", F.row_number().over(W.orderBy(F.col("value").asc_nulls_first())).cast("double"))
-    return raw.join(F.broadcast(ranks), F.col(column).eqNullSafe(F.col("value"))).drop(column, "value").withColumnRenamed("rank", column)
+    ranks = broadcast_if(_ranks(values), values.count(), MOST_VALUES)
+    return raw.join(ranks, F.col(column).eqNullSafe(F.col("value"))).drop(column, "value").withColumnRenamed("rank", column)
 
 
 def _points(docs: DataFrame, dims: dict[str, Column], weight: Column) -> tuple[DataFrame, list[str]]:
@@ -68,8 +76,8 @@ def _points(docs: DataFrame, dims: dict[str, Column], weight: Column) -> tuple[D
 
 
 def _nodes(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A table of a level's nodes, at most as many as shards, sent to all tasks."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """A table of a level's nodes, at most as many as shards; sent to all tasks if it is small."""
+    return broadcast_if(spark.createDataFrame(rows, schema), len(rows), MOST_VALUES)
 
 
 def _boundaries(rows: DataFrame, goals: dict[int, float], span: dict[int, tuple[int, int]], slack: float) -> dict[int, tuple[int, float, bool]]:

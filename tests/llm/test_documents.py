@@ -315,6 +315,17 @@ def test_sources_alike_at_the_start_are_kept_apart(spark):
     assert order == [0, 1, 2, 3, 4]
 
 
+def test_ranks_of_very_many_values(spark, monkeypatch):
+    values = [None, "", "b", "a", "é", "aa", *(f"v{i}" for i in range(300))]
+    ranks = {r.value: r.rank for r in sharding._ranks(spark.createDataFrame([(v,) for v in values], "value string").repartition(5)).collect()}
+    assert ranks == {v: i + 1.0 for i, v in enumerate(sorted(values, key=lambda v: (v is not None, (v or "").encode())))}
+    docs = frame(spark, [f"text {i}" for i in range(400)], sources=[f"s{i % 97}" for i in range(400)])
+    place = lambda: sorted((r.doc_id, r.shard) for r in sharding.shard_documents(docs, 8).collect())
+    want = place()
+    monkeypatch.setattr(sharding, "MOST_VALUES", 0)  # every table is joined by a shuffle
+    assert place() == want
+
+
 def test_two_thousand_shards(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     many = docs.crossJoin(spark.range(20)).select(docs.columns)
