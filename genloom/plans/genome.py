@@ -54,13 +54,9 @@ def conservation(genes: DataFrame, hits: DataFrame, config: EngineConfig | None
     worst = cutoffs.agg(F.min("cutoff")).first()[0]
     if tuples.count() < config.min_group_tuples or worst is None or worst < config.min_group_cutoff:
         # all genomes together are no group: groups of those that share more
-        links = store(true.select(F.col("q").alias("src"), F.col("s").alias("dst")))
-        held = graph.components(links).join(plain.select(F.col("gene_id").alias("node"), F.col("genome_id").alias("genome")), "node")
-        found = store(orthology.genome_groups(held.select(F.col("root").alias("class_id"), "genome"), config.min_group_tuples, config.min_group_genomes))
-        parts: dict[int, list[str]] = {}
-        for r in found.collect():
-            parts.setdefault(r["group_no"], []).append(r["genome"])
-        grown = [_grown(pairs, true, sorted(g), config) for _, g in sorted(parts.items())]
+        groups = orthology.covering_groups(orthology.genome_groups(true, config.min_group_tuples, config.min_group_genomes))
+        found = true.sparkSession.createDataFrame([(i, g) for i, group in enumerate(groups, 1) for g in group], "group_no int, genome string")
+        grown = [_grown(pairs, true, group, config) for group in groups]
         if grown:
             covered = found
             tuples, within, each = (reduce(DataFrame.unionByName, x) for x in zip(*grown, strict=True))

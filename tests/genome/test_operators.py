@@ -280,10 +280,58 @@ def test_set_cover(spark):
     assert rows(sequential.set_cover(nulls, "key", "grp", "member"), "key", "turn", "grp") == [("j", 1, "g9"), ("k", 1, "g1"), ("k", 2, "g2")]
 
 
-def test_subgroups():
-    ids = {(a, b): set(range(20)) for a in "abcde" for b in "abcde" if a < b}
-    ids |= {(a, "z"): set(range(3)) for a in "abcde"}
-    assert graph.subgroups(ids, list("abcdez"), 10, 5) == [list("abcde")]
+def brute_groups(pairs, min_tuples, min_size):
+    genomes, linked = sorted({p[2] for p in pairs}), {(p[0], p[1]) for p in pairs}
+    between = {}
+    for q, s, a, b in pairs:
+        between.setdefault((a, b), []).append((q, s))
+    out = set()
+    for seed in genomes:
+        left = set(genomes) - {seed}
+        while True:
+            n, first = min(((-len(between.get((seed, g), ())), g) for g in left), default=(0, None))
+            if -n < min_tuples:
+                break
+            group, tuples = [seed, first], [{seed: {q}, first: {s}} for q, s in between[seed, first]]
+            while True:
+                options = {}
+                for g in left - set(group):
+                    genes = sorted({p[1] for p in pairs if p[3] == g})
+                    options[g] = [t | {g: more} for t in tuples if (more := {x for x in genes if all(any((m, x) in linked for m in t[h]) for h in group)})]
+                n, best = min(((-len(t), g) for g, t in options.items()), default=(0, None))
+                if -n < min_tuples:
+                    break
+                group.append(best)
+                tuples = options[best]
+            if len(group) >= min_size:
+                out.add((tuple(sorted(group)), len(tuples)))
+            left -= set(group)
+    most = {}
+    for g, n in out:
+        most[g] = max(n, most.get(g, 0))
+    return most
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_of_genomes_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    genomes = "abcdefg"
+    pairs = set()
+    for family in range(40):
+        members = rng.sample(genomes, rng.randint(2, 5)) if family % 3 else list("abc") + rng.sample("defg", 1)
+        for a in members:
+            for b in members:
+                if a != b and rng.random() < 0.95:
+                    pairs |= {(f"{a}{family}", f"{b}{family}", a, b), (f"{b}{family}", f"{a}{family}", b, a)}
+    found = orthology.genome_groups(spark.createDataFrame(sorted(pairs), "q string, s string, genome_q string, genome_s string"), 5, 3)
+    groups, number = {}, {}
+    for r in found.collect():
+        groups.setdefault(r["group_no"], []).append(r["genome"])
+        number[r["group_no"]] = r["n_tuples"]
+    got = {tuple(sorted(g)): number[i] for i, g in groups.items()}
+    assert got == brute_groups(sorted(pairs), 5, 3) and got
+    assert {g for group in orthology.covering_groups(found) for g in group} == {g for group in got for g in group}
+    assert orthology.genome_groups(spark.createDataFrame([], "q string, s string, genome_q string, genome_s string")).count() == 0
 
 
 def test_sequences(spark):
