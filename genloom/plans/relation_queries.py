@@ -344,6 +344,13 @@ def _tuple_growth_sql() -> str:
     return f"WITH {PART_HITS}, {', '.join(steps)} SELECT x AS first_part, y AS second_part, count(*)::INT AS n_parts, md5(string_agg(m.gene, ',' ORDER BY m.g, m.gene)) AS parts_md5 FROM m{len(KINDS) - 1} GROUP BY x, y"
 
 
+def genome_groups(spark, sf_dir):
+    """Groups of part types that share at least two tuples of parts that are all alike."""
+    pairs = part_hits(spark, sf_dir).where("pident >= 97")
+    groups = orthology.genome_groups(pairs, 2, 3)
+    return groups.groupBy("group_no").agg(F.array_join(F.array_sort(F.collect_list("genome")), ",").alias("genomes"), F.max("n_tuples").alias("n_tuples"))
+
+
 def pair_edges(spark, sf_dir):
     """Edges between parts of two types, at or above the types' mean likeness less one deviation; parts of one brand have a
     link at any likeness, of weight 100 if it is below."""
@@ -371,5 +378,5 @@ QUERIES = {
     "adaptive_cutoff": (adaptive_cutoff, ADAPTIVE_CUTOFF), "occurrence_frequency": (occurrence_frequency, OCCURRENCE_FREQUENCY), "multi_label_category": (multi_label_category, MULTI_LABEL_CATEGORY),
     "substring_class": (substring_class, SUBSTRING_CLASS), "tag_sets": (tag_sets, TAG_SETS), "common_tags": (common_tags, COMMON_TAGS), "cluster_score": (cluster_score, CLUSTER_SCORE),
     "upsert_dim": (upsert_dim, UPSERT_DIM), "union_reference": (union_reference, UNION_REFERENCE), "dedupe_names": (dedupe_names, DEDUPE_NAMES), "name_census": (name_census, NAME_CENSUS),
-    "group_summary": (group_summary, GROUP_SUMMARY), "score_stats": (score_stats, SCORE_STATS), "hierarchy_walk": (hierarchy_walk, HIERARCHY_WALK), "set_cover": (set_cover, SET_COVER), "tuple_growth": (tuple_growth, _tuple_growth_sql()), "pair_edges": (pair_edges, PAIR_EDGES), "histogram": (histogram, HISTOGRAM),
+    "group_summary": (group_summary, GROUP_SUMMARY), "score_stats": (score_stats, SCORE_STATS), "hierarchy_walk": (hierarchy_walk, HIERARCHY_WALK), "set_cover": (set_cover, SET_COVER), "genome_groups": (genome_groups, None), "tuple_growth": (tuple_growth, _tuple_growth_sql()), "pair_edges": (pair_edges, PAIR_EDGES), "histogram": (histogram, HISTOGRAM),
 }
