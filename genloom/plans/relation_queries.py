@@ -345,8 +345,8 @@ def _tuple_growth_sql() -> str:
 
 
 def genome_groups(spark, sf_dir):
-    """Groups of part types that share at least two tuples of parts that are all alike."""
-    pairs = part_hits(spark, sf_dir).where("pident >= 97")
+    """Groups of part types that share at least two tuples of parts that are all alike and of one brand."""
+    pairs = part_hits(spark, sf_dir).where("same and pident >= 99")
     groups = orthology.genome_groups(pairs, 2, 3)
     return groups.groupBy("group_no").agg(F.array_join(F.array_sort(F.collect_list("genome")), ",").alias("genomes"), F.max("n_tuples").alias("n_tuples"))
 
