@@ -102,3 +102,9 @@ def test_genes_of_an_empty_table(spark):
     with pytest.raises(ValueError, match="longer"):
         gene_calls.call_genes(spark.createDataFrame([], "id string, seq string"), ["id"], least=5)
     assert gene_calls.call_genes(spark.createDataFrame([], "id string, seq string"), ["id"]).count() == 0
+
+
+def test_hexamers_are_counted_after_peptide_features(spark):
+    frame = spark.createDataFrame([("ATGGCA",)], "seq string")
+    assert len(frame.select(sequence.peptide_vector("seq")).first()[0]) == len(sequence.FEATURES)
+    assert sum(r["background"] for r in gene_calls.hexamer_scores(frame).collect()) == 2
