@@ -49,10 +49,12 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 BLOCK, BATCH, SHORT, REMEMBERED = 1 << 20, 1 << 17, 40, 150_000
 #: Pair keys that a task holds to reduce, and keys of a count shard.
 MOST_KEYS, SHARD_KEYS = 1 << 20, 1 << 20
+#: Bytes of a row group of stored blocks, which are of about two megabytes each.
+GROUP_BYTES = 1 << 22
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A block: of each text its numbers; the pieces of all texts in a row, of which `ends` tells whose they are; and of each piece its
-#: links, of which `key_ends` tells whose they are.
-STORED = "doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, pieces binary, ends binary, keys binary, key_ends binary"
+#: links, of which `key_sizes` tells how many each has.
+STORED = "doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, pieces binary, ends binary, keys binary, key_sizes binary"
 
 
 def byte_letters() -> dict[str, int]:
@@ -195,7 +197,7 @@ def _tokenize(folder: str, a_file: str, b_file: str) -> object:
             said = [hashlib.sha256(b";".join(map(groups.__getitem__, places[x:y]))).hexdigest() if ok else "" for ok, x, y in zip(good.tolist(), [0, *ends.tolist()], ends.tolist(), strict=False)]
             told = [_parts(x[at], ends).tolist() for x in sizes]
             flat_keys = np.concatenate([s[4] for s in of]) if of else none
-            columns = [ids, *told, said, at.tobytes(), ends.astype(np.int32).tobytes(), _packed(flat_keys), np.cumsum(sizes[3]).astype(np.int64).tobytes()]
+            columns = [ids, *told, said, at.tobytes(), ends.astype(np.int32).tobytes(), _packed(flat_keys), sizes[3].astype(np.int32).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in STORED.split(", ")])
 
         for batch in batches:
@@ -232,7 +234,7 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[dict, np.ndarray, np.ndarra
     for i in range(batch.num_rows):
         one = batch.slice(i, 1)
         of = lambda name, kind: np.frombuffer(one[name][0].as_buffer(), kind)  # noqa: B023, E731
-        ends = of("key_ends", np.int64)
+        ends = np.cumsum(of("key_sizes", np.int32), dtype=np.int64)
         yield {c: one[c] for c in batch.schema.names}, of("pieces", np.int32), of("ends", np.int32), _unpacked(one["keys"][0].as_buffer(), int(ends[-1]) if len(ends) else 0), ends
 
 
@@ -354,8 +356,8 @@ def _joined(stored: DataFrame, ranges: DataFrame) -> DataFrame:
     """The same result with counts joined by key, where shards can't be mapped."""
     counts = materialize(ranges.mapInArrow(_count_rows, "key long, n long"), "alignment-counts")
     best = counts.groupBy(F.shiftright("key", 32).alias("b")).agg(F.max("n").alias("best"))
-    numbered = materialize(stored.withColumn("block", F.monotonically_increasing_id()), "alignment-blocks")
-    pairs = numbered.select("block", "pieces", "ends", "keys", "key_ends").mapInArrow(_pairs, "block long, place long, key long, links long")
+    numbered = materialize(stored.withColumn("block", F.monotonically_increasing_id()), "alignment-blocks", GROUP_BYTES)
+    pairs = numbered.select("block", "pieces", "ends", "keys", "key_sizes").mapInArrow(_pairs, "block long, place long, key long, links long")
     found = pairs.join(counts.withColumn("b", F.shiftright("key", 32)).join(best, "b"), "key").groupBy("block", "place").agg(F.sum(F.when(F.col("n") == F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("links")).alias("count_sum"))
     texts = numbered.select("block", F.posexplode(F.arrays_zip(*[c for c in RESULT if c not in ("n_best", "count_sum")])).alias("place", "x")).select("block", F.col("place").cast("long").alias("place"), "x.*")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
@@ -373,8 +375,8 @@ def align(docs: DataFrame, folder: str = FOLDER, a_file: str = A_FILE, b_file: s
     spark = docs.sparkSession
     pair = Pair(folder, a_file, b_file)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stored = materialize(source.mapInArrow(_tokenize(folder, a_file, b_file), STORED), "alignment-tokens")
-    partial = materialize(stored.select("pieces", "ends", "keys", "key_ends").mapInArrow(_partial_counts, "key long, n long"), "alignment-partial")
+    stored = materialize(source.mapInArrow(_tokenize(folder, a_file, b_file), STORED), "alignment-tokens", GROUP_BYTES)
+    partial = materialize(stored.select("pieces", "ends", "keys", "key_sizes").mapInArrow(_partial_counts, "key long, n long"), "alignment-partial")
     ranges = partial.repartitionByRange(max(1, partial.count() // SHARD_KEYS + 1), "key").sortWithinPartitions("key")
     place = mapped_folder(spark) if mapped else None
     if place is None:

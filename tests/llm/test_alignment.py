@@ -111,3 +111,19 @@ def test_packed_keys():
         keys = np.array(keys, np.int64)
         packed = alignment._packed(keys)
         assert len(packed) == len(keys) * (4 if len(keys) != 1 else 8) and (alignment._unpacked(packed, len(keys)) == keys).all()
+
+
+def test_stored_blocks_are_in_small_row_groups(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(alignment, "BLOCK", 1000)
+    monkeypatch.setattr(alignment, "GROUP_BYTES", 1 << 16, raising=False)
+    kept, real = [], alignment.materialize
+    monkeypatch.setattr(alignment, "materialize", lambda *args: kept.append(real(*args)) or kept[-1])
+    rng = random.Random(5)
+    docs = [(i, " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(200))) for i in range(40)]
+    assert alignment.align(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).count() == 40
+    [file] = kept[0].inputFiles()
+    told = pq.ParquetFile(file.removeprefix("file://")).metadata
+    sizes = [told.row_group(i).total_byte_size for i in range(told.num_row_groups)]
+    assert told.num_rows == 40 and len(sizes) > 2 and max(sizes) <= 1 << 17
