@@ -6,6 +6,7 @@ gets a piece, not a key; only pieces in which an order matters are walked in Pyt
 
 from __future__ import annotations
 
+import math
 import sys
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -43,14 +44,14 @@ class _Scores:
         self.squares = float(((np.asarray(scores, float) - self.mean) ** 2).sum()) if self.n else 0.0
 
     def spread(self, lone: float) -> float:
-        return (self.squares / self.n) ** 0.5 if self.n > 1 else lone
+        return math.sqrt(self.squares / self.n) if self.n > 1 else lone
 
     def joined(self, other: _Scores) -> _Scores:
         out = _Scores(())
         out.n, out.rows = self.n + other.n, self.rows + other.rows
         apart = other.mean - self.mean
         out.mean = self.mean + apart * other.n / max(out.n, 1)
-        out.squares = self.squares + other.squares + apart**2 * self.n * other.n / max(out.n, 1)
+        out.squares = self.squares + other.squares + apart * apart * self.n * other.n / max(out.n, 1)
         return out
 
 
@@ -91,14 +92,55 @@ def fuse(islands: list, seed: int, gap: float = SCORE_GAP, lone: float = LONE_ST
     return sorted(accepted)
 
 
-def island_fusion(df: DataFrame, keys: list[str], island: str, score: str, seed: str, gap: float = SCORE_GAP) -> DataFrame:
+def _sums_in_order(rows: DataFrame, keys: list[str], island: str, order: list[str]) -> DataFrame:
+    """(keys, island, _n, _rows, _mean, _squares, _seed) of rows with `_x` and `_seed`: sums over an island's rows one after the
+    other (Welford 1962), so that not even their last digits depend on partitions. Rows are dealt by island and pass by sorted."""
+    names, kinds = [*keys, island], {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, members, total, mean, squares, seeded = None, 0, 0, 0.0, 0.0, 0.0, False
+        types = None
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in names]
+            found = []
+            for at, x, one in zip(zip(*(batch[k].to_pylist() for k in names), strict=True), batch["_x"].to_pylist(), batch["_seed"].to_pylist(), strict=True):
+                if at != now:
+                    if members:
+                        found.append((*now, n, members, total / n if n else 0.0, squares / n * n if n else 0.0, seeded))
+                    now, n, members, total, mean, squares, seeded = at, 0, 0, 0.0, 0.0, 0.0, False
+                members += 1
+                seeded = seeded or bool(one)
+                if x is not None:
+                    n += 1
+                    total += x
+                    before, mean = mean, mean + (x - mean) / n
+                    squares += (x - mean) * (x - before)
+            if found:
+                yield summed(found, types)
+        if members:
+            yield summed([(*now, n, members, total / n if n else 0.0, squares / n * n if n else 0.0, seeded)], types)
+
+    def summed(found: list[tuple], types: list) -> pa.RecordBatch:
+        types = [*types, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], [*names, "_n", "_rows", "_mean", "_squares", "_seed"])
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in names), "_n long, _rows long, _mean double, _squares double, _seed boolean"])
+    placed = rows.repartition(*names).sortWithinPartitions(*names, *order)
+    return placed.select(*names, "_x", "_seed").mapInArrow(run, schema)
+
+
+def island_fusion(df: DataFrame, keys: list[str], island: str, score: str, seed: str, gap: float = SCORE_GAP, order: list[str] | None = None) -> DataFrame:
     """(keys, seed_island, island): for each seeded island the islands fused with it. df: one row for each member, with its
     island (a number in order of place), its score (null or NaN: none) and whether it is a seed.
 
-    Spark sums each island up first, so a key is one short row for each of its islands."""
+    Spark sums each island up first, so a key is one short row for each of its islands. Means that lie a gap apart may be told by
+    the last digit of a sum: with `order` (which has no ties), an island's rows are summed one after the other in that order."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     x = F.when(~F.isnan(F.col(score).cast("double")), F.col(score).cast("double"))
-    sums = df.groupBy(*keys, island).agg(F.count(x).alias("_n"), F.count(F.lit(1)).alias("_rows"), F.coalesce(F.avg(x), F.lit(0.0)).alias("_mean"), F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias("_squares"), F.max(F.col(seed)).alias("_seed"))
+    if order is None:
+        sums = df.groupBy(*keys, island).agg(F.count(x).alias("_n"), F.count(F.lit(1)).alias("_rows"), F.coalesce(F.avg(x), F.lit(0.0)).alias("_mean"), F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias("_squares"), F.max(F.col(seed)).alias("_seed"))
+    else:
+        sums = _sums_in_order(df.select(*keys, island, x.alias("_x"), F.col(seed).alias("_seed"), *[c for c in order if c not in (*keys, island)]), keys, island, order)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(island, kind="stable")

@@ -172,8 +172,8 @@ def island_fusion(spark, sf_dir):
     """Islands of a user's events (gap up to two hours) fused around those that hold a value of 95 or more, by mean value;
     an event with a value under 10 has no score."""
     placed = ordered.runs(events(spark, sf_dir), ["user_id"], "sec", "sec", "event_id", 2 * HOUR, name="island")
-    rows = placed.select("user_id", "island", F.when(F.col("value") >= 10, F.col("value") / 100).alias("score"), (F.col("value") >= 95).alias("seed"))
-    return sequential.island_fusion(rows, ["user_id"], "island", "score", "seed")
+    rows = placed.select("user_id", "island", "sec", "event_id", F.when(F.col("value") >= 10, F.col("value") / 100).alias("score"), (F.col("value") >= 95).alias("seed"))
+    return sequential.island_fusion(rows, ["user_id"], "island", "score", "seed", order=["sec", "event_id"])
 
 
 #: One step of the walk at a time; a side is -1 or 1, `el` and `er` are the sides' edges, `pl` and `pr` their islands that wait.

@@ -1,7 +1,9 @@
 """Operators on hand-made rows whose results were worked out by hand."""
 
 import random
+from datetime import datetime, timedelta
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from genloom.config import EngineConfig, coerce
 from genloom.functions import predicates as P
 from genloom.functions import sequence
 from genloom.operators import graph, intervals, ordered, orthology, scan, sequential, similarity, summary, tags
-from genloom.plans import relation_queries
+from genloom.plans import ordered_queries, relation_queries
 
 KEYS = ["genome_id", "scaffold_id"]
 GENES = [("a", 0, 300, "+", False, 0.2), ("b", 340, 640, "+", False, 0.4), ("x", 700, 790, "+", True, None), ("c", 1400, 1700, "+", False, 0.6), ("d", 2450, 2750, "+", False, 0.8), ("e", 2760, 3000, "-", False, 1.0)]
@@ -467,3 +469,15 @@ def test_group_summary_counts_customers_that_share_a_key(spark, tmp_path):
     spark.createDataFrame([(1, "x", 7, 1.0, "A"), (1, "y", 7, 3.0, "A"), (None, "z", 7, 5.0, "A")], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
     spark.createDataFrame([(k, 1, "O", "5-LOW") for k in range(21)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     assert [tuple(r) for r in relation_queries.group_summary(spark, str(tmp_path)).collect()] == [("A", 7, 3, 2, 3.0, "1.0")]
+
+
+@pytest.mark.parametrize("lead, other, fused", [([99, 94], [27, 84], [0, 1]), ([99], [84, 21], [0]), ([99], [76, 84], [0])])
+def test_fused_islands_equal_sql_where_the_last_digit_decides(spark, tmp_path, lead, other, fused):
+    values = [(i, v) for i, vs in enumerate((lead, other)) for v in vs]
+    rows_ = [(n, datetime(2024, 1, 1) + timedelta(hours=5 * i, seconds=n), 1, "view", float(v), "{}") for n, (i, v) in enumerate(values)]
+    spark.createDataFrame(rows_[::-1], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = rows(ordered_queries.island_fusion(spark, str(tmp_path)), "seed_island", "island")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.sql(f"SELECT seed_island, island FROM ({ordered_queries.ISLAND_FUSION})").fetchall())
+    assert [i - 1 for s, i in got if s == 1] == fused
