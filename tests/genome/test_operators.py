@@ -481,3 +481,26 @@ def test_fused_islands_equal_sql_where_the_last_digit_decides(spark, tmp_path, l
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert got == sorted(con.sql(f"SELECT seed_island, island FROM ({ordered_queries.ISLAND_FUSION})").fetchall())
     assert [i - 1 for s, i in got if s == 1] == fused
+
+
+def _alike(spark, seed):
+    """Sets of which many are equal, in two blocks: (members, pairs) of their classes, and the same links spelled out."""
+    rng = random.Random(seed)
+    base = [sorted(rng.sample("abcdefghijkl", rng.randint(5, 9))) for _ in range(14)]
+    sets = spark.createDataFrame([(i, i % 2, base[rng.randrange(len(base))] if i < 60 else sorted(rng.sample("abcdefghijkl", 7))) for i in range(80)], "id int, block int, tags array<string>")
+    plain = [(r.block, r.id, set(r.tags)) for r in sets.collect()]
+    links = [(a, b, len(x & y) / len(x | y)) for p, a, x in plain for q, b, y in plain if p == q and a < b and len(x & y) >= 0.6 * len(x | y)]
+    return *similarity.set_classes(sets, "id", "tags", 0.6, "block"), links
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_classes_give_what_their_items_give(spark, seed, monkeypatch):
+    monkeypatch.setattr(similarity, "CHUNK", 3)
+    members, pairs, links = _alike(spark, seed)
+    edges = spark.createDataFrame(links, "src int, dst int, weight double")
+    assert rows(similarity.expand_pairs(members, pairs, "id", "block"), "src", "dst", "jaccard") == sorted(links)
+    assert rows(graph.class_components(members, pairs, "id"), "node", "root") == rows(graph.components(edges), "node", "root")
+    want = rows(graph.markov_clusters(edges, 1.5, 2), "node", "group_id")
+    for dense in (1500, 3):
+        assert rows(graph.markov_classes(members, pairs, "id", 1.5, 2, dense), "node", "group_id") == want
+    assert {n for n, _ in rows(graph.markov_classes(members, pairs, "id"), "node", "group_id")} == set(range(80))
