@@ -504,3 +504,13 @@ def test_classes_give_what_their_items_give(spark, seed, monkeypatch):
     for dense in (1500, 3):
         assert rows(graph.markov_classes(members, pairs, "id", 1.5, 2, dense), "node", "group_id") == want
     assert {n for n, _ in rows(graph.markov_classes(members, pairs, "id"), "node", "group_id")} == set(range(80))
+
+
+def test_seeded_edges_combine_with_classes(spark):
+    members, pairs, links = _alike(spark, 5)
+    rng = random.Random(5)
+    seeded = spark.createDataFrame(sorted({(a, b, float(10 + a)) for a, b, _ in links if rng.random() < 0.2} | {(a, a + 1, 50.0) for a in range(20)}), "src int, dst int, weight double")
+    plain = similarity.combine_edges(spark.createDataFrame(links, "src int, dst int, jaccard double"), seeded)
+    want = plain.select("src", "dst", "kind", *[F.coalesce(F.round(c, 6), F.lit(-1.0)) for c in ("jaccard", "seed_weight", "combined")])
+    got = similarity.combine_classes(members, pairs, seeded, "id", "block").select("src", "dst", "kind", *[F.coalesce(c, F.lit(-1.0)) for c in ("jaccard", "seed_weight", "combined")])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
